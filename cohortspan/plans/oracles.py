@@ -274,3 +274,89 @@ oracle("person_summary", _summary("person"))
 oracle("category_share", """
 SELECT sex, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM person)::DOUBLE, 2) AS percent_of_total
 FROM person GROUP BY sex""")
+
+CTES["race_flags"] = """
+SELECT person_id, race_ethnicity,
+       CASE WHEN race_ethnicity IN ('BUILDING') THEN 1 ELSE 0 END AS race_building,
+       CASE WHEN race_ethnicity IN ('HOUSEHOLD') THEN 1 ELSE 0 END AS race_household,
+       CASE WHEN race_ethnicity IN ('MACHINERY') THEN 1 ELSE 0 END AS race_machinery,
+       CASE WHEN race_ethnicity IN ('AUTOMOBILE', 'FURNITURE') THEN 1 ELSE 0 END AS race_other
+FROM person"""
+
+_AGE_GROUPS = """
+       CASE WHEN {a}age BETWEEN 0 AND 45 THEN 1 ELSE 0 END AS age_under45,
+       CASE WHEN {a}age BETWEEN 46 AND 65 THEN 1 ELSE 0 END AS age_46to65,
+       CASE WHEN {a}age > 66 THEN 1 ELSE 0 END AS age_66plus"""
+_BARE = ", ".join(f"f.{c}{CONDITION_SUFFIX} AS {c}" for c in CONDITIONS)
+for _name, _pred in (("features_a", "f.dx = 1 OR f.clinic = 1"),
+                     ("features_b", "f.dx = 1 OR f.clinic = 1 OR f.phenotype = 1")):
+    CTES[_name] = f"""
+SELECT f.person_id, {_BARE}, f.vaccine_doses, f.hospitalised, f.death,
+       r.race_building, r.race_household, r.race_machinery, r.race_other, {_AGE_GROUPS.format(a='f.')},
+       CASE WHEN f.sex = 'MALE' THEN 1 ELSE 0 END AS male
+FROM positive_facts f JOIN race_flags r ON r.person_id = f.person_id WHERE ({_pred}) AND f.age >= 18"""
+
+CTES["arm_rows"] = f"""
+SELECT s.person_id, s.index_date, s.case_arm, s.positive_arm, s.negative_arm,
+       CASE WHEN d.person_id IS NULL THEN 0 ELSE 1 END AS death, d.death_date,
+       CAST(date_diff('day', s.index_date, coalesce(d.death_date, DATE '{STUDY_CUTOFF}')) AS INT) AS duration
+FROM (SELECT person_id, index_date, 1 AS case_arm, 0 AS positive_arm, 0 AS negative_arm FROM cases
+      UNION ALL SELECT person_id, index_date, 0, 1, 0 FROM positives
+      UNION ALL SELECT person_id, index_date, 0, 0, 1 FROM negatives) s
+LEFT JOIN deaths d ON d.person_id = s.person_id
+WHERE date_diff('day', s.index_date, coalesce(d.death_date, DATE '{STUDY_CUTOFF}')) >= 0"""
+
+CTES["km_rows"] = """
+SELECT arm, duration, died, at_risk,
+       CASE WHEN max(CASE WHEN died = at_risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0
+            ELSE exp(sum(CASE WHEN died < at_risk THEN ln(1 - died::DOUBLE / at_risk) ELSE 0 END) OVER w) END AS survival,
+       sum(CASE WHEN died < at_risk THEN died::DOUBLE / (at_risk::DOUBLE * (at_risk - died)) ELSE 0 END) OVER w AS greenwood
+FROM (SELECT arm, duration, died,
+             CAST(sum(n) OVER (PARTITION BY arm ORDER BY duration DESC) AS BIGINT) AS at_risk
+      FROM (SELECT CASE WHEN case_arm = 1 THEN 'case' WHEN positive_arm = 1 THEN 'positive' ELSE 'negative' END AS arm,
+                   duration, count(CASE WHEN death = 1 THEN 1 END) AS died, count(*) AS n
+            FROM arm_rows GROUP BY ALL))
+WINDOW w AS (PARTITION BY arm ORDER BY duration)"""
+
+oracle("age_buckets", """
+SELECT person_id, age, CASE WHEN age < 1 THEN 1 ELSE 0 END AS age_lt1,
+       CASE WHEN age BETWEEN 1 AND 4 THEN 1 ELSE 0 END AS age_1to4,
+       CASE WHEN age BETWEEN 5 AND 9 THEN 1 ELSE 0 END AS age_5to9,
+       CASE WHEN age BETWEEN 10 AND 15 THEN 1 ELSE 0 END AS age_10to15,
+       CASE WHEN age BETWEEN 16 AND 20 THEN 1 ELSE 0 END AS age_16to20,
+       CASE WHEN age BETWEEN 21 AND 45 THEN 1 ELSE 0 END AS age_21to45,
+       CASE WHEN age BETWEEN 46 AND 65 THEN 1 ELSE 0 END AS age_46to65,
+       CASE WHEN age > 66 THEN 1 ELSE 0 END AS age_gt66
+FROM person""")
+oracle("age_groups", f"SELECT person_id, age, {_AGE_GROUPS.format(a='')} FROM person")
+oracle("one_hot", "SELECT * FROM race_flags")
+oracle("race_recode", """
+SELECT person_id, CASE race_ethnicity WHEN 'BUILDING' THEN 'Construction' WHEN 'HOUSEHOLD' THEN 'Household'
+       WHEN 'MACHINERY' THEN 'Machines' ELSE 'Other' END AS race,
+       CASE WHEN sex = 'MALE' THEN 1 ELSE 0 END AS male
+FROM person""")
+oracle("feature_table_2a", "SELECT * FROM features_a")
+oracle("feature_table_2b", "SELECT * FROM features_b")
+_NUMERIC = (*CONDITIONS, "vaccine_doses", "hospitalised", "race_building", "race_household", "race_machinery",
+            "race_other", "age_under45", "age_46to65", "age_66plus", "male")
+oracle("mean_impute", "SELECT person_id, death, " + ", ".join(
+    f"round(coalesce({c}::DOUBLE, avg({c}) OVER ()), 6) AS {c}" for c in _NUMERIC) + " FROM features_a")
+oracle("complete_cases", "SELECT person_id, death FROM features_b WHERE " + " AND ".join(
+    f"{c} IS NOT NULL" for c in _NUMERIC))
+oracle("fill_mean", "SELECT person_id, round(coalesce(age::DOUBLE, avg(age) OVER ()), 6) AS age FROM person")
+
+_CORR = ("vaccine_doses", "morbid_obesity", "dx", "clinic", "phenotype", "hospitalised", "death")
+for _name, _keep in (("corr_matrix", lambda i, j: True), ("corr_matrix_triangle", lambda i, j: i > j)):
+    oracle(_name, "\nUNION ALL ".join(
+        f"SELECT '{a}' AS row_name, '{b}' AS col_name, round(corr({a}, {b}), 6) AS r FROM positive_facts"
+        for i, a in enumerate(_CORR) for j, b in enumerate(_CORR) if _keep(i, j)))
+
+oracle("survival_target", "SELECT * FROM arm_rows")
+oracle("km_curve", "SELECT arm, duration, died, at_risk, round(survival, 6) AS survival FROM km_rows")
+oracle("km_band", """
+SELECT arm, duration, died, at_risk, round(survival, 6) AS survival,
+  round(CASE WHEN survival > 0 AND survival < 1 THEN
+        exp(-exp(ln(-ln(survival)) + 1.959963984540054 * sqrt(greenwood) / abs(ln(survival)))) END, 6) AS lower95,
+  round(CASE WHEN survival > 0 AND survival < 1 THEN
+        exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(greenwood) / abs(ln(survival)))) END, 6) AS upper95
+FROM km_rows""")

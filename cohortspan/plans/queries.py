@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cohorts, describe, features
+from ..operators import cohorts, describe, features, survival
 from ..sources.study import CONDITION_SUFFIX, CONDITIONS, STUDY_CUTOFF, Study
 from .arms import THREE_FLAGS, TWO_FLAGS, Arms
 
@@ -219,3 +219,110 @@ def person_summary(spark, folder):
 @query
 def category_share(spark, folder):
     return describe.category_share(Study(spark, folder).persons, "sex")
+
+
+@query
+def age_buckets(spark, folder):
+    return features.bucket_flags(Study(spark, folder).persons.select("person_id", "age"))
+
+
+@query
+def age_groups(spark, folder):
+    return features.age_groups(Study(spark, folder).persons.select("person_id", "age"))
+
+
+@query
+def one_hot(spark, folder):
+    persons = Study(spark, folder).persons.select("person_id", "race_ethnicity")
+    return features.one_hot(persons, "race_ethnicity", SEGMENT_LEVELS)
+
+
+@query
+def race_recode(spark, folder):
+    return Study(spark, folder).persons.select(
+        "person_id", X.recode("race_ethnicity", SEGMENT_REPORT, "Other").alias("race"), X.is_value("sex", "MALE").alias("male")
+    )
+
+
+def features_of(cohort: DataFrame) -> DataFrame:
+    return features.feature_table(
+        cohort,
+        [c + CONDITION_SUFFIX for c in CONDITIONS],
+        ["vaccine_doses", "hospitalised"],
+        "death",
+        SEGMENT_LEVELS,
+        suffix=CONDITION_SUFFIX,
+    )
+
+
+@query
+def feature_table_2a(spark, folder):
+    return features_of(arms(spark, folder).cohort_2a)
+
+
+@query
+def feature_table_2b(spark, folder):
+    return features_of(arms(spark, folder).cohort_2b)
+
+
+@query
+def mean_impute(spark, folder):
+    table = features_of(arms(spark, folder).cohort_2a)
+    return X.rounded(features.mean_impute(table, features.features_except(table, "person_id", "death")))
+
+
+@query
+def complete_cases(spark, folder):
+    table = features_of(arms(spark, folder).cohort_2b)
+    return features.complete_cases(table, features.features_except(table, "person_id")).select("person_id", "death")
+
+
+@query
+def fill_mean(spark, folder):
+    persons = Study(spark, folder).persons.select("person_id", "age")
+    return X.rounded(features.fill_mean(persons, ["age"]))
+
+
+CORR_COLUMNS = ("vaccine_doses", "morbid_obesity", "dx", "clinic", "phenotype", "hospitalised", "death")
+
+
+@query
+def corr_matrix(spark, folder):
+    return X.rounded(describe.corr_matrix(Study(spark, folder).positive_facts, CORR_COLUMNS))
+
+
+@query
+def corr_matrix_triangle(spark, folder):
+    return X.rounded(describe.corr_matrix(Study(spark, folder).positive_facts, CORR_COLUMNS, triangle=True))
+
+
+def unmatched_arms(spark, folder) -> DataFrame:
+    """The three arms before matching, with their survival target: a large deterministic input."""
+    a = arms(spark, folder)
+    died = a.study.deaths.select("person_id", F.lit(1).alias("death"))
+    stacked = cohorts.stack_arms(a.cases, a.positive, a.negative).join(died, "person_id", "left")
+    stacked = stacked.withColumn("death", F.coalesce("death", F.lit(0)))
+    return features.survival_target(stacked, a.study.deaths, STUDY_CUTOFF)
+
+
+@query
+def survival_target(spark, folder):
+    return unmatched_arms(spark, folder)
+
+
+def arm_name() -> F.Column:
+    return (
+        F.when(F.col("case_arm") == 1, "case").when(F.col("positive_arm") == 1, "positive").otherwise("negative")
+    )
+
+
+@query
+def km_curve(spark, folder):
+    df = unmatched_arms(spark, folder).withColumn("arm", arm_name())
+    return X.rounded(survival.km_curve(df, "duration", "death", "arm"))
+
+
+@query
+def km_band(spark, folder):
+    df = unmatched_arms(spark, folder).withColumn("arm", arm_name())
+    return X.rounded(survival.km_band(survival.km_curve(df, "duration", "death", "arm"), "arm"))
