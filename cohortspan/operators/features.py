@@ -55,9 +55,9 @@ def one_hot(df: DataFrame, c: str, levels: Mapping[str, Sequence[str]]) -> DataF
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace nulls by the column mean, as doubles. All means come from one scalar subquery."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("means")).scalar()
-    return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), means.getField(c)) for c in columns
-    })
+    return df.withColumn("_means", means).withColumns({
+        c: F.coalesce(F.col(c).cast("double"), F.col("_means").getField(c)) for c in columns
+    }).drop("_means")
 
 
 def mean_impute(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +28,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that iterating on it neither recomputes nor loses it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for ``name`` inside the shared checkpoint folder."""
-    import uuid
-
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so that losing executors loses nothing.
+
+    A written table rather than ``df.checkpoint()``: the latter keeps the constraints inferred from
+    the old plan, and over many rounds those make planning slower than the work itself.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def parts_for(n_rows: int, rows_per_part: int) -> int:
     return max(1, math.ceil(n_rows / rows_per_part))
