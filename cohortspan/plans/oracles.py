@@ -161,7 +161,8 @@ def with_ctes(body: str) -> str:
     if not needed:
         return body.strip()
     parts = ",\n".join(f"{name} AS ({CTES[name]})" for name in reversed(needed))
-    return f"WITH {parts}\n{body.strip()}"
+    recursive = "RECURSIVE " if any(name.startswith("greedy_") for name in needed) else ""
+    return f"WITH {recursive}{parts}\n{body.strip()}"
 
 
 def oracle(name: str, body: str) -> None:
@@ -360,3 +361,162 @@ SELECT arm, duration, died, at_risk, round(survival, 6) AS survival,
   round(CASE WHEN survival > 0 AND survival < 1 THEN
         exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(greenwood) / abs(ln(survival)))) END, 6) AS upper95
 FROM km_rows""")
+
+CTES["scored"] = """
+SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+       round(o_totalprice / 500000, 3) AS score
+FROM orders"""
+
+CTES["folds"] = """
+SELECT row_id, y, score, repeat,
+       CAST((row_number() OVER (PARTITION BY repeat, y ORDER BY md5('42|' || repeat || '|' || row_id), row_id) - 1) % 5 AS INT) AS fold
+FROM scored, (SELECT unnest([0, 1, 2, 3, 4]) AS repeat)"""
+
+CTES["score_rows"] = """
+SELECT score, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
+       CAST(sum(pos) OVER () AS BIGINT) AS n_pos, CAST(sum(neg) OVER () AS BIGINT) AS n_neg
+FROM (SELECT score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg
+      FROM scored GROUP BY score)
+WINDOW w AS (ORDER BY score DESC)"""
+
+CTES["fold_rows"] = """
+SELECT repeat, fold, score, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
+       CAST(sum(pos) OVER g AS BIGINT) AS n_pos, CAST(sum(neg) OVER g AS BIGINT) AS n_neg
+FROM (SELECT repeat, fold, score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg
+      FROM folds GROUP BY ALL)
+WINDOW w AS (PARTITION BY repeat, fold ORDER BY score DESC), g AS (PARTITION BY repeat, fold)"""
+
+CTES["fold_areas"] = """
+SELECT repeat, fold, sum(pos::DOUBLE * (n_neg - fp + neg / 2.0)) / max(n_pos) / max(n_neg) AS auc
+FROM fold_rows GROUP BY repeat, fold"""
+
+CTES["fold_points"] = """
+SELECT repeat, fold, fp::DOUBLE / n_neg AS fpr, tp::DOUBLE / n_pos AS tpr FROM fold_rows
+UNION ALL SELECT DISTINCT repeat, fold, 0.0, 0.0 FROM fold_rows"""
+
+CTES["grid_values"] = """
+SELECT repeat, fold, step, x,
+       CASE WHEN step = 0 THEN 0.0 WHEN r.tpr IS NULL THEN l.tpr
+            ELSE l.tpr + (x - l.fpr) * (r.tpr - l.tpr) / (r.fpr - l.fpr) END AS tpr
+FROM (SELECT p.repeat, p.fold, g.step, g.x,
+             max(CASE WHEN p.fpr <= g.x THEN {'fpr': p.fpr, 'tpr': p.tpr} END) AS l,
+             min(CASE WHEN p.fpr > g.x THEN {'fpr': p.fpr, 'tpr': p.tpr} END) AS r
+      FROM fold_points p, (SELECT CAST(i AS INT) AS step, i / 99.0::DOUBLE AS x FROM range(100) t(i)) g
+      GROUP BY ALL)"""
+
+oracle("holdout_split", """
+SELECT o_orderkey AS row_id,
+       CASE WHEN ('0x' || substr(md5('42|' || o_orderkey), 1, 13))::BIGINT < CAST(floor(0.2 * 4503599627370496) AS BIGINT)
+            THEN 1 ELSE 0 END AS is_test
+FROM orders""")
+oracle("stratified_folds", "SELECT row_id, y, repeat, fold FROM folds")
+oracle("roc_curve", """
+SELECT score AS threshold, round(fp::DOUBLE / n_neg, 6) AS fpr, round(tp::DOUBLE / n_pos, 6) AS tpr FROM score_rows
+UNION ALL SELECT max(score) + 1, 0.0, 0.0 FROM score_rows""")
+oracle("roc_auc", """
+SELECT round(sum(pos::DOUBLE * (n_neg - fp + neg / 2.0)) / max(n_pos) / max(n_neg), 6) AS auc FROM score_rows""")
+oracle("pr_curve", """
+SELECT score AS threshold, round(tp::DOUBLE / n_pos, 6) AS recall, round(tp::DOUBLE / (tp + fp), 6) AS precision
+FROM score_rows UNION ALL SELECT NULL, 0.0, 1.0""")
+_SWEEP = """SELECT score AS threshold, (tp - pos)::DOUBLE / n_pos AS recall,
+       coalesce(2.0 * (tp - pos) / nullif(tp - pos + fp - neg + n_pos, 0), 0.0)::DOUBLE AS f1 FROM score_rows"""
+oracle("threshold_sweep", f"SELECT threshold, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_SWEEP})")
+oracle("best_threshold", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS metric, threshold, round({m}, 6) AS value FROM ({_SWEEP}) ORDER BY {m} DESC, threshold LIMIT 1)"
+    for m in ("recall", "f1")))
+oracle("confusion_matrix", " UNION ALL ".join(
+    f"SELECT {a} AS actual, {p} AS predicted, count(*) AS n FROM scored WHERE y = {a} AND (score >= 0.132) = {bool(p)}"
+    for a in (0, 1) for p in (0, 1)))
+oracle("recall_at_cutoff", """
+SELECT round(count(CASE WHEN y = 1 AND score >= 0.132 THEN 1 END)::DOUBLE / count(CASE WHEN y = 1 THEN 1 END), 6) AS recall
+FROM scored""")
+oracle("fold_auc", "SELECT repeat, fold, round(auc, 6) AS auc FROM fold_areas")
+oracle("auc_stats", """
+SELECT count(*) AS folds, round(avg(auc), 6) AS avg_auc, round(stddev_pop(auc), 6) AS std_auc,
+       round(stddev_pop(auc) / sqrt(count(*)), 6) AS std_error,
+       round(1.96 * stddev_pop(auc) / sqrt(count(*)), 6) AS half_interval
+FROM fold_areas""")
+oracle("mean_roc", """
+SELECT step, round(fpr, 6) AS fpr, round(mean_tpr, 6) AS mean_tpr, round(std_tpr, 6) AS std_tpr,
+       round(greatest(least(mean_tpr - std_tpr, 1), 0), 6) AS lower, round(greatest(least(mean_tpr + std_tpr, 1), 0), 6) AS upper,
+       round((SELECT sum(a) FROM (SELECT (x - lag(x) OVER (ORDER BY step)) * (m + lag(m) OVER (ORDER BY step)) / 2 AS a
+              FROM (SELECT step, x, CASE WHEN step = 99 THEN 1.0 ELSE avg(tpr) END AS m FROM grid_values GROUP BY step, x))), 6) AS mean_auc
+FROM (SELECT step, x AS fpr, CASE WHEN step = 99 THEN 1.0 ELSE avg(tpr) END AS mean_tpr, stddev_pop(tpr) AS std_tpr
+      FROM grid_values GROUP BY step, x)""")
+
+_ELIGIBLE = ("c.site_id = t.site_id AND abs(c.age - t.age) <= 10 AND abs(c.index_day - t.index_day) <= 45 "
+             "AND abs(c.log_visit_rate - t.log_visit_rate) <= 1")
+_LOWER = "(c.distance < t.distance OR (c.distance = t.distance AND c.h < t.h))"
+# Nearest first; equal distances by hash distance for equal scores, else the lower score, then towards the unit.
+_NEAREST = f"""{{'gap': abs(c.distance - t.distance),
+  'tie': CASE WHEN c.distance = t.distance THEN abs(c.h - t.h) WHEN {_LOWER} THEN 0 ELSE 1 END,
+  'walk': CASE WHEN {_LOWER} THEN -c.h ELSE c.h END}}"""
+
+
+def _units(pre: str) -> str:
+    return f"""
+SELECT *, (index_day + 3 * age)::DOUBLE AS distance, ('0x' || substr(md5(person_id::VARCHAR), 1, 13))::BIGINT AS h
+FROM {pre}"""
+
+
+for _arm in ("pos", "neg"):
+    CTES[f"units_{_arm}"] = _units(f"pre_match_{_arm}")
+    CTES[f"queue_{_arm}"] = f"""
+SELECT *, row_number() OVER (ORDER BY distance DESC, person_id) AS k FROM units_{_arm} WHERE is_case = 1"""
+    # One treated unit per step, in order, over the controls not used so far.
+    CTES[f"greedy_{_arm}"] = f"""
+SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS treated_id, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS control_id
+UNION ALL
+SELECT s.k + 1, any_value(t.person_id), any_value(list_append(s.used, coalesce(s.control_id, -1))),
+       arg_min(c.person_id, {_NEAREST})
+FROM greedy_{_arm} s JOIN queue_{_arm} t ON t.k = s.k + 1
+LEFT JOIN (SELECT * FROM units_{_arm} WHERE is_case = 0) c
+  ON {_ELIGIBLE} AND NOT list_contains(s.used, c.person_id) AND c.person_id IS DISTINCT FROM s.control_id
+GROUP BY s.k"""
+    CTES[f"pairs_{_arm}"] = f"""
+SELECT g.treated_id, g.control_id, abs(t.distance - c.distance) AS gap
+FROM greedy_{_arm} g JOIN units_{_arm} t ON t.person_id = g.treated_id JOIN units_{_arm} c ON c.person_id = g.control_id"""
+
+CTES["kept_cases"] = """
+SELECT person_id, index_date FROM cases
+WHERE person_id IN (SELECT treated_id FROM pairs_pos) AND person_id IN (SELECT treated_id FROM pairs_neg)"""
+CTES["kept_pos"] = """
+SELECT p.control_id AS person_id, p.treated_id AS subclass, u.index_date, u.distance
+FROM pairs_pos p JOIN units_pos u ON u.person_id = p.control_id WHERE p.treated_id IN (SELECT person_id FROM kept_cases)"""
+CTES["kept_neg"] = """
+SELECT p.control_id AS person_id, p.treated_id AS subclass, u.index_date, u.distance
+FROM pairs_neg p JOIN units_neg u ON u.person_id = p.control_id WHERE p.treated_id IN (SELECT person_id FROM kept_cases)"""
+CTES["cohort_rows"] = """
+SELECT s.person_id, s.index_date, s.case_arm, s.positive_arm, s.negative_arm, f.death, coalesce(f.morbid_obesity, 0) AS morbid_obesity,
+       f.vaccine_doses, f.observation_before, f.visits_before, c.comorbidity_score,
+       (30.0 * f.visits_before / nullif(f.observation_before, 0))::DOUBLE AS rate
+FROM (SELECT person_id, index_date, 1 AS case_arm, 0 AS positive_arm, 0 AS negative_arm FROM kept_cases
+      UNION ALL SELECT person_id, index_date, 0, 1, 0 FROM kept_pos) s
+JOIN positive_facts f ON f.person_id = s.person_id LEFT JOIN cci_pos c ON c.person_id = s.person_id
+UNION ALL
+SELECT s.person_id, s.index_date, 0, 0, 1, f.death, coalesce(f.morbid_obesity, 0), f.vaccine_doses, h.observation_before,
+       h.visits_before, c.comorbidity_score, (30.0 * h.visits_before / nullif(h.observation_before, 0))::DOUBLE
+FROM kept_neg s JOIN all_facts f ON f.person_id = s.person_id LEFT JOIN cci_all c ON c.person_id = s.person_id
+LEFT JOIN history_neg h ON h.person_id = s.person_id"""
+
+for _name, _arm in (("match_pairs_positive", "pos"), ("match_pairs_negative", "neg")):
+    oracle(_name, f"SELECT treated_id, control_id, gap FROM pairs_{_arm}")
+oracle("nearest_control", f"""
+SELECT t.person_id AS treated_id, arg_min(c.person_id, {_NEAREST}) AS control_id, min(abs(c.distance - t.distance)) AS gap
+FROM queue_neg t JOIN (SELECT * FROM units_neg WHERE is_case = 0) c ON {_ELIGIBLE}
+GROUP BY t.person_id""")
+oracle("matched_data", """
+SELECT u.person_id, u.site_id, u.age, u.index_date, u.is_case, u.index_day, u.distance, 1.0::DOUBLE AS weights, p.treated_id AS subclass
+FROM pairs_neg p JOIN units_neg u ON (u.is_case = 1 AND u.person_id = p.treated_id) OR (u.is_case = 0 AND u.person_id = p.control_id)""")
+oracle("matched_cases", "SELECT * FROM kept_cases")
+oracle("matched_controls", """
+SELECT person_id, subclass, index_date, distance, 'positive' AS arm FROM kept_pos
+UNION ALL SELECT person_id, subclass, index_date, distance, 'negative' AS arm FROM kept_neg""")
+oracle("matched_disjoint", """
+SELECT 'case|positive' AS pair, count(*) AS n FROM kept_cases JOIN kept_pos USING (person_id)
+UNION ALL SELECT 'case|negative', count(*) FROM kept_cases JOIN kept_neg USING (person_id)
+UNION ALL SELECT 'positive|negative', count(*) FROM kept_pos JOIN kept_neg USING (person_id)""")
+oracle("analysis_cohort", """
+SELECT person_id, index_date, case_arm, positive_arm, negative_arm, death, morbid_obesity, vaccine_doses, observation_before,
+       visits_before, comorbidity_score, round(coalesce(rate, avg(rate) OVER ()), 6) AS visit_rate
+FROM cohort_rows""")

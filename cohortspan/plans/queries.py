@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cohorts, describe, features, survival
+from ..operators import cohorts, describe, evaluate, features, matching, survival
+from ..runtime import checkpointed
 from ..sources.study import CONDITION_SUFFIX, CONDITIONS, STUDY_CUTOFF, Study
 from .arms import THREE_FLAGS, TWO_FLAGS, Arms
 
@@ -326,3 +327,157 @@ def km_curve(spark, folder):
 def km_band(spark, folder):
     df = unmatched_arms(spark, folder).withColumn("arm", arm_name())
     return X.rounded(survival.km_band(survival.km_curve(df, "duration", "death", "arm"), "arm"))
+
+
+@query
+def holdout_split(spark, folder):
+    return evaluate.holdout(Study(spark, folder).scored.select("row_id"), "row_id")
+
+
+@query
+def stratified_folds(spark, folder):
+    return evaluate.stratified_folds(Study(spark, folder).scored.select("row_id", "y"), "y", "row_id")
+
+
+def _scores(spark, folder) -> DataFrame:
+    return evaluate.score_table(Study(spark, folder).scored)
+
+
+@query
+def roc_curve(spark, folder):
+    return X.rounded(evaluate.roc_curve(_scores(spark, folder)))
+
+
+@query
+def roc_auc(spark, folder):
+    return X.rounded(evaluate.roc_auc(_scores(spark, folder)))
+
+
+@query
+def pr_curve(spark, folder):
+    return X.rounded(evaluate.pr_curve(_scores(spark, folder)))
+
+
+@query
+def threshold_sweep(spark, folder):
+    return X.rounded(evaluate.threshold_sweep(_scores(spark, folder)))
+
+
+@query
+def best_threshold(spark, folder):
+    return X.rounded(evaluate.best_threshold(evaluate.threshold_sweep(_scores(spark, folder))))
+
+
+@query
+def confusion_matrix(spark, folder):
+    return evaluate.confusion(Study(spark, folder).scored, 0.132)
+
+
+@query
+def recall_at_cutoff(spark, folder):
+    return X.rounded(evaluate.recall_at(Study(spark, folder).scored, 0.132))
+
+
+def _fold_scores(spark, folder) -> DataFrame:
+    folds = evaluate.stratified_folds(Study(spark, folder).scored, "y", "row_id")
+    return evaluate.score_table(folds, by=["repeat", "fold"])
+
+
+@query
+def mean_roc(spark, folder):
+    return X.rounded(evaluate.mean_roc(_fold_scores(spark, folder), ["repeat", "fold"]))
+
+
+@query
+def fold_auc(spark, folder):
+    return X.rounded(evaluate.roc_auc(_fold_scores(spark, folder), ["repeat", "fold"]))
+
+
+@query
+def auc_stats(spark, folder):
+    return X.rounded(evaluate.auc_stats(_fold_scores(spark, folder), ["repeat", "fold"]))
+
+
+CALIPERS = {"age": 10, "index_day": 45, "log_visit_rate": 1}
+
+
+def _given_score(pre: DataFrame) -> DataFrame:
+    """A heavily tied whole-number score, so that a SQL engine can follow the same matching."""
+    return X.rounded(pre).withColumn("distance", (F.col("index_day") + 3 * F.col("age")).cast("double"))
+
+
+def given_score_pairs(spark, folder, arm: str) -> tuple[DataFrame, DataFrame]:
+    a = arms(spark, folder)
+    pre = _given_score(a.pre_match_positive if arm == "positive" else a.pre_match_negative)
+    pre = checkpointed(pre)
+    return pre, matching.match_nearest(pre, "is_case", "distance", "site_id", CALIPERS)
+
+
+@query
+def match_pairs_positive(spark, folder):
+    return given_score_pairs(spark, folder, "positive")[1]
+
+
+@query
+def match_pairs_negative(spark, folder):
+    return given_score_pairs(spark, folder, "negative")[1]
+
+
+@query
+def nearest_control(spark, folder):
+    """Each case's nearest control inside the calipers, controls being shared."""
+    pre = checkpointed(_given_score(arms(spark, folder).pre_match_negative))
+    return matching.match_nearest(pre, "is_case", "distance", "site_id", CALIPERS, replace=True)
+
+
+@query
+def matched_data(spark, folder):
+    pre, pairs = given_score_pairs(spark, folder, "negative")
+    return matching.matched_data(pre, pairs).select(
+        "person_id", "site_id", "age", "index_date", "is_case", "index_day", "distance", "weights", "subclass"
+    )
+
+
+def given_score_arms(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matched cases and both matched control arms, matching on the given score."""
+    pre_pos, pairs_pos = given_score_pairs(spark, folder, "positive")
+    pre_neg, pairs_neg = given_score_pairs(spark, folder, "negative")
+    m_pos = checkpointed(matching.matched_data(pre_pos, pairs_pos))
+    m_neg = checkpointed(matching.matched_data(pre_neg, pairs_neg))
+    cases = cohorts.matched_cases(arms(spark, folder).cases.select("person_id", "index_date"), m_pos, m_neg)
+    cases = checkpointed(cases)
+    return cases, cohorts.matched_controls(m_pos, cases), cohorts.matched_controls(m_neg, cases)
+
+
+@query
+def matched_cases(spark, folder):
+    return given_score_arms(spark, folder)[0]
+
+
+@query
+def matched_controls(spark, folder):
+    _, positive, negative = given_score_arms(spark, folder)
+    columns = ["person_id", "subclass", "index_date", "distance"]
+    return positive.select(*columns, F.lit("positive").alias("arm")).unionByName(
+        negative.select(*columns, F.lit("negative").alias("arm"))
+    )
+
+
+@query
+def matched_disjoint(spark, folder):
+    case, positive, negative = given_score_arms(spark, folder)
+    return cohorts.disjoint_check({"case": case, "positive": positive, "negative": negative})
+
+
+def given_score_cohort(spark, folder) -> DataFrame:
+    s = Study(spark, folder)
+    case, positive, negative = given_score_arms(spark, folder)
+    return cohorts.analysis_cohort(
+        case, positive, negative, s.positive_facts, s.all_facts, s.comorbidity_positive, s.comorbidity_all,
+        _history(spark, folder),
+    )
+
+
+@query
+def analysis_cohort(spark, folder):
+    return X.rounded(given_score_cohort(spark, folder))
