@@ -148,8 +148,11 @@ def importance_top(table: DataFrame, k: int = 50) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 
-def feature_list(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+def feature_list(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(feature, n_known) in the order of ``names``, from one aggregate."""
+    counts = df.agg(*[F.count(c).alias(c) for c in names])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_known")) for c in names]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def tree_nodes(spark: SparkSession, model) -> DataFrame:

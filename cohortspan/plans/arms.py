@@ -22,17 +22,19 @@ class Arms:
 
     @cached_property
     def cases(self) -> DataFrame:
-        return cohorts.case_cohort(self.study.positive_facts, self.study.visits, THREE_FLAGS)
+        return self.study.keep(cohorts.case_cohort(self.study.positive_facts, self.study.visits, THREE_FLAGS))
 
     @cached_property
     def positive(self) -> DataFrame:
-        return cohorts.positive_control(self.study.positive_facts, self.study.visits, self.cases)
+        return self.study.keep(
+            cohorts.positive_control(self.study.positive_facts, self.study.visits, self.cases)
+        )
 
     @cached_property
     def negative(self) -> DataFrame:
-        return cohorts.negative_control(
+        return self.study.keep(cohorts.negative_control(
             self.study.all_facts, self.study.visits, self.study.micro_visits, self.cases
-        )
+        ))
 
     @cached_property
     def pre_match_positive(self) -> DataFrame:

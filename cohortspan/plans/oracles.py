@@ -520,3 +520,41 @@ oracle("analysis_cohort", """
 SELECT person_id, index_date, case_arm, positive_arm, negative_arm, death, morbid_obesity, vaccine_doses, observation_before,
        visits_before, comorbidity_score, round(coalesce(rate, avg(rate) OVER ()), 6) AS visit_rate
 FROM cohort_rows""")
+
+CTES["whole_cohort"] = """
+SELECT s.person_id, s.index_date, s.case_arm, s.positive_arm, s.negative_arm, f.death, coalesce(f.morbid_obesity, 0) AS morbid_obesity,
+       f.vaccine_doses, f.observation_before, f.visits_before, c.comorbidity_score,
+       (30.0 * f.visits_before / nullif(f.observation_before, 0))::DOUBLE AS rate
+FROM (SELECT person_id, index_date, 1 AS case_arm, 0 AS positive_arm, 0 AS negative_arm FROM cases
+      UNION ALL SELECT person_id, index_date, 0, 1, 0 FROM positives) s
+JOIN positive_facts f ON f.person_id = s.person_id LEFT JOIN cci_pos c ON c.person_id = s.person_id
+UNION ALL
+SELECT s.person_id, s.index_date, 0, 0, 1, s.death, coalesce(s.morbid_obesity, 0), s.vaccine_doses, s.observation_before,
+       s.visits_before, c.comorbidity_score, (30.0 * s.visits_before / nullif(s.observation_before, 0))::DOUBLE
+FROM negatives s LEFT JOIN cci_all c ON c.person_id = s.person_id"""
+
+oracle("analysis_cohort_unmatched", """
+SELECT person_id, index_date, case_arm, positive_arm, negative_arm, death, morbid_obesity, vaccine_doses, observation_before,
+       visits_before, comorbidity_score, round(coalesce(rate, avg(rate) OVER ()), 6) AS visit_rate
+FROM whole_cohort""")
+_COHORT_CORR = ("comorbidity_score", "morbid_obesity", "case_arm", "positive_arm", "negative_arm", "vaccine_doses", "death")
+oracle("corr_matrix_cohort", "\nUNION ALL ".join(
+    f"SELECT '{a}' AS row_name, '{b}' AS col_name, round(corr({a}, {b}), 6) AS r FROM whole_cohort"
+    for i, a in enumerate(_COHORT_CORR) for b in _COHORT_CORR[:i]))
+# A 0/1 predictor has a closed form: log odds from the two-by-two table.
+oracle("odds_ratio_single", """
+SELECT term, round(exp(b), 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS statistic,
+       round(exp(b - 1.959963984540054 * se), 6) AS conf_low, round(exp(b + 1.959963984540054 * se), 6) AS conf_high
+FROM (
+  SELECT '(Intercept)' AS term, ln(d0 / a0) AS b, sqrt(1 / d0 + 1 / a0) AS se FROM cells
+  UNION ALL SELECT 'morbid_obesity', ln(d1 / a1) - ln(d0 / a0), sqrt(1 / d0 + 1 / a0 + 1 / d1 + 1 / a1) FROM cells)
+""".replace("FROM cells", """FROM (
+    SELECT count(CASE WHEN morbid_obesity = 0 AND death = 1 THEN 1 END)::DOUBLE AS d0,
+           count(CASE WHEN morbid_obesity = 0 AND death = 0 THEN 1 END)::DOUBLE AS a0,
+           count(CASE WHEN morbid_obesity = 1 AND death = 1 THEN 1 END)::DOUBLE AS d1,
+           count(CASE WHEN morbid_obesity = 1 AND death = 0 THEN 1 END)::DOUBLE AS a1 FROM whole_cohort)"""))
+
+oracle("logistic_features", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS n_known FROM features_a" for c in (
+        *CONDITIONS, "vaccine_doses", "hospitalised", "race_building", "race_household", "race_machinery", "race_other",
+        "age_under45", "age_46to65", "age_66plus", "male")))

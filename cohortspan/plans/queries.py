@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cohorts, describe, evaluate, features, matching, survival
+from ..operators import attribution, cohorts, describe, evaluate, features, glm, matching, models, survival
 from ..runtime import checkpointed
 from ..sources.study import CONDITION_SUFFIX, CONDITIONS, STUDY_CUTOFF, Study
 from .arms import THREE_FLAGS, TWO_FLAGS, Arms
@@ -29,8 +29,8 @@ def query(fn):
     return fn
 
 
-def arms(spark: SparkSession, folder: str) -> Arms:
-    return Arms(Study(spark, folder))
+def arms(spark: SparkSession, folder: str, materialise: bool = True) -> Arms:
+    return Arms(Study(spark, folder, materialise))
 
 
 @query
@@ -109,7 +109,7 @@ NEGATIVE_COLUMNS = ("person_id", "site_id", "age", "sex", "index_date", "latest_
 
 @query
 def case_cohort(spark, folder):
-    return X.rounded(arms(spark, folder).cases.select(*CASE_COLUMNS))
+    return X.rounded(arms(spark, folder, False).cases.select(*CASE_COLUMNS))
 
 
 @query
@@ -124,12 +124,12 @@ def negative_control(spark, folder):
 
 @query
 def flag_cohort_2(spark, folder):
-    return arms(spark, folder).cohort_2a.select("person_id", "age", "dx", "clinic", "phenotype")
+    return arms(spark, folder, False).cohort_2a.select("person_id", "age", "dx", "clinic", "phenotype")
 
 
 @query
 def flag_cohort_3(spark, folder):
-    return arms(spark, folder).cohort_2b.select("person_id", "age", "dx", "clinic", "phenotype")
+    return arms(spark, folder, False).cohort_2b.select("person_id", "age", "dx", "clinic", "phenotype")
 
 
 @query
@@ -150,17 +150,17 @@ def common_sites(spark, folder):
 
 @query
 def attrition_funnel(spark, folder):
-    return arms(spark, folder).case_funnel
+    return arms(spark, folder, False).case_funnel
 
 
 @query
 def attrition_funnel_2(spark, folder):
-    return arms(spark, folder).flag_funnel(TWO_FLAGS)
+    return arms(spark, folder, False).flag_funnel(TWO_FLAGS)
 
 
 @query
 def attrition_funnel_3(spark, folder):
-    return arms(spark, folder).flag_funnel(THREE_FLAGS)
+    return arms(spark, folder, False).flag_funnel(THREE_FLAGS)
 
 
 @query
@@ -196,14 +196,15 @@ def pre_match_negative(spark, folder):
 @query
 def cohort_summary(spark, folder):
     return describe.cohort_summary(
-        arms(spark, folder).cases, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6
+        arms(spark, folder, False).cases, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6
     )
 
 
 @query
 def cohort_summary_negative(spark, folder):
-    s = Study(spark, folder)
-    kept = Arms(s).negative.select("person_id").join(
+    a = arms(spark, folder)
+    s = a.study
+    kept = a.negative.select("person_id").join(
         s.all_facts.select("person_id", "age", "sex", "race_ethnicity"), "person_id", "left"
     )
     return describe.cohort_summary(kept, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6)
@@ -258,23 +259,23 @@ def features_of(cohort: DataFrame) -> DataFrame:
 
 @query
 def feature_table_2a(spark, folder):
-    return features_of(arms(spark, folder).cohort_2a)
+    return features_of(arms(spark, folder, False).cohort_2a)
 
 
 @query
 def feature_table_2b(spark, folder):
-    return features_of(arms(spark, folder).cohort_2b)
+    return features_of(arms(spark, folder, False).cohort_2b)
 
 
 @query
 def mean_impute(spark, folder):
-    table = features_of(arms(spark, folder).cohort_2a)
+    table = _wide_table(spark, folder, False)
     return X.rounded(features.mean_impute(table, features.features_except(table, "person_id", "death")))
 
 
 @query
 def complete_cases(spark, folder):
-    table = features_of(arms(spark, folder).cohort_2b)
+    table = features_of(arms(spark, folder, False).cohort_2b)
     return features.complete_cases(table, features.features_except(table, "person_id")).select("person_id", "death")
 
 
@@ -406,8 +407,7 @@ def _given_score(pre: DataFrame) -> DataFrame:
     return X.rounded(pre).withColumn("distance", (F.col("index_day") + 3 * F.col("age")).cast("double"))
 
 
-def given_score_pairs(spark, folder, arm: str) -> tuple[DataFrame, DataFrame]:
-    a = arms(spark, folder)
+def given_score_pairs(a: Arms, arm: str) -> tuple[DataFrame, DataFrame]:
     pre = _given_score(a.pre_match_positive if arm == "positive" else a.pre_match_negative)
     pre = checkpointed(pre)
     return pre, matching.match_nearest(pre, "is_case", "distance", "site_id", CALIPERS)
@@ -415,12 +415,12 @@ def given_score_pairs(spark, folder, arm: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def match_pairs_positive(spark, folder):
-    return given_score_pairs(spark, folder, "positive")[1]
+    return given_score_pairs(arms(spark, folder), "positive")[1]
 
 
 @query
 def match_pairs_negative(spark, folder):
-    return given_score_pairs(spark, folder, "negative")[1]
+    return given_score_pairs(arms(spark, folder), "negative")[1]
 
 
 @query
@@ -432,31 +432,31 @@ def nearest_control(spark, folder):
 
 @query
 def matched_data(spark, folder):
-    pre, pairs = given_score_pairs(spark, folder, "negative")
+    pre, pairs = given_score_pairs(arms(spark, folder), "negative")
     return matching.matched_data(pre, pairs).select(
         "person_id", "site_id", "age", "index_date", "is_case", "index_day", "distance", "weights", "subclass"
     )
 
 
-def given_score_arms(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+def given_score_arms(a: Arms) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matched cases and both matched control arms, matching on the given score."""
-    pre_pos, pairs_pos = given_score_pairs(spark, folder, "positive")
-    pre_neg, pairs_neg = given_score_pairs(spark, folder, "negative")
+    pre_pos, pairs_pos = given_score_pairs(a, "positive")
+    pre_neg, pairs_neg = given_score_pairs(a, "negative")
     m_pos = checkpointed(matching.matched_data(pre_pos, pairs_pos))
     m_neg = checkpointed(matching.matched_data(pre_neg, pairs_neg))
-    cases = cohorts.matched_cases(arms(spark, folder).cases.select("person_id", "index_date"), m_pos, m_neg)
+    cases = cohorts.matched_cases(a.cases.select("person_id", "index_date"), m_pos, m_neg)
     cases = checkpointed(cases)
     return cases, cohorts.matched_controls(m_pos, cases), cohorts.matched_controls(m_neg, cases)
 
 
 @query
 def matched_cases(spark, folder):
-    return given_score_arms(spark, folder)[0]
+    return given_score_arms(arms(spark, folder))[0]
 
 
 @query
 def matched_controls(spark, folder):
-    _, positive, negative = given_score_arms(spark, folder)
+    _, positive, negative = given_score_arms(arms(spark, folder))
     columns = ["person_id", "subclass", "index_date", "distance"]
     return positive.select(*columns, F.lit("positive").alias("arm")).unionByName(
         negative.select(*columns, F.lit("negative").alias("arm"))
@@ -465,19 +465,266 @@ def matched_controls(spark, folder):
 
 @query
 def matched_disjoint(spark, folder):
-    case, positive, negative = given_score_arms(spark, folder)
+    case, positive, negative = given_score_arms(arms(spark, folder))
     return cohorts.disjoint_check({"case": case, "positive": positive, "negative": negative})
 
 
 def given_score_cohort(spark, folder) -> DataFrame:
-    s = Study(spark, folder)
-    case, positive, negative = given_score_arms(spark, folder)
+    a = arms(spark, folder)
+    s = a.study
+    case, positive, negative = given_score_arms(a)
     return cohorts.analysis_cohort(
         case, positive, negative, s.positive_facts, s.all_facts, s.comorbidity_positive, s.comorbidity_all,
-        _history(spark, folder),
+        a.negative.select("person_id", "observation_before", "visits_before"),
     )
 
 
 @query
 def analysis_cohort(spark, folder):
     return X.rounded(given_score_cohort(spark, folder))
+
+
+def study_cohort(spark, folder) -> DataFrame:
+    """The analysis cohort over the whole arms, before any matching thins them out."""
+    a = arms(spark, folder)
+    s = a.study
+    return cohorts.analysis_cohort(
+        a.cases, a.positive, a.negative, s.positive_facts, s.all_facts, s.comorbidity_positive, s.comorbidity_all,
+        a.negative.select("person_id", "observation_before", "visits_before"),
+    )
+
+
+MODEL_COLUMNS = ("comorbidity_score", "case_arm", "positive_arm", "negative_arm", "vaccine_doses")
+COX_COLUMNS = ("comorbidity_score", "case_arm", "positive_arm", "vaccine_doses")
+FORMULA = ("case_arm", "positive_arm", "negative_arm", "vaccine_doses", "comorbidity_score")
+
+
+@query
+def analysis_cohort_unmatched(spark, folder):
+    return X.rounded(study_cohort(spark, folder))
+
+
+@query
+def corr_matrix_cohort(spark, folder):
+    columns = ("comorbidity_score", "morbid_obesity", "case_arm", "positive_arm", "negative_arm", "vaccine_doses", "death")
+    return X.rounded(describe.corr_matrix(study_cohort(spark, folder), columns, triangle=True))
+
+
+def _with_propensity(pre: DataFrame) -> DataFrame:
+    covariates = ["site_id", "age", "log_visit_rate", "index_day"]
+    return matching.propensity(checkpointed(pre), "is_case", covariates)
+
+
+@query
+def propensity(spark, folder):
+    """Fitted propensity of being a case, for cases and index-positive controls."""
+    return _with_propensity(arms(spark, folder).pre_match_positive).select("person_id", "is_case", "distance")
+
+
+def propensity_matched(pre: DataFrame) -> DataFrame:
+    scored = checkpointed(_with_propensity(pre))
+    return matching.matched_data(scored, matching.match_nearest(scored, "is_case", "distance", "site_id", CALIPERS))
+
+
+def matched_study(spark, folder) -> DataFrame:
+    """Arms to propensity-matched analysis cohort, end to end."""
+    a = arms(spark, folder)
+    s = a.study
+    m_pos = checkpointed(propensity_matched(a.pre_match_positive))
+    m_neg = checkpointed(propensity_matched(a.pre_match_negative))
+    cases = checkpointed(cohorts.matched_cases(a.cases.select("person_id", "index_date"), m_pos, m_neg))
+    return cohorts.analysis_cohort(
+        cases, cohorts.matched_controls(m_pos, cases), cohorts.matched_controls(m_neg, cases),
+        s.positive_facts, s.all_facts, s.comorbidity_positive, s.comorbidity_all,
+        a.negative.select("person_id", "observation_before", "visits_before"),
+    )
+
+
+@query
+def propensity_matched_cohort(spark, folder):
+    return matched_study(spark, folder)
+
+
+@query
+def odds_ratio_single(spark, folder):
+    table = glm.glm_binomial(study_cohort(spark, folder), "death", ["morbid_obesity"], ci="wald")
+    return X.rounded(table.select("term", "estimate", "std_error", "statistic", "conf_low", "conf_high"))
+
+
+@query
+def odds_ratio_single_profile(spark, folder):
+    return glm.glm_binomial(study_cohort(spark, folder), "death", ["morbid_obesity"])
+
+
+@query
+def odds_ratio_multi(spark, folder):
+    return glm.glm_binomial(study_cohort(spark, folder), "death", FORMULA)
+
+
+@query
+def odds_ratio_table(spark, folder):
+    return describe.odds_ratio_table(glm.glm_binomial(study_cohort(spark, folder), "death", FORMULA, ci="wald"))
+
+
+def _wide_table(spark, folder, three: bool) -> DataFrame:
+    a = arms(spark, folder, False)
+    return checkpointed(features_of(a.cohort_2b if three else a.cohort_2a))
+
+
+@query
+def odds_ratio_table_2a(spark, folder):
+    table = _wide_table(spark, folder, False)
+    fit = glm.glm_binomial(table, "death", features.features_except(table, "person_id", "death"), ci="wald")
+    return describe.odds_ratio_table(fit, max_high=10)
+
+
+@query
+def odds_ratio_table_2b(spark, folder):
+    table = _wide_table(spark, folder, True)
+    fit = glm.glm_binomial(table, "death", features.features_except(table, "person_id", "death"), ci="wald")
+    return describe.odds_ratio_table(fit)
+
+
+@query
+def cox_summary(spark, folder):
+    cohort = study_cohort(spark, folder)
+    target = features.survival_target(cohort, Study(spark, folder).deaths, STUDY_CUTOFF)
+    return survival.cox_summary(spark, survival.cox_fit(target, "duration", "death", COX_COLUMNS))
+
+
+def _model_table(spark, folder) -> DataFrame:
+    cohort = study_cohort(spark, folder).select("person_id", "death", *MODEL_COLUMNS)
+    return checkpointed(features.complete_cases(cohort, MODEL_COLUMNS))
+
+
+def _logistic_cv(spark, folder, table: DataFrame | None = None) -> DataFrame:
+    table = _model_table(spark, folder) if table is None else table
+    xs = features.features_except(table, "person_id", "death")
+    folds = evaluate.stratified_folds(table, "death", "person_id")
+    folds = models.prepared_folds(folds, xs, ["person_id", "death"])
+    fits = models.cross_fit(folds, models.logistic("death"))
+    return checkpointed(models.cross_score(folds, fits, ["person_id", "death"]))
+
+
+@query
+def logistic_cv_scores(spark, folder):
+    return _logistic_cv(spark, folder)
+
+
+@query
+def logistic_cv(spark, folder):
+    """Mean ROC curve of the 25 held-out folds of the five-feature logistic model."""
+    table = evaluate.score_table(_logistic_cv(spark, folder), y="death", by=["repeat", "fold"])
+    return evaluate.mean_roc(table, ["repeat", "fold"])
+
+
+@query
+def logistic_cv_2a(spark, folder):
+    table = _wide_table(spark, folder, False)
+    table = features.mean_impute(table, features.features_except(table, "person_id", "death"))
+    table = evaluate.score_table(_logistic_cv(spark, folder, table), y="death", by=["repeat", "fold"])
+    return evaluate.auc_stats(table, ["repeat", "fold"])
+
+
+@query
+def logistic_features(spark, folder):
+    """The features of the wide table, with how many rows know each."""
+    table = _wide_table(spark, folder, False)
+    return models.feature_list(table, features.features_except(table, "person_id", "death"))
+
+
+def _holdout_scores(spark, folder, fitter, table: DataFrame, xs) -> tuple[object, DataFrame]:
+    data = checkpointed(models.assemble(evaluate.holdout(table, "person_id"), xs).select("person_id", "death", "is_test", "x"))
+    model = fitter(data.filter("is_test = 0"))
+    return model, models.score(model, data.filter("is_test = 1"), ["person_id", "death"])
+
+
+@query
+def logistic_holdout(spark, folder):
+    """Confusion matrix of the logistic model on the held-out fifth."""
+    _, scored = _holdout_scores(spark, folder, models.logistic("death"), _model_table(spark, folder), MODEL_COLUMNS)
+    return evaluate.confusion(scored, models.LOGISTIC_CUTOFF, y="death")
+
+
+# Trees for the registered queries; the library defaults are the reference settings.
+QUERY_TREES = models.TreeParams(trees=10, depth=4)
+
+
+def _tree_table(spark, folder, three: bool = False) -> tuple[DataFrame, list[str]]:
+    table = _wide_table(spark, folder, three)
+    return models.missing_as_value(table, features.features_except(table, "person_id", "death"))
+
+
+def _tree_cv(spark, folder):
+    table, xs = _tree_table(spark, folder)
+    folds = evaluate.stratified_folds(table, "death", "person_id", k=5, repeats=1)
+    folds = models.prepared_folds(folds, xs, ["person_id", "death"])
+    return folds, xs, models.cross_fit(folds, models.boosted_trees("death", params=QUERY_TREES))
+
+
+@query
+def tree_holdout_2a(spark, folder):
+    """Best thresholds of boosted trees on the held-out fifth."""
+    table, xs = _tree_table(spark, folder)
+    _, scored = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+    return evaluate.best_threshold(evaluate.threshold_sweep(evaluate.score_table(checkpointed(scored), y="death")))
+
+
+@query
+def tree_importance(spark, folder):
+    table, xs = _tree_table(spark, folder)
+    model, _ = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+    return models.importance_top(models.importance(spark, model, xs))
+
+
+@query
+def tree_split_counts(spark, folder):
+    table, xs = _tree_table(spark, folder, True)
+    model, _ = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+    return models.split_counts(spark, model, xs)
+
+
+@query
+def tree_cv(spark, folder):
+    folds, _, fits = _tree_cv(spark, folder)
+    scores = checkpointed(models.cross_score(folds, fits, ["person_id", "death"]))
+    return evaluate.mean_roc(evaluate.score_table(scores, y="death", by=["repeat", "fold"]), ["repeat", "fold"])
+
+
+@query
+def tree_cv_importance(spark, folder):
+    _, xs, fits = _tree_cv(spark, folder)
+    return models.fold_importance_wide(models.fold_importance(spark, fits, xs), 5)
+
+
+@query
+def tree_importance_top(spark, folder):
+    _, xs, fits = _tree_cv(spark, folder)
+    return models.mean_importance_top(models.fold_importance(spark, fits, xs))
+
+
+@query
+def attribution_linear(spark, folder):
+    table = _model_table(spark, folder)
+    model = models.logistic("death")(models.assemble(table, MODEL_COLUMNS))
+    return attribution.linear_attribution(model, table, ["person_id"], MODEL_COLUMNS)
+
+
+def _tree_attributions(spark, folder) -> DataFrame:
+    folds, xs, fits = _tree_cv(spark, folder)
+    return attribution.fold_attribution(spark, folds, fits, ["person_id"], xs)
+
+
+@query
+def attribution_tree(spark, folder):
+    return _tree_attributions(spark, folder)
+
+
+@query
+def attribution_summary(spark, folder):
+    return attribution.attribution_summary(_tree_attributions(spark, folder))
+
+
+@query
+def attribution_quantiles(spark, folder):
+    return attribution.attribution_quantiles(_tree_attributions(spark, folder))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
+from ..runtime import checkpointed
 from .tables import read_table
 
 # Names of the condition indicators in the feature tables.
@@ -45,10 +46,19 @@ def _max_flag(predicate) -> F.Column:
 
 @dataclass
 class Study:
-    """Lazily built study inputs over one data folder."""
+    """Lazily built study inputs over one data folder.
+
+    With ``materialise`` the tables behind several others (index events, person days, history) are
+    written once on first use, so that a query built from many of them does not repeat the join of
+    orders and lines for each.
+    """
 
     spark: SparkSession
     folder: str
+    materialise: bool = False
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return checkpointed(df) if self.materialise else df
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
@@ -85,13 +95,13 @@ class Study:
     @cached_property
     def index_events(self) -> DataFrame:
         day = F.col("visit_start_date")
-        return self.micro_visits.groupBy("person_id").agg(
+        return self.keep(self.micro_visits.groupBy("person_id").agg(
             F.min(F.when(F.col("kind") == "1-URGENT", day)).alias("pos_date"),
             F.min(F.when(F.col("kind") == "4-NOT SPECIFIED", day)).alias("neg_date"),
             F.min(day).alias("first_visit_date"),
             F.max(day).alias("last_visit_date"),
             F.count(F.when(F.col("kind") == "3-MEDIUM", 1)).alias("doses"),
-        )
+        ))
 
     @cached_property
     def deaths(self) -> DataFrame:
@@ -112,7 +122,7 @@ class Study:
     def person_days(self) -> DataFrame:
         """One row per person and visit day."""
         kind, cost = F.col("kind"), F.col("cost")
-        return (
+        return self.keep(
             self.micro_visits.join(self.order_lines, F.col("visit_id") == F.col("l_orderkey"), "left")
             .groupBy("person_id", "visit_start_date")
             .agg(
@@ -134,7 +144,7 @@ class Study:
         gap = F.datediff("visit_start_date", "pos_date")
         index = self.index_events.filter("pos_date IS NOT NULL").select("person_id", "pos_date")
         day = F.col("visit_start_date")
-        return (
+        return self.keep(
             self.person_days.join(index, "person_id")
             .groupBy("person_id", "pos_date")
             .agg(
