@@ -149,7 +149,8 @@ def glm_binomial(df: DataFrame, y: str, xs: Sequence[str], ci: str = "profile")
     rows = {}
     for name, b, s, (low, high) in zip([INTERCEPT, *kept], beta, se, bounds):
         z = b / s
-        odds, odds_low, odds_high = (float(v) for v in np.exp([b, low, high]))
+        with np.errstate(over="ignore"):  # a separated term has an unbounded interval
+            odds, odds_low, odds_high = (float(v) for v in np.exp([b, low, high]))
         rows[name] = (name, odds, float(s), float(z), math.erfc(abs(z) / math.sqrt(2)), odds_low, odds_high, ci)
     ordered = [rows.get(name, (name, *[None] * 6, ci)) for name in [INTERCEPT, *xs]]
     return spark.createDataFrame(ordered, GLM_TABLE)

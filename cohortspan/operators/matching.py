@@ -39,7 +39,7 @@ from ..runtime import checkpointed, parts_for
 INF = float("inf")
 _STATE = (
     "unit long, l_chunk int, l_dist double, l_tie double, r_chunk int, r_dist double, r_tie double, "
-    "control long, control_chunk int"
+    "control long, gap double"
 )
 
 
@@ -51,16 +51,28 @@ def propensity(df: DataFrame, label: str, covariates: Sequence[str], out: str =
     return model.transform(assembled).withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
 
 
-def _chunked(units: DataFrame, chunk_rows: int) -> DataFrame:
-    n = units.count()
-    parts = parts_for(n, chunk_rows)
-    spread = (
-        units.repartition(1) if parts == 1
-        else units.repartitionByRange(parts, "grp", "score", "h", "unit")
-    )
+def _chunked(units: DataFrame, parts: int) -> DataFrame:
+    spread = units.repartitionByRange(parts, "grp", "score", "h", "unit")
     return checkpointed(spread.withColumn("chunk", F.spark_partition_id()))
 
 
+def _in_one_chunk(units: DataFrame, run) -> DataFrame:
+    """Everything fits one chunk: every walk ends inside it, so one visit settles all."""
+    start = {"chunk": 0, "slot": 0, "first_chunk": 0, "last_chunk": 0, "l_chunk": 0, "r_chunk": 0,
+             "l_dist": 0.0, "r_dist": 0.0, "l_tie": -1.0, "r_tie": -1.0}
+    visitors = units.filter("treated = 1").drop("treated").withColumns({k: F.lit(v) for k, v in start.items()})
+    controls = units.filter("treated = 0").select(
+        *[F.col(c).alias(c) for c in units.columns if c != "treated"], F.lit(0).alias("chunk"), F.lit(0).alias("slot"),
+        F.lit(-INF).alias("held_score"), F.lit(-1).cast("long").alias("held_by"),
+    )
+    moved = visitors.groupBy("chunk", "slot").cogroup(controls.groupBy("chunk", "slot")).applyInPandas(run, _STATE)
+    return _pairs(moved.filter("control IS NOT NULL"))
+
+
+def _pairs(taken: DataFrame) -> DataFrame:
+    return taken.select(F.col("unit").alias("treated_id"), F.col("control").alias("control_id"), "gap")
+
+
 def _first_acceptable(acceptable, start: int, stop: int, step: int) -> int:
     """First acceptable place from ``start`` towards ``stop`` (exclusive), or -1."""
     width, at = 64, start
@@ -137,11 +149,11 @@ def _visit(calipers: Sequence[tuple[str, float]], replace: bool):
             if taken >= 0:
                 if not replace:
                     held_score[taken], held_by[taken] = s, unit
-                out.append((unit, *left, *right, ids[taken], chunk))
+                out.append((unit, *left, *right, ids[taken], float(abs(score[taken] - s))))
             else:
                 out.append((unit, *left, *right, None, None))
         frame = pd.DataFrame(out, columns=[f.split()[0] for f in _STATE.split(", ")])
-        return frame.astype({"control": "Int64", "control_chunk": "Int32"})
+        return frame.astype({"control": "Int64", "gap": "float64"})
 
     return run
 
@@ -172,8 +184,12 @@ def match_nearest(
         hash_unit(unit).cast("double").alias("h"),
         *[F.col(c).cast("double").alias(c) for c in dims],
     ).dropna()
+    run = _visit([(c, float(calipers[c])) for c in dims], replace)
+    parts = parts_for(units.count(), chunk_rows)
+    if parts == 1:
+        return _in_one_chunk(units, run)
     shared = units.filter("treated = 0").select("grp").distinct()
-    units = _chunked(units.join(shared, "grp", "left_semi"), chunk_rows)
+    units = _chunked(units.join(shared, "grp", "left_semi"), parts)
     controls = units.filter("treated = 0").drop("treated")
     treated = units.filter("treated = 1").drop("treated").withColumnRenamed("chunk", "home")
 
@@ -213,7 +229,6 @@ def match_nearest(
     # Fresh column identities, so that both sides of the cogroup can be told apart.
     controls = checkpointed(controls.select(*[F.col(c).alias(c) for c in controls.columns]))
     held = None
-    run = _visit([(c, float(calipers[c])) for c in dims], replace)
 
     for _ in range(max_rounds):
         free = walks if held is None else walks.join(held.select("unit"), "unit", "left_anti")
@@ -249,15 +264,15 @@ def match_nearest(
             visitors.groupBy("chunk", "slot").cogroup(offered.groupBy("chunk", "slot")).applyInPandas(run, _STATE)
         )
         proposals = moved.filter("control IS NOT NULL").join(fixed.select("unit", "score"), "unit").select(
-            "control", "unit", "score"
+            "control", "unit", "score", "gap"
         )
         if replace:
             held = proposals if held is None else held.unionByName(proposals)
         else:
             every = proposals if held is None else held.unionByName(proposals)
-            best = F.max(F.struct("score", (-F.col("unit")).alias("neg"), "unit"))
+            best = F.max(F.struct("score", (-F.col("unit")).alias("neg"), "unit", "gap"))
             held = every.groupBy("control").agg(best.alias("_best")).select(
-                "control", F.col("_best.unit").alias("unit"), F.col("_best.score").alias("score")
+                "control", "_best.unit", "_best.score", "_best.gap"
             )
         held = checkpointed(held)
         walks = checkpointed(
@@ -267,10 +282,7 @@ def match_nearest(
         raise RuntimeError("matching did not settle")
     if held is None:
         return df.sparkSession.createDataFrame([], "treated_id long, control_id long, gap double")
-    return held.join(controls.select(F.col("unit").alias("control"), F.col("score").alias("_c")), "control").select(
-        F.col("unit").alias("treated_id"), F.col("control").alias("control_id"),
-        F.abs(F.col("score") - F.col("_c")).alias("gap"),
-    )
+    return _pairs(held)
 
 
 def matched_data(df: DataFrame, pairs: DataFrame, label: str = "is_case", unit: str = "person_id") -> DataFrame:
