@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, hash_unit, indicator
+from ..runtime import checkpointed
 from .prefix import prefix_sum, with_totals
 
 _DRAWS = 1 << 52
@@ -42,12 +43,11 @@ def score_table(
     scored: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), rows_per_part: int = 200_000
 ) -> DataFrame:
     """Per distinct score: positives, negatives, their running counts from the top, and the totals."""
-    groups = scored.groupBy(*by, F.col(score).alias("score")).agg(
+    groups = checkpointed(scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg")
-    )
-    running = prefix_sum(groups, list(by), [("score", False)], {"tp": "pos", "fp": "neg"}, rows_per_part)
-    totals = {"n_pos": F.count(F.when(F.col(y) == 1, 1)), "n_neg": F.count(F.when(F.col(y) == 0, 1))}
-    return with_totals(running, scored, by, totals)
+    ))
+    running = prefix_sum(groups, list(by), [("score", False)], {"tp": "pos", "fp": "neg"}, rows_per_part, True)
+    return with_totals(running, groups, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
 
 
 def _ratio(a, b):

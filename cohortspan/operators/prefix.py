@@ -17,14 +17,16 @@ def prefix_sum(
     order: Sequence[tuple[str, bool]],
     sums: Mapping[str, str],
     rows_per_part: int = 200_000,
+    materialised: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums ``{out: column}`` per ``group`` in ``order`` [(column, ascending)].
 
     Up to ``rows_per_part`` rows a plain window does. Beyond it the rows are range-partitioned by
     group and order, so that a hot group is spread over many parts; sums inside each part are then
-    shifted by what lies in the parts before it. Rows must be unique in (group, order).
+    shifted by what lies in the parts before it. Rows must be unique in (group, order). Pass
+    ``materialised`` when ``df`` reads a written table.
     """
-    df = checkpointed(df)
+    df = df if materialised else checkpointed(df)
     n = df.count()
     keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     frame = (W.unboundedPreceding, 0)

@@ -48,7 +48,7 @@ def _max_flag(predicate) -> F.Column:
 class Study:
     """Lazily built study inputs over one data folder.
 
-    With ``materialise`` the tables behind several others (index events, person days, history) are
+    With ``materialise`` the tables behind several others (index events, person history) are
     written once on first use, so that a query built from many of them does not repeat the join of
     orders and lines for each.
     """
@@ -122,7 +122,7 @@ class Study:
     def person_days(self) -> DataFrame:
         """One row per person and visit day."""
         kind, cost = F.col("kind"), F.col("cost")
-        return self.keep(
+        return (
             self.micro_visits.join(self.order_lines, F.col("visit_id") == F.col("l_orderkey"), "left")
             .groupBy("person_id", "visit_start_date")
             .agg(
@@ -139,10 +139,10 @@ class Study:
         )
 
     @cached_property
-    def _positive_history(self) -> DataFrame:
-        """Per index-positive person: what happened before, on and after the index date."""
+    def _history(self) -> DataFrame:
+        """Per person: totals, and what happened before, on and after the positive index date, if any."""
         gap = F.datediff("visit_start_date", "pos_date")
-        index = self.index_events.filter("pos_date IS NOT NULL").select("person_id", "pos_date")
+        index = self.index_events.select("person_id", "pos_date")
         day = F.col("visit_start_date")
         return self.keep(
             self.person_days.join(index, "person_id")
@@ -159,9 +159,15 @@ class Study:
                 F.bit_or(F.when(gap <= 0, F.col("conditions"))).alias("conditions"),
                 F.sum(F.when(gap <= 0, F.col("returned"))).cast("int").alias("returned"),
                 F.sum(F.when(gap <= 0, F.col("with_lines")).otherwise(0)).alias("with_lines"),
+                F.sum("returned").cast("int").alias("returned_total"),
+                F.sum("with_lines").alias("with_lines_total"),
             )
         )
 
+    @cached_property
+    def _positive_history(self) -> DataFrame:
+        return self._history.filter("pos_date IS NOT NULL")
+
     @cached_property
     def positive_facts(self) -> DataFrame:
         """One row per index-positive person, with one nullable indicator per condition."""
@@ -218,10 +224,8 @@ class Study:
 
     @cached_property
     def comorbidity_all(self) -> DataFrame:
-        return (
-            self.person_days.groupBy("person_id")
-            .agg(F.sum("returned").cast("int").alias("comorbidity_score"), F.sum("with_lines").alias("n"))
-            .filter("n > 0").drop("n")
+        return self._history.filter("with_lines_total > 0").select(
+            "person_id", F.col("returned_total").alias("comorbidity_score")
         )
 
     @cached_property
