@@ -98,7 +98,7 @@ def cross_fit(folded: DataFrame, fit: Fitter, threads: int = 4) -> dict[tuple[in
         return split, fit(folded.filter((F.col("repeat") == repeat) & (F.col("fold") != fold)))
 
     with ThreadPool(threads) as pool:
-        return dict(pool.map(inheritable_thread_target(train), splits))
+        return dict(pool.map(inheritable_thread_target(folded.sparkSession)(train), splits))
 
 
 def held_out(folded: DataFrame, split: tuple[int, int]) -> DataFrame:
@@ -115,8 +115,8 @@ def cross_score(folded: DataFrame, models: dict, columns: Sequence[str]) -> Data
 
 
 def prepared_folds(folded: DataFrame, xs: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Materialised (repeat, fold, columns, x): all fits read this instead of the study's plan."""
-    return checkpointed(assemble(folded, xs).select("repeat", "fold", *columns, "x"))
+    """Materialised (repeat, fold, columns, x), in one folder per fold: a fit reads only its folds."""
+    return checkpointed(assemble(folded, xs).select("repeat", "fold", *columns, "x"), ["repeat", "fold"])
 
 
 def importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:

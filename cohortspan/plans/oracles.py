@@ -271,6 +271,9 @@ FROM (WITH src AS (SELECT age, sex, race_ethnicity FROM {source})
 
 oracle("cohort_summary", _summary("cases"))
 oracle("cohort_summary_negative", _summary("negatives"))
+oracle("cohort_summary_positive", _summary("positives"))
+oracle("cohort_summary_2a", _summary("positive_facts WHERE (dx = 1 OR clinic = 1) AND age >= 18"))
+oracle("cohort_summary_2b", _summary("positive_facts WHERE (dx = 1 OR clinic = 1 OR phenotype = 1) AND age >= 18"))
 oracle("person_summary", _summary("person"))
 oracle("category_share", """
 SELECT sex, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM person)::DOUBLE, 2) AS percent_of_total

@@ -195,9 +195,7 @@ def pre_match_negative(spark, folder):
 
 @query
 def cohort_summary(spark, folder):
-    return describe.cohort_summary(
-        arms(spark, folder, False).cases, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6
-    )
+    return _summary(arms(spark, folder, False).cases)
 
 
 @query
@@ -207,15 +205,32 @@ def cohort_summary_negative(spark, folder):
     kept = a.negative.select("person_id").join(
         s.all_facts.select("person_id", "age", "sex", "race_ethnicity"), "person_id", "left"
     )
-    return describe.cohort_summary(kept, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6)
+    return _summary(kept)
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    return describe.cohort_summary(df, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6)
+
+
+@query
+def cohort_summary_positive(spark, folder):
+    return _summary(arms(spark, folder).positive)
+
+
+@query
+def cohort_summary_2a(spark, folder):
+    return _summary(arms(spark, folder, False).cohort_2a)
+
+
+@query
+def cohort_summary_2b(spark, folder):
+    return _summary(arms(spark, folder, False).cohort_2b)
 
 
 @query
 def person_summary(spark, folder):
     """Table 1 over every person, with unknown ages and sexes."""
-    return describe.cohort_summary(
-        Study(spark, folder).persons, race_names=SEGMENT_REPORT, race_default="Other", stat_digits=6
-    )
+    return _summary(Study(spark, folder).persons)
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +34,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that losing executors loses nothing.
 
+    With ``by`` the table is laid out in folders by those columns, evenly sized files each, so that
+    reading one of their values skips the rest.
+
     A written table rather than ``df.checkpoint()``: the latter keeps the constraints inferred from
     the old plan, and over many rounds those make planning slower than the work itself.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by:
+        df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def parts_for(n_rows: int, rows_per_part: int) -> int:
