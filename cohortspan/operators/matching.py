@@ -5,19 +5,23 @@ take the nearest control still free. Controls all prefer the same order of treat
 deferred acceptance in any order of proposals ends in exactly that matching. This is what makes the
 work distributable:
 
-* All units are range-partitioned by (exact group, score, hash of the id) into chunks of a bounded
-  number of rows. A group holding a third of all rows is just spread over more chunks.
-* A treated unit looks for its nearest control by walking outwards through the chunks of its group.
-  It visits one chunk at a time, keeping for either side the chunk it has got to and a lower bound
-  on the distance of whatever is left there. No list of candidate pairs exists at any point.
+* Space is cut into cells: the exact group and, per caliper, steps as wide as the caliper. A treated
+  unit's partners can only lie in its own and the adjacent cells, so it searches a few cells rather
+  than its whole group, and cells without controls drop out at once.
+* Controls, and each unit once per cell it searches, are range-partitioned by (cell, score, hash of
+  the id) into chunks of a bounded number of rows. A cell holding a third of all rows is just spread
+  over more chunks.
+* In each cell a unit walks outwards from its score, one chunk at a time, keeping for either side the
+  chunk it has got to and a lower bound on the distance of whatever is left there. It proposes once
+  its nearest find beats all its other bounds. No list of candidate pairs exists at any point.
 * Visitors of a chunk are dealt to slots of bounded size; every slot gets the chunk's controls and
   runs the sequential rule on its own. A control then keeps the best of its proposers, the others
   try again in the next round. A control only ever trades up, so what a unit has seen to be
   unavailable stays so.
 * Rounds repeat until no treated unit has anywhere left to go. The small state (who holds which
-  control, where each walk stands) is checkpointed every round.
+  control, where each walk stands) is written to the shared folder every round.
 
-Small inputs fit one chunk and need a single round.
+Small inputs fit one chunk and need a single visit without any of this.
 """
 
 from __future__ import annotations
@@ -37,10 +41,12 @@ from ..functions.expr import hash_unit
 from ..runtime import checkpointed, parts_for
 
 INF = float("inf")
+_WALK = ("l_chunk", "l_dist", "l_tie", "l_order", "r_chunk", "r_dist", "r_tie", "r_order")
 _STATE = (
-    "unit long, l_chunk int, l_dist double, l_tie double, r_chunk int, r_dist double, r_tie double, "
-    "control long, gap double"
+    "unit long, grp string, l_chunk int, l_dist double, l_tie double, l_order double, "
+    "r_chunk int, r_dist double, r_tie double, r_order double, control long, gap double"
 )
+_OPEN, _CLOSED = -1.0, INF  # tie ranks of a side not looked into yet, and of one used up
 
 
 def propensity(df: DataFrame, label: str, covariates: Sequence[str], out: str = "distance") -> DataFrame:
@@ -59,7 +65,8 @@ def _chunked(units: DataFrame, parts: int) -> DataFrame:
 def _in_one_chunk(units: DataFrame, run) -> DataFrame:
     """Everything fits one chunk: every walk ends inside it, so one visit settles all."""
     start = {"chunk": 0, "slot": 0, "first_chunk": 0, "last_chunk": 0, "l_chunk": 0, "r_chunk": 0,
-             "l_dist": 0.0, "r_dist": 0.0, "l_tie": -1.0, "r_tie": -1.0}
+             "l_dist": 0.0, "r_dist": 0.0, "l_tie": _OPEN, "r_tie": _OPEN, "l_order": -INF, "r_order": -INF,
+             "o_dist": INF, "o_tie": INF, "o_order": INF}
     visitors = units.filter("treated = 1").drop("treated").withColumns({k: F.lit(v) for k, v in start.items()})
     controls = units.filter("treated = 0").select(
         *[F.col(c).alias(c) for c in units.columns if c != "treated"], F.lit(0).alias("chunk"), F.lit(0).alias("slot"),
@@ -119,39 +126,41 @@ def _visit(calipers: Sequence[tuple[str, float]], replace: bool):
                     ok &= np.abs(values[places] - v[i]) <= width
                 return ok
 
-            def tie(i: int, side: float) -> float:
-                return float(abs(h[i] - hv)) if score[i] == s else side
+            def key(i: int, side: float) -> tuple[float, float, float]:
+                tie = float(abs(h[i] - hv)) if score[i] == s else side
+                return float(abs(score[i] - s)), tie, float(h[i] if side else -h[i])
 
+            others = (v[place["o_dist"]], v[place["o_tie"]], v[place["o_order"]])
             sides = {}
             for name, side, start, stop, step in (("l", 0.0, at - 1, a - 1, -1), ("r", 1.0, at, b, 1)):
-                known = (v[place[f"{name}_chunk"]], v[place[f"{name}_dist"]], v[place[f"{name}_tie"]])
+                known = tuple(v[place[f"{name}_{part}"]] for part in ("chunk", "dist", "tie", "order"))
                 found = -1
                 if known[0] == chunk:
                     found = _first_acceptable(acceptable, start, stop, step) if b > a else -1
                     if found >= 0:
-                        known = (chunk, float(abs(score[found] - s)), tie(found, side))
+                        known = (chunk, *key(found, side))
                     elif chunk == v[place["first_chunk" if name == "l" else "last_chunk"]]:
-                        known = (chunk, INF, INF)
+                        known = (chunk, INF, _CLOSED, INF)
                     else:
                         bound = known[1]
                         if b > a:
                             edge = a if name == "l" else b - 1
                             beyond = score[edge] <= s if name == "l" else score[edge] >= s
                             bound = max(bound, float(abs(score[edge] - s))) if beyond else bound
-                        known = (chunk + step, bound, -1.0)
+                        known = (chunk + step, bound, _OPEN, -INF)
                 sides[name] = (known, found)
             (left, left_at), (right, right_at) = sides["l"], sides["r"]
             taken = -1
-            if left_at >= 0 and left[1:] <= right[1:]:
+            if left_at >= 0 and left[1:] <= right[1:] and left[1:] < others:
                 taken = left_at
-            elif right_at >= 0 and right[1:] < left[1:]:
+            elif right_at >= 0 and right[1:] < left[1:] and right[1:] < others:
                 taken = right_at
             if taken >= 0:
                 if not replace:
                     held_score[taken], held_by[taken] = s, unit
-                out.append((unit, *left, *right, ids[taken], float(abs(score[taken] - s))))
+                out.append((unit, v[place["grp"]], *left, *right, ids[taken], float(abs(score[taken] - s))))
             else:
-                out.append((unit, *left, *right, None, None))
+                out.append((unit, v[place["grp"]], *left, *right, None, None))
         frame = pd.DataFrame(out, columns=[f.split()[0] for f in _STATE.split(", ")])
         return frame.astype({"control": "Int64", "gap": "float64"})
 
@@ -185,70 +194,64 @@ def match_nearest(
         *[F.col(c).cast("double").alias(c) for c in dims],
     ).dropna()
     run = _visit([(c, float(calipers[c])) for c in dims], replace)
-    parts = parts_for(units.count(), chunk_rows)
-    if parts == 1:
+    if units.count() <= chunk_rows:
         return _in_one_chunk(units, run)
-    shared = units.filter("treated = 0").select("grp").distinct()
-    units = _chunked(units.join(shared, "grp", "left_semi"), parts)
-    controls = units.filter("treated = 0").drop("treated")
-    treated = units.filter("treated = 1").drop("treated").withColumnRenamed("chunk", "home")
+
+    places = _cells(units, calipers)
+    chunked = _chunked(places, parts_for(places.count(), chunk_rows))
+    controls = chunked.filter("treated = 0").drop("treated")
+    treated = chunked.filter("treated = 1").drop("treated").withColumnRenamed("chunk", "home")
 
     # One row per chunk that has controls: at most as many as there are partitions.
     filled = controls.groupBy("chunk").agg(F.count("*").alias("n"))
     dense = filled.select("chunk", (F.row_number().over(W.orderBy("chunk")) - 1).alias("dense"))
     n_chunks = dense.count()
-    if n_chunks == 0:
-        return df.sparkSession.createDataFrame([], "treated_id long, control_id long, gap double")
     controls = controls.join(F.broadcast(dense), "chunk").drop("chunk").withColumnRenamed("dense", "chunk")
     edges = controls.groupBy("grp").agg(F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"))
-    homes = treated.select(F.col("home").alias("chunk"), F.lit(1).alias("asked")).distinct()
+    homes = treated.select(F.col("home").alias("chunk")).distinct()
     ordered = W.orderBy("chunk")
     nearby = homes.join(F.broadcast(dense), "chunk", "full").select(
         F.col("chunk").alias("home"),
         F.coalesce(F.last("dense", True).over(ordered.rowsBetween(W.unboundedPreceding, 0)), F.lit(-1)).alias("below"),
         F.coalesce(F.first("dense", True).over(ordered.rowsBetween(0, W.unboundedFollowing)), F.lit(n_chunks)).alias("above"),
     )
-    # A unit starts in its own chunk, or between the nearest chunks that have controls; a side on
-    # which its group has no controls is closed from the start.
+    # A walk starts in the unit's own chunk, or between the nearest chunks that have controls; a side
+    # on which the cell has no controls is closed from the start.
     left, right = F.least("below", "last_chunk"), F.greatest("above", "first_chunk")
-    no_left, no_right = left < F.col("first_chunk"), right > F.col("last_chunk")
+    starts = {}
+    for name, chunk, edge, closed in (
+        ("l", left, "first_chunk", left < F.col("first_chunk")), ("r", right, "last_chunk", right > F.col("last_chunk")),
+    ):
+        starts[f"{name}_chunk"] = F.when(closed, F.col(edge)).otherwise(chunk)
+        starts[f"{name}_dist"] = F.when(closed, INF).otherwise(0.0)
+        starts[f"{name}_tie"] = F.when(closed, _CLOSED).otherwise(_OPEN)
+        starts[f"{name}_order"] = F.when(closed, INF).otherwise(-INF)
     places = checkpointed(
         treated.join(F.broadcast(nearby), "home").join(edges, "grp").select(
-            "unit", "grp", "score", "h", *dims, "first_chunk", "last_chunk",
-            F.when(no_left, F.col("first_chunk")).otherwise(left).alias("l_chunk"),
-            F.when(no_left, INF).otherwise(0.0).alias("l_dist"),
-            F.when(no_left, INF).otherwise(-1.0).alias("l_tie"),
-            F.when(no_right, F.col("last_chunk")).otherwise(right).alias("r_chunk"),
-            F.when(no_right, INF).otherwise(0.0).alias("r_dist"),
-            F.when(no_right, INF).otherwise(-1.0).alias("r_tie"),
+            "unit", "grp", "score", "h", *dims, "first_chunk", "last_chunk", *[starts[c].alias(c) for c in _WALK]
         )
     )
-    fixed = places.select("unit", "grp", "score", "h", *dims, "first_chunk", "last_chunk")
-    walk_columns = ["unit", "l_chunk", "l_dist", "l_tie", "r_chunk", "r_dist", "r_tie"]
-    walks = places.select(*walk_columns)
+    fixed = places.drop(*_WALK)
+    scores = places.select("unit", "score").distinct()
+    walks = places.select("unit", "grp", *_WALK)
     # Fresh column identities, so that both sides of the cogroup can be told apart.
     controls = checkpointed(controls.select(*[F.col(c).alias(c) for c in controls.columns]))
     held = None
 
     for _ in range(max_rounds):
         free = walks if held is None else walks.join(held.select("unit"), "unit", "left_anti")
-        left_first = (F.col("l_dist") < F.col("r_dist")) | (
-            (F.col("l_dist") == F.col("r_dist")) & (F.col("l_tie") <= F.col("r_tie"))
-        )
-        visitors = (
-            free.filter(F.least("l_dist", "r_dist") < INF)
-            .join(fixed, "unit")
-            .withColumn("chunk", F.when(left_first, F.col("l_chunk")).otherwise(F.col("r_chunk")))
-        )
-        load = checkpointed(visitors.groupBy("chunk").agg(
-            F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("slots")
-        ))
-        if load.isEmpty():
+        visitors = checkpointed(_next_visits(free).join(fixed, ["unit", "grp"]))
+        load = visitors.groupBy("chunk").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("slots"))
+        # One number per chunk. While few chunks are visited, only their files are read.
+        load = {r.chunk: r.slots for r in load.collect()}
+        if not load:
             break
-        visitors = visitors.join(F.broadcast(load), "chunk").withColumn(
+        slots = df.sparkSession.createDataFrame(list(load.items()), "chunk int, slots int")
+        visitors = visitors.join(F.broadcast(slots), "chunk").withColumn(
             "slot", F.pmod(F.xxhash64("unit"), F.col("slots")).cast("int")
         ).drop("slots")
-        offered = controls.join(F.broadcast(load), "chunk").withColumn(
+        wanted = controls.filter(F.col("chunk").isin(list(load))) if len(load) <= 1000 else controls
+        offered = wanted.join(F.broadcast(slots), "chunk").withColumn(
             "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
         ).drop("slots")
         if held is None or replace:
@@ -263,20 +266,17 @@ def match_nearest(
         moved = checkpointed(
             visitors.groupBy("chunk", "slot").cogroup(offered.groupBy("chunk", "slot")).applyInPandas(run, _STATE)
         )
-        proposals = moved.filter("control IS NOT NULL").join(fixed.select("unit", "score"), "unit").select(
-            "control", "unit", "score", "gap"
-        )
-        if replace:
-            held = proposals if held is None else held.unionByName(proposals)
-        else:
-            every = proposals if held is None else held.unionByName(proposals)
+        proposals = moved.filter("control IS NOT NULL").join(scores, "unit").select("control", "unit", "score", "gap")
+        every = proposals if held is None else held.unionByName(proposals)
+        if not replace:
             best = F.max(F.struct("score", (-F.col("unit")).alias("neg"), "unit", "gap"))
-            held = every.groupBy("control").agg(best.alias("_best")).select(
+            every = every.groupBy("control").agg(best.alias("_best")).select(
                 "control", "_best.unit", "_best.score", "_best.gap"
             )
-        held = checkpointed(held)
+        held = checkpointed(every)
         walks = checkpointed(
-            walks.join(moved.select("unit"), "unit", "left_anti").unionByName(moved.select(*walk_columns))
+            walks.join(moved.select("unit", "grp"), ["unit", "grp"], "left_anti")
+            .unionByName(moved.select("unit", "grp", *_WALK))
         )
     else:
         raise RuntimeError("matching did not settle")
@@ -285,6 +285,51 @@ def match_nearest(
     return _pairs(held)
 
 
+def _cells(units: DataFrame, calipers: Mapping[str, float]) -> DataFrame:
+    """Controls in their cell, and treated units once in every cell near theirs that has controls."""
+    # A hair wider than the caliper, so that rounding cannot push a partner two cells away.
+    cells = {
+        c: F.floor(F.col(c) / F.lit(float(w) * (1 + 1e-9))) if w > 0 else F.col(c) for c, w in calipers.items()
+    }
+    controls = units.filter("treated = 0").withColumn(
+        "grp", F.concat_ws("|", "grp", *[cell.cast("string") for cell in cells.values()])
+    )
+    near = units.filter("treated = 1")
+    for c, w in calipers.items():
+        steps = F.sequence(cells[c] - 1, cells[c] + 1) if w > 0 else F.array(cells[c])
+        near = near.withColumn("_cell", F.explode(steps)).withColumn(
+            "grp", F.concat_ws("|", "grp", F.col("_cell").cast("string"))
+        ).drop("_cell")
+    occupied = controls.select("grp").distinct()
+    return checkpointed(controls.unionByName(near.join(occupied, "grp", "left_semi")))
+
+
+def _next_visits(free: DataFrame) -> DataFrame:
+    """The chunk each walk has to look into next, and the best bound among the unit's other walks.
+
+    A unit's most promising walk may propose. Its walks not looked into yet that could still hold
+    something nearer are searched in the same round. A unit has a few dozen walks at most.
+    """
+    left, right = (F.struct(*[F.col(f"{n}_{p}").alias(p) for p in ("dist", "tie", "order")]) for n in "lr")
+    rows = free.withColumns({"_bound": F.least(left, right), "_left": left <= right}).filter("_bound.dist < double('inf')")
+    own = W.partitionBy("unit")
+    ranked = own.orderBy("_bound", "grp")
+    known = F.min(F.when(F.col("_bound.tie") >= 0, F.col("_bound"))).over(own)
+    rows = rows.withColumns({
+        "_rank": F.row_number().over(ranked), "_next": F.lead("_bound").over(ranked), "_known": known,
+    }).filter((F.col("_rank") == 1) | ((F.col("_bound.tie") < 0) & (
+        F.col("_known").isNull() | (F.col("_bound.dist") <= F.col("_known.dist"))
+    )))
+
+    def other(part: str):
+        return F.when(F.col("_rank") > 1, -INF).otherwise(F.coalesce(F.col(f"_next.{part}"), F.lit(INF)))
+
+    return rows.withColumns({
+        "chunk": F.when(F.col("_left"), F.col("l_chunk")).otherwise(F.col("r_chunk")),
+        "o_dist": other("dist"), "o_tie": other("tie"), "o_order": other("order"),
+    }).drop("_bound", "_left", "_rank", "_next", "_known")
+
+
 def matched_data(df: DataFrame, pairs: DataFrame, label: str = "is_case", unit: str = "person_id") -> DataFrame:
     """Both ends of every pair with ``weights`` 1 and ``subclass``, the id of the pair's treated unit."""
     ends = pairs.select(F.col("treated_id").alias(unit), F.col("treated_id").alias("subclass"), F.lit(1).alias(label)) \
