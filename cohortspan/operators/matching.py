@@ -307,19 +307,13 @@ def _cells(units: DataFrame, calipers: Mapping[str, float]) -> DataFrame:
 def _next_visits(free: DataFrame) -> DataFrame:
     """The chunk each walk has to look into next, and the best bound among the unit's other walks.
 
-    A unit's most promising walk may propose. Its walks not looked into yet that could still hold
-    something nearer are searched in the same round. A unit has a few dozen walks at most.
+    A unit's most promising walk may propose. Its other walks are searched in the same round, so that
+    what others have taken meanwhile is known at once. A unit has a few dozen walks at most.
     """
     left, right = (F.struct(*[F.col(f"{n}_{p}").alias(p) for p in ("dist", "tie", "order")]) for n in "lr")
     rows = free.withColumns({"_bound": F.least(left, right), "_left": left <= right}).filter("_bound.dist < double('inf')")
-    own = W.partitionBy("unit")
-    ranked = own.orderBy("_bound", "grp")
-    known = F.min(F.when(F.col("_bound.tie") >= 0, F.col("_bound"))).over(own)
-    rows = rows.withColumns({
-        "_rank": F.row_number().over(ranked), "_next": F.lead("_bound").over(ranked), "_known": known,
-    }).filter((F.col("_rank") == 1) | ((F.col("_bound.tie") < 0) & (
-        F.col("_known").isNull() | (F.col("_bound.dist") <= F.col("_known.dist"))
-    )))
+    ranked = W.partitionBy("unit").orderBy("_bound", "grp")
+    rows = rows.withColumns({"_rank": F.row_number().over(ranked), "_next": F.lead("_bound").over(ranked)})
 
     def other(part: str):
         return F.when(F.col("_rank") > 1, -INF).otherwise(F.coalesce(F.col(f"_next.{part}"), F.lit(INF)))
@@ -327,7 +321,7 @@ def _next_visits(free: DataFrame) -> DataFrame:
     return rows.withColumns({
         "chunk": F.when(F.col("_left"), F.col("l_chunk")).otherwise(F.col("r_chunk")),
         "o_dist": other("dist"), "o_tie": other("tie"), "o_order": other("order"),
-    }).drop("_bound", "_left", "_rank", "_next", "_known")
+    }).drop("_bound", "_left", "_rank", "_next")
 
 
 def matched_data(df: DataFrame, pairs: DataFrame, label: str = "is_case", unit: str = "person_id") -> DataFrame:
