@@ -89,9 +89,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
     """Pairs (a, b) of fingerprints within ``radius`` that connect whatever all such pairs connect.
 
     Buckets of up to ``bucket_rows`` fingerprints are compared inside one row. A larger bucket is dealt
-    again by covering masks over the bits that still vary in it, which is exact again and ends, as every
-    mask fixes some of those bits.
+    again by covering masks over the bits that still vary in it, which is exact again and ends: more than
+    256 distinct fingerprints vary in nine bits or more, and then every mask fixes some of those bits.
     """
+    if bucket_rows < BUCKET_ROWS:
+        raise ValueError(f"bucket_rows must be {BUCKET_ROWS} or more")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
