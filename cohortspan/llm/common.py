@@ -88,31 +88,60 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(hashes: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive word hashes, by a rolling polynomial modulo 2**64."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n, np.uint64)
-        power, b = 1, base | 1
-        if k <= 16:
-            for j in range(k):
-                total += hashes[j:j + n] * np.uint64(power)
-                power = power * b % (1 << 64)
-        else:  # prefix sums of h[i] * b**i, shifted back by the inverse power
-            inverse = pow(b, -1, 1 << 64)
-            up = _powers(b, len(hashes))
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)))
-            total = (sums[k:] - sums[:-k]) * _powers(inverse, n)
-    return mixed(total)
-
-
-def _powers(b: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(b), np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+FILTER_BITS = 1 << 23  # size of a bit table of hashes, whatever goes into it
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
+        have[0] = 1
+        _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
+
+
+class RollingHash:
+    """Hashes of runs of words from a polynomial modulo 2**64 over their word hashes.
+
+    With ``second`` another, independent one: both together are a 128-bit key.
+    """
+
+    def __init__(self, hashes: np.ndarray, second: bool = False):
+        self.hashes = hashes
+        self.base = 0xC2B2AE3D27D4EB4F if second else 0x9E3779B97F4A7C15
+        own = mixed(hashes ^ np.uint64(self.base)) if second else hashes
+        self.sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * _powers(self.base, len(own)), dtype=np.uint64, out=self.sums[1:])
+
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        down = _powers(pow(self.base, -1, 1 << 64), len(self.sums))
+        return mixed((self.sums[end] - self.sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+    def grams(self, k: int) -> np.ndarray:
+        begin = np.arange(max(0, len(self.hashes) - k + 1))
+        return self.spans(begin, begin + k)
+
+
+def bit_table(hashes: DataFrame) -> bytes:
+    """A table of FILTER_BITS bits with the low bits of every hash ``h`` set, or-ed together by Spark.
+
+    Its size does not grow with the input. What it lets through is joined exactly afterwards.
+    """
+    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = hashes.select(
+        F.shiftright(place, 6).alias("row"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")
+    ).groupBy("row").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, "<i8")
+    for row, bits in rows.collect():
+        table[row] = bits
+    return table.tobytes()
+
+
+def passes(hashes: np.ndarray, table: bytes) -> np.ndarray:
+    place = hashes & np.uint64(FILTER_BITS - 1)
+    bits = np.frombuffer(table, np.uint8)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def sliding_argmin(values: np.ndarray, window: int) -> np.ndarray:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+import public_tokenizers
+
+from ..runtime import scratch_path
+from . import decontamination, mixing, sharding, simhash, substring_dedup, token_files
 from .common import table
 
 QUERIES = {}
@@ -14,6 +17,34 @@ def query(fn):
     return fn
 
 
+@query
+def op2_mix_sources(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 @query
 def op3_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_token_files(spark, folder):
+    tokens = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), tokens, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, tokens)
+
+
+@query
+def op6_substring_dedup(spark, folder):
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op9_decontaminate(spark, folder):
+    found = decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
+@query
+def op10_shards(spark, folder):
+    return sharding.shards(table(spark, folder, "documents"))
