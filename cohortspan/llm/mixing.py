@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,13 +75,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     if last is None:
         taken = F.lit(0)
     else:
-        limit = F.struct(*[F.lit(x) for x in last])
+        limit = F.struct(*[F.lit(x).alias(name) for x, name in zip(last, ("finish", "rank", "h", "pass"), strict=True)])
         taken = sum(F.when(_order(i) <= limit, F.col("size")).otherwise(0) for i in passes)
     return queue.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _order(i: int):
-    return F.struct(F.col(f"finish{i}"), F.col("rank"), F.col("h"), F.lit(i).cast("long"))
+    return F.struct(F.col(f"finish{i}").alias("finish"), "rank", "h", F.lit(i).cast("long").alias("pass"))
 
 
 def _last_copy(queue: DataFrame, passes: range, budget: float):
@@ -91,7 +91,7 @@ def _last_copy(queue: DataFrame, passes: range, budget: float):
     sums per interval, until what it holds can be sorted.
     """
     copies = queue.filter("size > 0").select("size", F.explode(F.array(*[_order(i) for i in passes])).alias("at")).select(
-        "size", F.col("at.col1").alias("finish"), F.col("at.rank"), F.col("at.h"), F.col("at.col4").alias("pass"))
+        "size", "at.*")
     low, high, before, total = 0.0, 1.0, 0, 0
     while True:
         inside = copies.filter((F.col("finish") >= low) & (F.col("finish") <= high))
@@ -115,8 +115,6 @@ def _last_copy(queue: DataFrame, passes: range, budget: float):
         n, low, high = crossed
         if n <= TAIL_ROWS or low == high:
             break
-    from pyspark.sql import Window
-
     done = copies.filter(F.col("finish") < low).agg(F.sum("size")).first()[0] or 0
     tail = copies.filter((F.col("finish") >= low) & (F.col("finish") <= high)).withColumn(
         "so_far", F.sum("size").over(Window.orderBy("finish", "rank", "h", "pass")))

@@ -33,7 +33,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     """Move cells (g1, g2, home: the rows of a group that began in one shard; n) and return them with ``shard``.
 
     A round moves a cell to the shard, of those with room, where its group has most rows (the lower one
-    on a tie), if that is more than its own. Moves enter a shard in hash order until its quota is used.
+    on a tie), if that is more than its own. Large moves enter a shard first, until its quota is used.
     Ends when nothing can move, or after ``rounds`` rounds, each of which leaves a valid state.
     """
     state = checkpointed(cells.withColumn("shard", F.col("home")))
@@ -48,8 +48,9 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
             (F.col("best.m") > F.col("m")) | ((F.col("best.m") == F.col("m")) & (-F.col("best.minus") < F.col("shard")))
         ).select("g1", "g2", "shard", (-F.col("best.minus")).alias("goal"))
         moves = state.join(wish, ["g1", "g2", "shard"]).select(
-            "g1", "g2", "home", "n", "goal", F.xxhash64("g1", "g2", "home").alias("h"))
-        moves = running_total(moves, ["goal"], ["h", "g1", "g2", "home"], "n", "entering", bits)
+            "g1", "g2", "home", "n", "goal",  # the top six bits of the order are the size's, large first
+            (F.shiftrightunsigned(F.xxhash64("g1", "g2", "home"), 6) - F.shiftleft(F.floor(F.log2("n")).cast("long"), 58)).alias("h"))
+        moves = running_total(moves, ["goal"], ["h", "g1", "g2", "home"], "n", "entering", bits + 6)
         moves = checkpointed(moves.filter(F.col("entering") <= _pick(room, F.col("goal"))).select("g1", "g2", "home", "goal"))
         if moves.isEmpty():
             break
