@@ -32,7 +32,7 @@ def _pick(values: list, shard: Column) -> Column:
 def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Move cells (g1, g2, home: the rows of a group that began in one shard; n) and return them with ``shard``.
 
-    A round moves a cell to the shard, of those with room, where its group has most rows (the lower one
+    A round moves a cell to the shard, of those with room for it, where its group has most rows (the lower one
     on a tie), if that is more than its own. Large moves enter a shard first, until its quota is used.
     Ends when nothing can move, or after ``rounds`` rounds, each of which leaves a valid state.
     """
@@ -42,12 +42,11 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     for _ in range(rounds):
         load = dict(state.groupBy("shard").agg(F.sum("n")).collect())
         room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)]
-        here = state.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("m"))
-        open_here = F.when(_pick(room, F.col("shard")) > 0, F.struct("m", (-F.col("shard")).alias("minus")))
-        wish = here.withColumn("best", F.max(open_here).over(group)).filter(
-            (F.col("best.m") > F.col("m")) | ((F.col("best.m") == F.col("m")) & (-F.col("best.minus") < F.col("shard")))
-        ).select("g1", "g2", "shard", (-F.col("best.minus")).alias("goal"))
-        moves = state.join(wish, ["g1", "g2", "shard"]).select(
+        here = state.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("m")).withColumn(
+            "held", F.collect_list(F.struct("m", (-F.col("shard")).alias("minus"))).over(group))  # one entry per shard
+        own = F.struct("m", (-F.col("shard")).alias("minus"))
+        better = F.array_max(F.filter("held", lambda x: (x > own) & (_pick(room, -x["minus"]) >= F.col("n"))))
+        moves = state.join(here, ["g1", "g2", "shard"]).withColumn("goal", -better["minus"]).filter("goal IS NOT NULL").select(
             "g1", "g2", "home", "n", "goal",  # the top six bits of the order are the size's, large first
             (F.shiftrightunsigned(F.xxhash64("g1", "g2", "home"), 6) - F.shiftleft(F.floor(F.log2("n")).cast("long"), 58)).alias("h"))
         moves = running_total(moves, ["goal"], ["h", "g1", "g2", "home"], "n", "entering", bits + 6)
