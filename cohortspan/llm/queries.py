@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import scratch_path
-from . import decontamination, mixing, sharding, simhash, substring_dedup, token_files
+from . import decontamination, mixing, secret_scan, sharding, simhash, substring_dedup, token_files
 from .common import table
 
 QUERIES = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_secret_scan(spark, folder):
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
 @query
 def op2_mix_sources(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
