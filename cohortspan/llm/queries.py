@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import scratch_path
-from . import decontamination, mixing, secret_scan, sharding, simhash, substring_dedup, token_files
+from . import decontamination, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -39,6 +39,11 @@ def op4_token_files(spark, folder):
     return token_files.read_tokens(spark, tokens)
 
 
+@query
+def op5_toxicity(spark, folder):
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op6_substring_dedup(spark, folder):
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
