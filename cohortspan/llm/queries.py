@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import scratch_path
-from . import decontamination, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, toxicity
+from . import decontamination, language_model, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -49,6 +49,11 @@ def op6_substring_dedup(spark, folder):
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op7_lm_score(spark, folder):
+    return language_model.scores(table(spark, folder, "documents"))
+
+
 @query
 def op9_decontaminate(spark, folder):
     found = decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
