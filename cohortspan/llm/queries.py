@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import scratch_path
-from . import decontamination, language_model, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, toxicity
+from . import decontamination, language_model, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, top_k, toxicity
 from .common import table
 
 QUERIES = {}
@@ -54,6 +54,11 @@ def op7_lm_score(spark, folder):
     return language_model.scores(table(spark, folder, "documents"))
 
 
+@query
+def op8_top_k(spark, folder):
+    return top_k.top_k(table(spark, folder, "embeddings"))
+
+
 @query
 def op9_decontaminate(spark, folder):
     found = decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
