@@ -44,12 +44,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, chunk: int = 1 << 16) -> in
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, text_key, fp) of every row; fp holds the 64 bits as a signed long, text_key is the text's hash."""
     def run(ids, texts):
-        fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        return {"doc_id": ids, "fp": fps}
+        return {"id": ids, "fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(docs, run, "doc_id long, fp long")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(keyed, run, f"id struct<doc_id: {kind}, text_key: bigint>, fp bigint").select("id.*", "fp")
 
 
 def cover(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -142,6 +143,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
     return edges
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row, and (fp, root, component_id) of every fingerprint."""
+    marked = checkpointed(fingerprints(docs, shingle))
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = connected_components(links(classes, radius))
+    members = checkpointed(classes.join(nodes, classes.fp == nodes.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked, checkpointed(members.join(firsts, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -150,12 +162,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     kept; they can link others and take the component's smallest known doc_id (null if there is none).
     Repeated rows stay repeated. Other columns of ``docs`` are not looked at.
     """
-    marked = checkpointed(fingerprints(docs, shingle))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    nodes = connected_components(links(classes, radius))
-    members = checkpointed(classes.join(nodes, classes.fp == nodes.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")))
-    firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = checkpointed(members.join(firsts, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select(
+    marked, named = _grouped(docs, shingle, radius)
+    return marked.join(named.drop("root"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id's, known ids first.
+
+    Of rows that share this doc_id too, the one with the smallest text hash stays, and one of equal rows.
+    """
+    marked, named = _grouped(docs, shingle, radius)
+    rows = checkpointed(marked.join(named, "fp").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    at = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    chosen = checkpointed(rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key", "n"), at).alias("x")).select(
+        "root", F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_key"), F.col("x.n").alias("_n")))
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("text_key") == F.col("_key")]
+    gone = checkpointed(rows.join(chosen, ["root"]).filter(~(same[0] & same[1])).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    several = checkpointed(chosen.filter("_n > 1").select("_id", "_key"))
+    same = [docs.doc_id.eqNullSafe(F.col("_id")), F.xxhash64(docs.text) == F.col("_key")]
+    kept = docs.join(gone, same, "left_anti")
+    if several.isEmpty():
+        return kept
+    again = kept.join(several, same, "left_semi")
+    return kept.join(several, same, "left_anti").unionByName(again.withColumn("_key", F.xxhash64("text")).dropDuplicates(
+        ["doc_id", "_key"]).drop("_key"))
