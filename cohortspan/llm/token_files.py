@@ -8,6 +8,7 @@ order. Files are written under another name and renamed, so that a repeated task
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -85,6 +86,12 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process: later tasks find its words known."""
+    return Encoder(path)
+
+
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str, bool]:
     """The file system of a folder, the folder's path there, and whether the machine can map its files."""
     parsed = urlparse(folder)
@@ -111,7 +118,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         for batch in batches:
             for ids, texts in _slices(batch):
                 if encode is None:
-                    encode = Encoder(tokenizer)
+                    encode = encoder(tokenizer)
                     fs.create_dir(base)
                     files = [fs.open_output_stream(d) for d in drafts]
                     end = encode.pack([end_id])
