@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import any_flag, day_gap, log_rate, min_gap_days, safe_rate
+from ..runtime import checkpointed
 
 
 def latest_event(events: DataFrame, key: str, ts: str, out: str) -> DataFrame:
@@ -43,18 +44,35 @@ def dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keep_first(df, keys, [])
 
 
+SET_ROWS = 1_000_000  # a set of at most so many keys is sent to every task
+SET_SALTS = 32
+
+
+def _with_mark(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_in`` = 1 where ``key`` occurs among ``members``, else null.
+
+    Few keys may hold all rows of ``df``, so its rows never meet by ``key`` alone: the set is collapsed and
+    counted first, then sent to the tasks, or, beyond ``SET_ROWS`` keys, joined in salted copies.
+    """
+    keys = checkpointed(members.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_in", F.lit(1)))
+    if keys.count() <= SET_ROWS:
+        return df.join(F.broadcast(keys), key, "left")
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SET_SALTS - 1))))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(SET_SALTS)).cast("int"))
+    return spread.join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def common_keys(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both frames restricted to key values that occur in the other."""
     return (
-        a.join(b.select(key).distinct(), key, "left_semi"),
-        b.join(a.select(key).distinct(), key, "left_semi"),
+        _with_mark(a, b, key).filter("_in = 1").select(*a.columns),
+        _with_mark(b, a, key).filter("_in = 1").select(*b.columns),
     )
 
 
 def in_set_flag(df: DataFrame, members: DataFrame, key: str, out: str) -> DataFrame:
     """1 where ``key`` occurs among ``members``, else 0 (null key included)."""
-    marks = members.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_in", F.lit(1))
-    return df.join(marks, key, "left").withColumn(out, F.coalesce("_in", F.lit(0))).drop("_in")
+    return _with_mark(df, members, key).select(*df.columns, F.coalesce("_in", F.lit(0)).alias(out))
 
 
 def exclude(df: DataFrame, other: DataFrame, key: str = "person_id") -> DataFrame:

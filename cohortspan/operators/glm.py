@@ -18,6 +18,7 @@ from .features import complete_cases
 
 Z95 = 1.959963984540054
 INTERCEPT = "(Intercept)"
+MAX_ITERATIONS = 50
 
 
 def covariate_patterns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,7 +75,8 @@ def _logit_sums(patterns: DataFrame, y: str, xs: Sequence[str], betas: np.ndarra
             label, n = pdf[y].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)
             for k in range(m):
                 eta = x @ betas[k]
-                mu = 1.0 / (1.0 + np.exp(-eta))
+                small = np.exp(-np.abs(eta))
+                mu = np.where(eta >= 0, 1.0, small) / (1.0 + small)
                 total[k, 0] += 2.0 * np.sum(n * (np.logaddexp(0.0, eta) - label * eta))
                 total[k, 1 : 1 + p] += x.T @ (n * (label - mu))
                 total[k, 1 + p :] += ((x * (n * mu * (1.0 - mu))[:, None]).T @ x).ravel()
@@ -82,54 +84,117 @@ def _logit_sums(patterns: DataFrame, y: str, xs: Sequence[str], betas: np.ndarra
         yield pd.DataFrame({"k": k.ravel(), "i": i.ravel(), "v": total.ravel()})
 
     out = np.zeros((m, 1 + p + p * p))
-    for r in patterns.mapInPandas(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
-        out[r.k, r.i] = r.v
+    found = patterns.mapInPandas(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+    out[found["k"], found["i"]] = found["v"]
     return out[:, 0], out[:, 1 : 1 + p], out[:, 1 + p :].reshape(m, p, p)
 
 
+REACH = 60.0  # a limit farther than this from the estimate, in linear-predictor units, is infinite
+STEP_REACH = 6.0
+NEWTON_STEPS = 80
+SEARCH_STEPS = 60
+
+
+def _newton_step(info: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """A Newton step that also moves along directions whose information has all but vanished."""
+    ridge = 1e-10 * max(1.0, float(np.max(np.diag(info), initial=0.0)))
+    return np.linalg.solve(info + ridge * np.eye(len(grad)), grad)
+
+
+def _constrained_fit(start: np.ndarray, j: int, fixed: float, scales: np.ndarray):
+    """Minimise the deviance with coefficient ``j`` fixed, by bounded Newton steps halved until they help.
+
+    A generator: yields coefficient vectors and is sent (deviance, gradient, information) of each.
+    """
+    b = start.copy()
+    b[j] = fixed
+    others = [i for i in range(len(b)) if i != j]
+    deviance, grad, info = yield b
+    for _ in range(NEWTON_STEPS if others else 0):
+        step = _newton_step(info[np.ix_(others, others)], grad[others])
+        if grad[others] @ step < 1e-9:
+            break
+        step *= min(1.0, STEP_REACH / float(np.max(np.abs(step) * scales[others])))
+        gain = float(grad[others] @ step)
+        share = 1.0
+        while share > 1e-6:
+            trial = b.copy()
+            trial[others] += share * step
+            found = yield trial
+            if found[0] <= deviance - 1e-4 * share * gain:
+                b, (deviance, grad, info) = trial, found
+                break
+            share /= 2
+        else:
+            break  # nothing along the step is better: as low as the numbers go
+    else:
+        if others:
+            raise RuntimeError("a constrained fit did not converge")
+    return b, deviance
+
+
+def _profile_limit(j: int, side: float, beta: np.ndarray, se: float, scales: np.ndarray, base: float):
+    """One profile limit; a generator like ``_constrained_fit``. Infinite if the deviance never rises enough."""
+    scale = scales[j]
+    width = min(Z95 * se, 2.0 / scale)
+    low, z_low, start = beta[j], -Z95, beta
+    while True:
+        high = beta[j] + side * width
+        start, deviance = yield from _constrained_fit(start, j, high, scales)
+        z_high = np.sqrt(max(deviance - base, 0.0)) - Z95
+        if z_high >= 0:
+            break
+        if width * scale > REACH:
+            return side * np.inf
+        low, z_low, width = high, z_high, 2 * width
+    for _ in range(SEARCH_STEPS):  # regula falsi, the stale end's value halved
+        if abs(z_high) < 1e-7 or abs(high - low) * scale < 1e-9:
+            return high
+        at = high - z_high * (high - low) / (z_high - z_low)
+        start, deviance = yield from _constrained_fit(start, j, at, scales)
+        z = np.sqrt(max(deviance - base, 0.0)) - Z95
+        if z * z_high < 0:
+            low, z_low = high, z_high
+        else:
+            z_low /= 2
+        high, z_high = at, z
+    raise RuntimeError("a profile limit did not converge")
+
+
 def profile_bounds(
-    patterns: DataFrame, y: str, xs: Sequence[str], beta: np.ndarray, se: np.ndarray, steps: int = 8, inner: int = 8
+    patterns: DataFrame, y: str, xs: Sequence[str], beta: np.ndarray, se: np.ndarray
 ) -> np.ndarray:
     """Profile-likelihood limits per coefficient (intercept first), as (p, 2).
 
     A limit is where the deviance, minimised over the other coefficients, has risen by the squared
-    normal quantile. The signed root of that rise is nearly linear, so a secant search settles in a
-    few steps; all limits of all coefficients advance together, sharing every pass over the data.
+    normal quantile. All limits are searched side by side: every pass over the data serves the next
+    question of each search that is still open.
     """
-    p = len(beta)
-    cases = [(j, side) for j in range(p) for side in (-1.0, 1.0)]
     base = _logit_sums(patterns, y, xs, beta[None, :])[0][0]
-    fixed = np.array([beta[j] + side * Z95 * se[j] for j, side in cases])
-    betas = np.repeat(beta[None, :], len(cases), axis=0)
-    last_b, last_z = np.array([beta[j] for j, _ in cases]), np.zeros(len(cases))
-    for _ in range(steps):
-        for row, (j, _side) in enumerate(cases):
-            betas[row, j] = fixed[row]
-        for _ in range(inner):
-            deviance, grad, info = _logit_sums(patterns, y, xs, betas)
-            moved = 0.0
-            for row, (j, _side) in enumerate(cases):
-                others = [i for i in range(p) if i != j]
-                if others:
-                    step = np.linalg.solve(info[row][np.ix_(others, others)], grad[row][others])
-                    betas[row, others] += step
-                    moved = max(moved, float(np.max(np.abs(step) / se[others])))
-            if moved < 1e-6:
-                break
-        z = np.sqrt(np.maximum(deviance - base, 0.0))
-        if np.all(np.abs(z - Z95) < 1e-6):
-            break
-        slope = (z - last_z) / np.where(fixed == last_b, 1.0, fixed - last_b)
-        step = np.where(np.abs(slope) > 1e-12, (Z95 - z) / np.where(slope == 0, 1.0, slope), 0.0)
-        last_b, last_z, fixed = fixed.copy(), z, fixed + step
-    return fixed.reshape(p, 2)
+    largest = patterns.agg(*[F.max(F.abs(F.col(f"`{x}`").cast("double"))).alias(f"m{i}") for i, x in enumerate(xs)]).first() if xs else ()
+    scales = np.array([1.0, *(float(m or 1.0) for m in largest)])
+    searches = {(j, k): _profile_limit(j, side, beta, se[j], scales, base)
+                for j in range(len(beta)) for k, side in enumerate((-1.0, 1.0))}
+    limits = np.zeros((len(beta), 2))
+    asked = {at: next(search) for at, search in searches.items()}
+    while asked:
+        order = list(asked)
+        found = _logit_sums(patterns, y, xs, np.array([asked[at] for at in order]))
+        for at, *answer in zip(order, *found, strict=True):
+            try:
+                asked[at] = searches[at].send(answer)
+            except StopIteration as done:
+                limits[at] = done.value
+                del asked[at]
+    return limits
 
 
 def glm_binomial(df: DataFrame, y: str, xs: Sequence[str], ci: str = "profile") -> DataFrame:
     """Logit model as a table of odds ratios, one row per term in formula order.
 
     Terms that depend linearly on earlier ones get a row of nulls. ``ci`` is ``profile`` or ``wald``
-    and is named in the output.
+    and is named in the output. A separated term's profile limit is infinite (an odds ratio of 0 or infinity) on
+    the side where the deviance never rises enough. A fit or a limit that does not converge raises.
     """
     spark = df.sparkSession
     patterns = checkpointed(covariate_patterns(df, [y, *xs]))
@@ -137,9 +202,12 @@ def glm_binomial(df: DataFrame, y: str, xs: Sequence[str], ci: str = "profile")
     kept = [x for x in xs if x not in aliased]
     assembled = VectorAssembler(inputCols=kept, outputCol="_x").transform(patterns)
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_x", labelCol=y, weightCol="n", maxIter=50, tol=1e-10
+        family="binomial", link="logit", featuresCol="_x", labelCol=y, weightCol="n", maxIter=MAX_ITERATIONS, tol=1e-10
     ).fit(assembled)
     beta = np.r_[model.intercept, model.coefficients.toArray()]
+    _, (grad,), (info,) = _logit_sums(patterns, y, kept, beta[None, :])
+    if grad @ _newton_step(info, grad) > 1e-6:  # what another step would still gain
+        raise RuntimeError("the regression did not converge")
     errors = model.summary.coefficientStandardErrors
     se = np.r_[errors[-1], errors[:-1]]
     if ci == "profile":

@@ -202,15 +202,14 @@ oracle("flag_cohort_3", """
 SELECT person_id, age, dx, clinic, phenotype FROM positive_facts
 WHERE (dx = 1 OR clinic = 1 OR phenotype = 1) AND age >= 18""")
 oracle("site_flag", """
-SELECT person_id, site_id,
-       CASE WHEN site_id IN (SELECT site_id FROM all_facts WHERE dx = 1 AND age >= 90) THEN 1 ELSE 0 END AS is_dx_site
+SELECT person_id, person_id // 5 AS practice_id,
+       CASE WHEN person_id // 5 IN (SELECT person_id // 5 FROM all_facts WHERE dx = 1) THEN 1 ELSE 0 END AS is_dx_site
 FROM all_facts""")
 oracle("common_sites", """
-SELECT person_id, site_id, 'old' AS side FROM cases WHERE age > 88
-  AND site_id IN (SELECT site_id FROM positives WHERE age < 20)
+SELECT person_id, person_id // 5 AS practice_id, 'case' AS side FROM cases
+  WHERE person_id // 5 IN (SELECT person_id // 5 FROM positives)
 UNION ALL
-SELECT person_id, site_id, 'young' AS side FROM positives WHERE age < 20
-  AND site_id IN (SELECT site_id FROM cases WHERE age > 88)""")
+SELECT person_id, person_id // 5, 'control' FROM positives WHERE person_id // 5 IN (SELECT person_id // 5 FROM cases)""")
 oracle("attrition_funnel", """
 SELECT 0 AS step, 'all' AS name, count(*) AS n FROM positive_facts
 UNION ALL SELECT 1, 'adult', count(*) FROM positive_facts WHERE age >= 18
@@ -231,8 +230,9 @@ UNION ALL SELECT 'positive|negative', count(*) FROM positives JOIN negatives USI
 oracle("cohort_overlap", """
 SELECT count(*) AS n FROM positive_facts WHERE (dx = 1 OR clinic = 1) AND age >= 18""")
 oracle("label_consistency", """
-SELECT person_id, confirmed_case, possible_case FROM all_facts
-WHERE confirmed_case = 0 AND possible_case = 0 AND neg_date IS NOT NULL""")
+SELECT (SELECT count(*) FROM idx WHERE pos_date IS NOT NULL) AS n_positive,
+       (SELECT count(*) FROM all_facts f JOIN idx i ON i.person_id = f.person_id
+        WHERE i.pos_date IS NOT NULL AND confirmed_case = 0 AND possible_case = 0) AS n_inconsistent""")
 oracle("pre_match_positive", "SELECT * FROM pre_match_pos")
 oracle("pre_match_negative", "SELECT * FROM pre_match_neg")
 

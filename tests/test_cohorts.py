@@ -106,3 +106,19 @@ def test_strip_suffix_and_odds_table(spark):
     ], "term string, estimate double, std_error double, statistic double, p_value double, conf_low double, conf_high double, conf_method string")
     assert rows(describe.odds_ratio_table(table, 10), "term", "significance") == [("a", "Significant")]
     assert describe.odds_ratio_table(table).filter("significance IS NULL").count() == 1
+
+
+def test_set_membership_never_shuffles_the_cohort_by_a_hot_key(spark, monkeypatch, capsys):
+    people = spark.range(200).selectExpr("id AS person_id", "id % 3 AS site_id")
+    members = people.filter("person_id = 4")
+    for limit in (10, 0):
+        monkeypatch.setattr(cohorts, "SET_ROWS", limit)
+        flagged = cohorts.in_set_flag(people, members, "site_id", "flag")
+        assert flagged.filter("flag = 1").count() == flagged.filter("site_id = 1").count() == 67
+        left, right = cohorts.common_keys(people, members, "site_id")
+        assert (left.count(), right.count()) == (67, 1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        flagged.explain()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        import re
+        assert not re.search(r"hashpartitioning\(site_id#\d+L?, \d+\)", capsys.readouterr().out)

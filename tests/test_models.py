@@ -49,6 +49,32 @@ def test_glm_drops_aliased_arm_and_matches_newton(cohort):
     assert np.allclose([r.std_error for r in got], se, atol=1e-6)
 
 
+def test_profile_limits_of_separated_and_aliased_terms(spark):
+    """Adults outside all groups have no event: intercept and groups are separated together."""
+    rows = [(g, int(g == k), int(g == 3), e) for g, n, events in ((0, 30, 0), (1, 60, 12), (2, 50, 4)) for k in (1,) for e in
+            [1] * events + [0] * (n - events)]
+    df = spark.createDataFrame([(float(g == 1), float(g == 2), float(g != 0), c, e) for g, _, c, e in rows],
+                               "g1 double, g2 double, either double, never int, y int")
+    out = {r.term: r for r in glm.glm_binomial(df, "y", ["g1", "g2", "either", "never"]).collect()}
+    assert out["either"].estimate is None and out["never"].estimate is None
+    assert out["(Intercept)"].conf_low == 0 and 0 < out["(Intercept)"].conf_high < 1
+    assert out["g1"].conf_high == math.inf and 1 < out["g1"].conf_low < math.inf
+    two = spark.createDataFrame([(1.0, 1)] * 12 + [(1.0, 0)] * 48 + [(0.0, 1)] * 4 + [(0.0, 0)] * 46, "x double, y int")
+    limits = {r.term: r for r in glm.glm_binomial(two, "y", ["x"]).collect()}["x"]
+
+    def rise(b):  # of the 2x2 table, the intercept minimised by bisection
+        low, high = -30.0, 30.0
+        for _ in range(200):
+            a = (low + high) / 2
+            p1, p0 = 1 / (1 + math.exp(-a - b)), 1 / (1 + math.exp(-a))
+            low, high = (a, high) if 16 > 60 * p1 + 50 * p0 else (low, a)
+        return -2 * (12 * math.log(p1) + 48 * math.log(1 - p1) + 4 * math.log(p0) + 46 * math.log(1 - p0))
+
+    best = rise(math.log(limits.estimate))
+    for bound in (limits.conf_low, limits.conf_high):
+        assert abs(rise(math.log(bound)) - best - 3.841458820694124) < 1e-5
+
+
 def test_profile_bounds_raise_deviance_by_the_quantile(cohort):
     wald = {r.term: r for r in glm.glm_binomial(cohort, "death", ["score"], ci="wald").collect()}
     out = {r.term: r for r in glm.glm_binomial(cohort, "death", ["score"], ci="profile").collect()}
