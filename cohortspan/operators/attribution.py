@@ -17,7 +17,7 @@ from .models import held_out, tree_nodes
 _LONG = "feature string, value double, attribution double"
 
 
-def linear_attribution(model, df: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
+def linear_attribution(coefficients: Sequence[float], df: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """Coefficient times distance from the mean, per row and feature: columns only, no Python."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in xs]).alias("means")).scalar()
     parts = [
@@ -25,7 +25,7 @@ def linear_attribution(model, df: DataFrame, keys: Sequence[str], xs: Sequence[s
             F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
             (F.lit(float(w)) * (F.col(c) - F.col("_means").getField(c))).alias("attribution"),
         )
-        for c, w in zip(xs, model.coefficients.toArray())
+        for c, w in zip(xs, coefficients, strict=True)
     ]
     return df.withColumn("_means", means).select(*keys, F.inline(F.array(*parts)))
 

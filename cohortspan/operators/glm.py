@@ -112,7 +112,7 @@ def _constrained_fit(start: np.ndarray, j: int, fixed: float, scales: np.ndarray
     deviance, grad, info = yield b
     for _ in range(NEWTON_STEPS if others else 0):
         step = _newton_step(info[np.ix_(others, others)], grad[others])
-        if grad[others] @ step < 1e-9:
+        if grad[others] @ step < 1e-13:
             break
         step *= min(1.0, STEP_REACH / float(np.max(np.abs(step) * scales[others])))
         gain = float(grad[others] @ step)
@@ -148,7 +148,7 @@ def _profile_limit(j: int, side: float, beta: np.ndarray, se: float, scales: np.
             return side * np.inf
         low, z_low, width = high, z_high, 2 * width
     for _ in range(SEARCH_STEPS):  # regula falsi, the stale end's value halved
-        if abs(z_high) < 1e-7 or abs(high - low) * scale < 1e-9:
+        if abs(z_high) < 1e-9 or abs(high - low) * scale < 1e-11:
             return high
         at = high - z_high * (high - low) / (z_high - z_low)
         start, deviance = yield from _constrained_fit(start, j, at, scales)

@@ -50,8 +50,8 @@ _OPEN, _CLOSED = -1.0, INF  # tie ranks of a side not looked into yet, and of on
 
 
 def propensity(df: DataFrame, label: str, covariates: Sequence[str], out: str = "distance") -> DataFrame:
-    """Add the fitted probability of ``label`` from an unpenalised logistic model."""
-    assembled = VectorAssembler(inputCols=list(covariates), outputCol="_x", handleInvalid="skip").transform(df)
+    """Add the fitted probability of ``label`` from an unpenalised logistic model. A missing covariate raises."""
+    assembled = VectorAssembler(inputCols=list(covariates), outputCol="_x", handleInvalid="error").transform(df)
     model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0, probabilityCol="_p",
                                rawPredictionCol="_raw", predictionCol="_pred", maxIter=100, tol=1e-9).fit(assembled)
     return model.transform(assembled).withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
@@ -183,6 +183,7 @@ def match_nearest(
     Equal distances are settled by side (the lower score first); among controls of the very same
     score as the treated unit by the distance of the id hashes, which spreads exact copies.
     With ``replace`` every treated unit gets its nearest control, shared or not.
+    A unit without a score, a group or a caliper's value cannot be placed; any such unit raises.
     """
     dims = list(calipers)
     units = df.select(
@@ -192,9 +193,15 @@ def match_nearest(
         F.col(score).cast("double").alias("score"),
         hash_unit(unit).cast("double").alias("h"),
         *[F.col(c).cast("double").alias(c) for c in dims],
-    ).dropna()
+    )
+    unknown = F.lit(False)
+    for c in units.columns:
+        unknown = unknown | F.col(c).isNull()
+    n_units, n_unknown = units.agg(F.count("*"), F.count(F.when(unknown, 1))).first()
+    if n_unknown:
+        raise ValueError(f"{n_unknown} of {n_units} units lack a value among {', '.join(units.columns)}")
     run = _visit([(c, float(calipers[c])) for c in dims], replace)
-    if units.count() <= chunk_rows:
+    if n_units <= chunk_rows:
         return _in_one_chunk(units, run)
 
     places = _cells(units, calipers)

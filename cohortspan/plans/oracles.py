@@ -502,7 +502,8 @@ SELECT s.person_id, s.index_date, 0, 0, 1, f.death, coalesce(f.morbid_obesity, 0
 FROM kept_neg s JOIN all_facts f ON f.person_id = s.person_id LEFT JOIN cci_all c ON c.person_id = s.person_id
 LEFT JOIN history_neg h ON h.person_id = s.person_id"""
 
-for _name, _arm in (("match_pairs_positive", "pos"), ("match_pairs_negative", "neg")):
+for _name, _arm in (("match_pairs_positive", "pos"), ("match_pairs_negative", "neg"),
+                    ("match_pairs_positive_chunked", "pos"), ("match_pairs_negative_chunked", "neg")):
     oracle(_name, f"SELECT treated_id, control_id, gap FROM pairs_{_arm}")
 oracle("nearest_control", f"""
 SELECT t.person_id AS treated_id, arg_min(c.person_id, {_NEAREST}) AS control_id, min(abs(c.distance - t.distance)) AS gap
@@ -561,3 +562,73 @@ oracle("logistic_features", "\nUNION ALL ".join(
     f"SELECT '{c}' AS feature, count({c}) AS n_known FROM features_a" for c in (
         *CONDITIONS, "vaccine_doses", "hospitalised", "race_building", "race_household", "race_machinery", "race_other",
         "age_under45", "age_46to65", "age_66plus", "male")))
+
+CTES["cells"] = """
+SELECT count(CASE WHEN morbid_obesity = 0 AND death = 1 THEN 1 END)::DOUBLE AS d0,
+       count(CASE WHEN morbid_obesity = 0 AND death = 0 THEN 1 END)::DOUBLE AS a0,
+       count(CASE WHEN morbid_obesity = 1 AND death = 1 THEN 1 END)::DOUBLE AS d1,
+       count(CASE WHEN morbid_obesity = 1 AND death = 0 THEN 1 END)::DOUBLE AS a1 FROM whole_cohort"""
+CTES["wald_rows"] = """
+SELECT '(Intercept)' AS term, ln(d0 / a0) AS b, sqrt(1 / d0 + 1 / a0) AS se, d0, a0, d1, a1 FROM cells
+UNION ALL SELECT 'morbid_obesity', ln(d1 / a1) - ln(d0 / a0), sqrt(1 / d0 + 1 / a0 + 1 / d1 + 1 / a1), d0, a0, d1, a1 FROM cells"""
+
+oracle("odds_ratio_table_single", """
+SELECT term, round(exp(b), 6) AS estimate, round(exp(b - 1.959963984540054 * se), 6) AS conf_low,
+       round(exp(b + 1.959963984540054 * se), 6) AS conf_high,
+       CASE WHEN abs(b / se) > 1.959963984540054 THEN 'Significant' ELSE 'Non-Significant' END AS significance
+FROM wald_rows WHERE exp(b + 1.959963984540054 * se) <= 1""")
+# Profile limits of a two-by-two table by bisection. With the slope fixed the intercept solves a quadratic in
+# its exponential u; with the intercept fixed the slope fits its own group exactly.
+oracle("odds_ratio_single_profile", """
+SELECT term, round(exp(any_value(b)), 6) AS estimate, round(any_value(se), 6) AS std_error,
+       round(exp(max(CASE WHEN side = -1 THEN far END)), 6) AS conf_low,
+       round(exp(max(CASE WHEN side = 1 THEN far END)), 6) AS conf_high, 'profile' AS conf_method
+FROM (
+  WITH RECURSIVE search AS (
+    SELECT term, b, se, d0, a0, d1, a1, side, b AS near, b + side * 40.0 AS far, 0 AS step FROM wald_rows, (VALUES (-1), (1)) s(side)
+    UNION ALL
+    SELECT term, b, se, d0, a0, d1, a1, side, CASE WHEN rise < 3.841458820694124 THEN mid ELSE near END,
+           CASE WHEN rise < 3.841458820694124 THEN far ELSE mid END, step + 1
+    FROM (
+      SELECT *, CASE WHEN term = '(Intercept)' THEN 2 * ((d0 + a0) * ln(1 + exp(mid)) - d0 * mid - (d0 + a0) * ln((d0 + a0) / a0) + d0 * ln(d0 / a0))
+                ELSE 2 * ((d0 + a0) * ln(1 + u) - d0 * ln(u) + (d1 + a1) * ln(1 + u * e) - d1 * ln(u * e)
+                          - (d0 + a0) * ln((d0 + a0) / a0) + d0 * ln(d0 / a0) - (d1 + a1) * ln((d1 + a1) / a1) + d1 * ln(d1 / a1)) END AS rise
+      FROM (
+        SELECT *, (-q + sqrt(q * q + 4 * e * (a0 + a1) * (d0 + d1))) / (2 * e * (a0 + a1)) AS u
+        FROM (
+          SELECT *, (near + far) / 2 AS mid, exp((near + far) / 2) AS e,
+                 (d1 + a1) * exp((near + far) / 2) + d0 + a0 - (d0 + d1) * (1 + exp((near + far) / 2)) AS q
+          FROM search WHERE step < 80)))
+  ) SELECT * FROM search WHERE step = 80)
+GROUP BY term""")
+
+_COEFFICIENTS = {"comorbidity_score": 0.3, "case_arm": 0.8, "positive_arm": -0.2, "negative_arm": -0.6, "vaccine_doses": -0.1}
+CTES["known_cohort"] = "SELECT * FROM whole_cohort WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _COEFFICIENTS)
+CTES["given_attribution"] = "\nUNION ALL ".join(
+    f"SELECT person_id, '{c}' AS feature, {c}::DOUBLE AS value, {w} * ({c} - avg({c}) OVER ()) AS attribution FROM known_cohort"
+    for c, w in _COEFFICIENTS.items())
+oracle("attribution_given", "SELECT person_id, feature, value, round(attribution, 6) AS attribution FROM given_attribution")
+oracle("attribution_summary_given", """
+SELECT feature, round(avg(abs(attribution)), 6) AS mean_abs,
+       CASE WHEN corr(attribution, value) > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM given_attribution GROUP BY feature""")
+oracle("attribution_quantiles_given", """
+SELECT feature, round(mean_abs, 6) AS mean_abs, q AS quantile, round(list_sort(a)[greatest(1, ceil(q * len(a)))::INT], 6) AS attribution,
+       list_sort(v)[greatest(1, ceil(q * len(v)))::INT] AS value
+FROM (SELECT feature, avg(abs(attribution)) AS mean_abs, list(attribution) AS a, list(value) AS v
+      FROM given_attribution GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 4),
+     (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) t(q)""")
+
+CTES["given_importance"] = """
+SELECT o_orderkey % 5 AS repeat, (o_orderkey // 5) % 5 AS fold, 'f' || (o_custkey % 60) AS feature,
+       sum(o_totalprice)::DOUBLE / sum(sum(o_totalprice)) OVER (PARTITION BY o_orderkey % 5, (o_orderkey // 5) % 5)::DOUBLE AS importance
+FROM orders GROUP BY 1, 2, 3"""
+oracle("importance_by_fold_given", "SELECT feature, " + ", ".join(
+    f"round(max(CASE WHEN repeat * 5 + fold = {i} THEN importance END), 6) AS importance{i}" for i in range(25)
+) + " FROM given_importance GROUP BY feature")
+oracle("importance_mean_given", """
+SELECT feature, round(avg(importance), 6) AS mean_importance FROM given_importance GROUP BY feature
+ORDER BY avg(importance) DESC, feature LIMIT 50""")
+oracle("importance_top_given", """
+SELECT feature, round(importance, 6) AS importance FROM given_importance WHERE repeat = 0 AND fold = 0
+ORDER BY given_importance.importance DESC, feature LIMIT 50""")

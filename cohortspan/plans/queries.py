@@ -442,6 +442,22 @@ def match_pairs_negative(spark, folder):
     return given_score_pairs(arms(spark, folder), "negative")[1]
 
 
+# So few rows per chunk that the walks over chunks and the rounds of acceptance run on small tables too.
+SMALL_CHUNK = 300
+
+
+@query
+def match_pairs_positive_chunked(spark, folder):
+    pre = checkpointed(_given_score(arms(spark, folder).pre_match_positive))
+    return matching.match_nearest(pre, "is_case", "distance", "site_id", CALIPERS, chunk_rows=SMALL_CHUNK)
+
+
+@query
+def match_pairs_negative_chunked(spark, folder):
+    pre = checkpointed(_given_score(arms(spark, folder).pre_match_negative))
+    return matching.match_nearest(pre, "is_case", "distance", "site_id", CALIPERS, chunk_rows=SMALL_CHUNK)
+
+
 @query
 def nearest_control(spark, folder):
     """Each case's nearest control inside the calipers, controls being shared."""
@@ -572,7 +588,16 @@ def odds_ratio_single(spark, folder):
 
 @query
 def odds_ratio_single_profile(spark, folder):
-    return glm.glm_binomial(study_cohort(spark, folder), "death", ["morbid_obesity"])
+    table = glm.glm_binomial(study_cohort(spark, folder), "death", ["morbid_obesity"])
+    return X.rounded(table.select("term", "estimate", "std_error", "conf_low", "conf_high", "conf_method"))
+
+
+@query
+def odds_ratio_table_single(spark, folder):
+    """The forest-plot table of the one-predictor model, rows with an upper limit of at most 1 only."""
+    fit = glm.glm_binomial(study_cohort(spark, folder), "death", ["morbid_obesity"], ci="wald")
+    table = describe.odds_ratio_table(fit, max_high=1)
+    return X.rounded(table.select("term", "estimate", "conf_low", "conf_high", "significance"))
 
 
 @query
@@ -726,7 +751,7 @@ def tree_importance_top(spark, folder):
 def attribution_linear(spark, folder):
     table = _model_table(spark, folder)
     model = models.logistic("death")(models.assemble(table, MODEL_COLUMNS))
-    return attribution.linear_attribution(model, table, ["person_id"], MODEL_COLUMNS)
+    return attribution.linear_attribution(model.coefficients.toArray(), table, ["person_id"], MODEL_COLUMNS)
 
 
 def _tree_attributions(spark, folder) -> DataFrame:
@@ -747,3 +772,53 @@ def attribution_summary(spark, folder):
 @query
 def attribution_quantiles(spark, folder):
     return attribution.attribution_quantiles(_tree_attributions(spark, folder))
+
+
+# The steps after a fit, on given coefficients and on importances that are shares of the order value.
+GIVEN_COEFFICIENTS = (0.3, 0.8, -0.2, -0.6, -0.1)
+
+
+def _given_attributions(spark, folder) -> DataFrame:
+    table = _model_table(spark, folder)
+    return attribution.linear_attribution(GIVEN_COEFFICIENTS, table, ["person_id"], MODEL_COLUMNS)
+
+
+@query
+def attribution_given(spark, folder):
+    return X.rounded(_given_attributions(spark, folder))
+
+
+@query
+def attribution_summary_given(spark, folder):
+    table = attribution.attribution_summary(checkpointed(_given_attributions(spark, folder)))
+    return X.rounded(table.select("feature", "mean_abs", "direction"))
+
+
+@query
+def attribution_quantiles_given(spark, folder):
+    return X.rounded(attribution.attribution_quantiles(checkpointed(_given_attributions(spark, folder)), k=4))
+
+
+def _given_importance(spark, folder) -> DataFrame:
+    orders = Study(spark, folder).table("orders").select(
+        F.expr("CAST(o_orderkey % 5 AS INT) AS repeat"), F.expr("CAST((o_orderkey DIV 5) % 5 AS INT) AS fold"),
+        F.expr("concat('f', o_custkey % 60) AS feature"), F.col("o_totalprice").cast("double").alias("price"))
+    sums = checkpointed(orders.groupBy("repeat", "fold", "feature").agg(F.sum("price").alias("price")))
+    totals = sums.groupBy("repeat", "fold").agg(F.sum("price").alias("total"))
+    return sums.join(totals, ["repeat", "fold"]).select("repeat", "fold", "feature", (F.col("price") / F.col("total")).alias("importance"))
+
+
+@query
+def importance_by_fold_given(spark, folder):
+    return X.rounded(models.fold_importance_wide(_given_importance(spark, folder), 5))
+
+
+@query
+def importance_mean_given(spark, folder):
+    return X.rounded(models.mean_importance_top(_given_importance(spark, folder)))
+
+
+@query
+def importance_top_given(spark, folder):
+    one = _given_importance(spark, folder).filter("repeat = 0 AND fold = 0").select("feature", "importance")
+    return X.rounded(models.importance_top(one))

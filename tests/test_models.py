@@ -192,5 +192,5 @@ def test_cross_scores_cover_every_row_once_per_repeat(spark, cohort):
     fits = models.cross_fit(folded, models.logistic("death"))
     out = models.cross_score(folded, fits, ["id", "death"])
     assert out.count() == 600 and out.select("id").distinct().count() == 600
-    lin = A.linear_attribution(fits[(0, 0)], cohort, ["id"], ["score", "doses"])
+    lin = A.linear_attribution(fits[(0, 0)].coefficients.toArray(), cohort, ["id"], ["score", "doses"])
     assert abs(lin.agg(F.sum("attribution")).first()[0]) < 1e-6
