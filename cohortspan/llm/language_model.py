@@ -77,6 +77,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
+def _frequent(counts: DataFrame) -> Column:
+    """Condition for the most frequent words: whole classes of counts, an eighth of a power of two wide, that
+    hold at most ``HEAD`` words together. Only the classes' sizes come to the driver."""
+    level = F.floor(F.log2("n") * 8)
+    least, held = 1 << 20, 0
+    for at, words in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += words
+        if held > HEAD:
+            break
+        least = at
+    return level >= least
+
+
 @dataclass
 class Model:
     """Tables by symbol: 0..S-1 frequent words, then the classes, then the edge as a context only."""
@@ -234,10 +247,10 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = checkpointed(word_counts(training))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = train(training, counts)
-    head = counts.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "n").toPandas()
+    frequent = _frequent(counts)
+    head = counts.filter(frequent).select("key", "n").toPandas().sort_values("key")
     whole = math.log(total + SMOOTHING * (types + 1))
-    tail = counts.filter(beyond(head.tail(1).to_numpy().tolist() if len(head) == HEAD else [], 1))
-    head = head.sort_values("key")
+    tail = counts.filter(~frequent)
     shared = docs.sparkSession.sparkContext.broadcast((model, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
 
     def run(ids, texts):

@@ -7,9 +7,9 @@ import public_tokenizers
 from ..runtime import scratch_path
 from . import decontamination, language_model, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, top_k, toxicity
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 QUERIES = {}
-ORACLES = {}
 
 
 def query(fn):
