@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts have no words. A null doc_id is never smaller nor larger, so its text is kept and removes nothing.
     Rows that share a doc_id remove nothing from each other; they are told apart by their texts.
     """
-    docs = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
     scan, ranges = repeated_ranges(docs)
     changed = checkpointed(_some_texts(docs, ranges).dropDuplicates(["doc", "key"]).join(ranges, ["doc", "key"]).select(
         "doc", "key", "text", "ranges").mapInArrow(

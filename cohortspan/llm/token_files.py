@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             yield pa.RecordBatch.from_pydict({
                 "part": [part], "docs": [docs_here], "null_ids": [nulls], "tokens": [tokens], "width": [encode.dtype.itemsize]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     parts = ordered.mapInArrow(run, "part long, docs long, null_ids long, tokens long, width long")
     parts.write.parquet(f"{folder}/parts")
