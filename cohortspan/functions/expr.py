@@ -27,10 +27,6 @@ def any_flag(columns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).eqNullSafe(1) for c in columns])
 
 
-def all_of(predicates: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, predicates)
-
-
 def safe_rate(n: str | Column, period: str | Column, per: float = 30.0) -> Column:
     """``per * n / period``; null for an empty period instead of an ANSI error."""
     return F.try_divide(F.lit(float(per)) * col(n), col(period).cast("double"))
@@ -87,11 +83,3 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column."""
     doubles = [name for name, dtype in df.dtypes if dtype == "double"]
     return df.withColumns({c: F.round(c, digits) for c in doubles})
-
-
-def unit_grid(spark: SparkSession, points: int = 100) -> DataFrame:
-    """``points`` evenly spaced values from 0 to 1."""
-    return spark.range(points).select(
-        F.col("id").cast("int").alias("step"),
-        (F.col("id") / F.lit(float(points - 1))).alias("x"),
-    )

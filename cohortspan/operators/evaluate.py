@@ -29,14 +29,17 @@ def stratified_folds(
 ) -> DataFrame:
     """``df`` once per repeat with columns ``repeat`` and ``fold``; each fold keeps the class balance.
 
-    Rows are dealt round-robin in hash order inside (repeat, label).
+    Rows are dealt round-robin in hash order inside (repeat, label). Only ``key`` (unique) and label are
+    copied per repeat and ranked; the other columns join the result. ``df`` is read twice, so hand in a
+    written table.
     """
-    drawn = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumns({
+    drawn = df.select(key, y).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumns({
         "_draw": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(key).cast("string"))),
         "_one": F.lit(1).cast("long"),
     })
     ranked = prefix_sum(drawn, ["repeat", y], [("_draw", True), (key, True)], {"_rank": "_one"}, rows_per_part)
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_draw", "_one", "_rank")
+    dealt = ranked.select(key, "repeat", ((F.col("_rank") - 1) % k).cast("int").alias("fold"))
+    return df.join(dealt, key).select(*df.columns, "repeat", "fold")
 
 
 def score_table(

@@ -9,33 +9,7 @@ def _struct(*pairs: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in pairs])
 
 
-_INT, _LONG, _DBL, _STR, _DATE = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.DateType()
-
-PRE_MATCH = _struct(
-    ("person_id", _LONG),
-    ("observation_period", _INT),
-    ("site_id", _INT),
-    ("age", _INT),
-    ("index_date", _DATE),
-    ("is_case", _INT),
-    ("log_visit_rate", _DBL),
-    ("index_day", _INT),
-)
-
-ANALYSIS_COHORT = _struct(
-    ("person_id", _LONG),
-    ("death", _INT),
-    ("comorbidity_score", _INT),
-    ("morbid_obesity", _INT),
-    ("case_arm", _INT),
-    ("positive_arm", _INT),
-    ("negative_arm", _INT),
-    ("vaccine_doses", _INT),
-    ("observation_before", _INT),
-    ("visits_before", _INT),
-    ("index_date", _DATE),
-    ("visit_rate", _DBL),
-)
+_DBL, _STR = T.DoubleType(), T.StringType()
 
 GLM_TABLE = _struct(
     ("term", _STR),
