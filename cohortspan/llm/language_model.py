@@ -32,7 +32,7 @@ HEAD = 1 << 19  # words whose counts every task holds, 16 bytes each; the counts
 DIMENSIONS = 24
 STEPS = 150
 NOISE = 10.0
-MASS = 1 << 22  # a task hands on its counts when it holds so many words
+FLUSH_WORDS = 1 << 19  # a task hands on its counts when it holds so many different words
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -69,7 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).cast(pa.large_binary()).to_pylist():
                 counts.update(words_of(text or b""))
-                if len(counts) > MASS >> 3:
+                if len(counts) > FLUSH_WORDS:
                     yield flush()
         yield flush()
 
