@@ -171,7 +171,8 @@ def profile_bounds(
     question of each search that is still open.
     """
     base = _logit_sums(patterns, y, xs, beta[None, :])[0][0]
-    largest = patterns.agg(*[F.max(F.abs(F.col(f"`{x}`").cast("double"))).alias(f"m{i}") for i, x in enumerate(xs)]).first() if xs else ()
+    sizes = [F.max(F.abs(F.col(f"`{x}`").cast("double"))) for x in xs]
+    largest = patterns.agg(*sizes).first() if xs else ()
     scales = np.array([1.0, *(float(m or 1.0) for m in largest)])
     searches = {(j, k): _profile_limit(j, side, beta, se[j], scales, base)
                 for j in range(len(beta)) for k, side in enumerate((-1.0, 1.0))}
@@ -192,12 +193,15 @@ def profile_bounds(
 def glm_binomial(df: DataFrame, y: str, xs: Sequence[str], ci: str = "profile") -> DataFrame:
     """Logit model as a table of odds ratios, one row per term in formula order.
 
-    Terms that depend linearly on earlier ones get a row of nulls. ``ci`` is ``profile`` or ``wald``
+    Terms that depend linearly on earlier ones get a row of nulls, and so does every term without any
+    complete row. ``ci`` is ``profile`` or ``wald``
     and is named in the output. A separated term's profile limit is infinite (an odds ratio of 0 or infinity) on
     the side where the deviance never rises enough. A fit or a limit that does not converge raises.
     """
     spark = df.sparkSession
     patterns = checkpointed(covariate_patterns(df, [y, *xs]))
+    if patterns.isEmpty():
+        return spark.createDataFrame([(name, *[None] * 6, ci) for name in [INTERCEPT, *xs]], GLM_TABLE)
     aliased = set(alias_columns(patterns, xs, "n"))
     kept = [x for x in xs if x not in aliased]
     assembled = VectorAssembler(inputCols=kept, outputCol="_x").transform(patterns)

@@ -632,3 +632,24 @@ ORDER BY avg(importance) DESC, feature LIMIT 50""")
 oracle("importance_top_given", """
 SELECT feature, round(importance, 6) AS importance FROM given_importance WHERE repeat = 0 AND fold = 0
 ORDER BY given_importance.importance DESC, feature LIMIT 50""")
+
+# The same steps over the matched arms.
+oracle("corr_matrix_matched", "\nUNION ALL ".join(
+    f"SELECT '{a}' AS row_name, '{b}' AS col_name, round(corr({a}, {b}), 6) AS r FROM cohort_rows"
+    for i, a in enumerate(_COHORT_CORR) for b in _COHORT_CORR[:i]))
+CTES["matched_cells"] = """
+SELECT count(CASE WHEN case_arm = 0 AND death = 1 THEN 1 END)::DOUBLE AS d0, count(CASE WHEN case_arm = 0 AND death = 0 THEN 1 END)::DOUBLE AS a0,
+       count(CASE WHEN case_arm = 1 AND death = 1 THEN 1 END)::DOUBLE AS d1, count(CASE WHEN case_arm = 1 AND death = 0 THEN 1 END)::DOUBLE AS a1
+FROM cohort_rows"""
+oracle("odds_ratio_matched", """
+SELECT term, round(exp(b), 6) AS estimate, round(se, 6) AS std_error,
+       round(exp(b - 1.959963984540054 * se), 6) AS conf_low, round(exp(b + 1.959963984540054 * se), 6) AS conf_high
+FROM (SELECT '(Intercept)' AS term, ln(d0 / nullif(a0, 0)) AS b, sqrt(1 / nullif(d0, 0) + 1 / nullif(a0, 0)) AS se FROM matched_cells
+      UNION ALL SELECT 'case_arm', ln(d1 / nullif(a1, 0)) - ln(d0 / nullif(a0, 0)), sqrt(1 / nullif(d0, 0) + 1 / nullif(a0, 0) + 1 / nullif(d1, 0) + 1 / nullif(a1, 0)) FROM matched_cells)""")
+CTES["matched_rows"] = f"""
+SELECT s.person_id, s.case_arm, s.positive_arm, s.death,
+       CAST(date_diff('day', s.index_date, CASE WHEN s.death = 1 THEN d.death_date ELSE DATE '{STUDY_CUTOFF}' END) AS INT) AS duration
+FROM cohort_rows s LEFT JOIN (SELECT person_id, min(death_date) AS death_date FROM deaths GROUP BY person_id) d ON d.person_id = s.person_id
+WHERE date_diff('day', s.index_date, CASE WHEN s.death = 1 THEN d.death_date ELSE DATE '{STUDY_CUTOFF}' END) >= 0"""
+CTES["matched_km_rows"] = CTES["km_rows"].replace("FROM arm_rows", "FROM matched_rows")
+oracle("km_curve_matched", "SELECT arm, duration, died, at_risk, round(survival, 6) AS survival FROM matched_km_rows")

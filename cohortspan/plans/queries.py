@@ -545,6 +545,26 @@ def corr_matrix_cohort(spark, folder):
     return X.rounded(describe.corr_matrix(study_cohort(spark, folder), columns, triangle=True))
 
 
+@query
+def corr_matrix_matched(spark, folder):
+    columns = ("comorbidity_score", "morbid_obesity", "case_arm", "positive_arm", "negative_arm", "vaccine_doses", "death")
+    return X.rounded(describe.corr_matrix(checkpointed(given_score_cohort(spark, folder)), columns, triangle=True))
+
+
+@query
+def odds_ratio_matched(spark, folder):
+    """The one-predictor odds ratio over the matched arms."""
+    table = glm.glm_binomial(checkpointed(given_score_cohort(spark, folder)), "death", ["case_arm"], ci="wald")
+    return X.rounded(table.select("term", "estimate", "std_error", "conf_low", "conf_high"))
+
+
+@query
+def km_curve_matched(spark, folder):
+    cohort = checkpointed(given_score_cohort(spark, folder))
+    target = features.survival_target(cohort, Study(spark, folder).deaths, STUDY_CUTOFF).withColumn("arm", arm_name())
+    return X.rounded(survival.km_curve(target, "duration", "death", "arm"))
+
+
 def _with_propensity(pre: DataFrame) -> DataFrame:
     covariates = ["site_id", "age", "log_visit_rate", "index_day"]
     return matching.propensity(checkpointed(pre), "is_case", covariates)
