@@ -30,6 +30,22 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+BATCH_ROWS = 256
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` over rows that hold whole texts: at most ``BATCH_ROWS`` of them at once.
+
+    Spark's own batches are 10,000 rows, which long texts make too large for a worker. The session's
+    setting is lowered, as the batch size has no other place.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
+        conf.set(_BATCHES, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, list]], schema: str,
               id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Apply ``fn(ids, texts)`` to batches of (id, whole text); null texts arrive as empty.
@@ -43,7 +59,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, list]],
             for ids, texts in _slices(batch):
                 yield pa.RecordBatch.from_pydict(fn(ids, texts), schema=arrow_schema)
 
-    return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return map_batches(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
-from .common import RollingHash, _slices, bit_table, flatten, passes, sliding_argmin
+from .common import RollingHash, _slices, bit_table, flatten, map_batches, passes, sliding_argmin
 
 WINDOW = 13
 GRAM = 5
@@ -101,7 +101,7 @@ def _scan(df: DataFrame, lengths: list[int], bits: bytes | None, whole_only: boo
                     names=["id", "key", "n_words", "candidates"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "key", "text").mapInArrow(run, f"id {kind}, key bigint, n_words bigint, candidates {_CANDIDATES}")
+    return map_batches(df.select("id", "key", "text"), run, f"id {kind}, key bigint, n_words bigint, candidates {_CANDIDATES}")
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
-from .common import _slices, map_texts
+from .common import _slices, map_batches, map_texts
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "key long, n long, class int").groupBy("key").agg(
+    return map_batches(docs.select("text"), run, "key long, n long, class int").groupBy("key").agg(
         F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
@@ -154,7 +154,7 @@ def pair_counts(docs: DataFrame, keys: np.ndarray, numbers: np.ndarray) -> DataF
             "distance": pa.array(d, pa.int32()), "context": pa.array(context, pa.int32()), "symbol": pa.array(symbol, pa.int32()),
             "n": total[d, context, symbol]})
 
-    return docs.select("text").mapInArrow(run, "distance int, context int, symbol int, n long").groupBy(
+    return map_batches(docs.select("text"), run, "distance int, context int, symbol int, n long").groupBy(
         "distance", "context", "symbol").agg(F.sum("n").alias("n"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
-from .common import RollingHash, _slices, bit_table, flatten, passes, sliding_argmin
+from .common import RollingHash, _slices, bit_table, flatten, map_batches, passes, sliding_argmin
 
 WINDOW = 50
 KMER = 10
@@ -154,15 +154,15 @@ def _some_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(passes(np.asarray(batch.column(3)).view(np.uint64), table.value)))
 
-    return docs.withColumn("h", F.xxhash64("doc", "key")).select("doc", "key", "text", "h").mapInArrow(
-        run, "doc long, key long, text string, h long").drop("h")
+    return map_batches(
+        docs.withColumn("h", F.xxhash64("doc", "key")).select("doc", "key", "text", "h"), run, "doc long, key long, text string, h long").drop("h")
 
 
 def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (doc, key, text): the scan (doc, key, n_words, sha), and (doc, key, ranges) for documents with
     windows that also start in a document with a smaller id."""
-    scan = checkpointed(docs.select("doc", "key", "text").mapInArrow(
-        _scan, f"doc long, key long, n_words long, sha string, taken {_TAKEN}"))
+    scan = checkpointed(map_batches(
+        docs.select("doc", "key", "text"), _scan, f"doc long, key long, n_words long, sha string, taken {_TAKEN}"))
     taken = scan.filter("doc IS NOT NULL").select("doc", "key", F.inline("taken"))
     several = checkpointed(taken.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter(
         "first < other").select("h", "first"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit_trees, isotonic, sigmoid
-from .common import map_texts
+from .common import map_batches, map_texts
 
 FOLDS = 5
 SAMPLE_ROWS = 30_000
@@ -114,7 +114,7 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     if not ones or ones == total:
         return {}
     a, b = F.col("a"), F.col("b")
-    words = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "word string, y int, n long").groupBy("word").agg(
+    words = map_batches(sample.select("text", F.col("y").cast("int").alias("y")), run, "word string, y int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b")).filter("a > 3")
     rate = ones / total
@@ -177,4 +177,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = np.array([features((t or "").encode(), model.lexicon) for t in texts])
                 yield batch.filter(pa.array(model.score(x) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
