@@ -118,6 +118,59 @@ def test_shards_split_a_group_over_quota(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def shards_of(rows):
+    where = defaultdict(set)
+    for r in rows:
+        where[r.text_crc32].add(r.shard)
+    return where
+
+
+@pytest.mark.parametrize("lone", [0, 400])
+def test_shards_keep_pairs_together_without_unlinked_rows(spark, lone):
+    docs = [(i, f"p{i // 2}") for i in range(4000)] + [(9000 + i, f"u{i}") for i in range(lone)]
+    rows = sharding.shards(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_shards(rows, docs)
+    assert sum(len(s) > 1 for s in shards_of(rows).values()) == 0
+
+
+@pytest.mark.parametrize("lone", [0, 240])
+def test_shards_cut_giant_groups_least(spark, lone):
+    docs = [(i, f"g{i % 3}") for i in range(2400 - lone)] + [(9000 + i, f"u{i}") for i in range(lone)]
+    rows = sharding.shards(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_shards(rows, docs)
+    giants = [len(s) for s in shards_of(rows).values() if len(s) > 1]
+    assert sorted(giants) == ([3, 3, 4] if lone == 0 else [3, 3, 3])
+
+
+def test_shards_place_rows_of_one_id_and_mixed_groups(spark):
+    docs = [(1, "same id")] * 90 + [(100 + i, f"a{i // 60}") for i in range(480)] + [(1000 + i, f"b{i // 38}") for i in range(228)]
+    rows = sharding.shards(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_shards(rows, docs)
+    again = sharding.shards(spark.createDataFrame(docs[::-1], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert sum(len(s) > 1 for s in shards_of(rows).values()) <= 2
+
+
+def test_pack_places_every_group_once_within_room():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = Counter(int(n) for n in rng.geometric(rng.choice([0.5, 0.05, 0.002]), rng.integers(1, 60)))
+        total = sum(n * c for n, c in sizes.items())
+        room = sharding.quotas(total + int(rng.integers(0, 5)), int(rng.integers(1, 9)))
+        plan, cuts = sharding.pack(sizes, room)
+        used, seen = Counter(), Counter()
+        for n, first, last, shard, pieces in plan:
+            seen.update((n, at) for at in range(first, last + 1))
+            if pieces is None:
+                used[shard] += n * (last - first + 1)
+            else:
+                ends = [0, *[end for end, _ in pieces]]
+                assert first == last and ends == sorted(set(ends)) and ends[-1] == n
+                used.update({s: b - a for (b, s), a in zip(pieces, ends)})
+        assert all(used[s] <= r for s, r in enumerate(room)) and cuts < max(2, len(room))
+        assert seen == Counter({(n, at): 1 for n, c in sizes.items() for at in range(1, c + 1)})
+
+
 def test_shards_odd_rows(spark):
     docs = [(None, "a"), (None, "a"), (3, None), (4, ""), (4, ""), (5, "é")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS n", "3 AS h")
