@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -710,88 +712,97 @@ def logistic_holdout(spark, folder):
     return evaluate.confusion(scored, models.LOGISTIC_CUTOFF, y="death")
 
 
-# Trees for the registered queries; the library defaults are the reference settings.
-QUERY_TREES = models.TreeParams(trees=10, depth=4)
-
-
-def _tree_table(spark, folder, three: bool = False) -> tuple[DataFrame, list[str]]:
-    table = _wide_table(spark, folder, three)
+# The three analyses' tables; hold-outs take an untuned booster, cross-validation the tuned one, over 5 x 5 folds.
+def _tree_table(spark, folder, analysis: str = "2a") -> tuple[DataFrame, list[str]]:
+    table = _model_table(spark, folder) if analysis == "1" else _wide_table(spark, folder, analysis == "2b")
     return models.missing_as_value(table, features.features_except(table, "person_id", "death"))
 
 
-def _tree_cv(spark, folder):
-    table, xs = _tree_table(spark, folder)
-    folds = evaluate.stratified_folds(table, "death", "person_id", k=5, repeats=1)
+def _tree_cv(spark, folder, analysis: str = "2a", params: models.TreeParams = models.TreeParams()):
+    table, xs = _tree_table(spark, folder, analysis)
+    folds = evaluate.stratified_folds(table, "death", "person_id", k=5, repeats=5)
     folds = models.prepared_folds(folds, xs, ["person_id", "death"])
-    return folds, xs, models.cross_fit(folds, models.boosted_trees("death", params=QUERY_TREES))
+    return folds, xs, models.cross_fit(folds, models.boosted_trees("death", params=params), threads=25)
 
 
-@query
-def tree_holdout_2a(spark, folder):
-    """Best thresholds of boosted trees on the held-out fifth."""
-    table, xs = _tree_table(spark, folder)
-    _, scored = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+def _tree_holdout(spark, folder, analysis: str):
+    table, xs = _tree_table(spark, folder, analysis)
+    model, scored = _holdout_scores(spark, folder, models.boosted_trees("death", params=models.PLAIN_TREES), table, xs)
+    return model, scored, xs
+
+
+def _tree_thresholds(spark, folder, analysis: str) -> DataFrame:
+    _, scored, _ = _tree_holdout(spark, folder, analysis)
     return evaluate.best_threshold(evaluate.threshold_sweep(evaluate.score_table(checkpointed(scored), y="death")))
 
 
-@query
-def tree_importance(spark, folder):
-    table, xs = _tree_table(spark, folder)
-    model, _ = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+def _tree_confusion(spark, folder, analysis: str) -> DataFrame:
+    _, scored, _ = _tree_holdout(spark, folder, analysis)
+    return evaluate.confusion(scored, models.TREE_CUTOFFS[analysis], y="death")
+
+
+def _tree_recall(spark, folder, analysis: str) -> DataFrame:
+    _, scored, _ = _tree_holdout(spark, folder, analysis)
+    return evaluate.recall_at(scored, models.TREE_CUTOFFS[analysis], y="death")
+
+
+def _tree_importance(spark, folder, analysis: str) -> DataFrame:
+    model, _, xs = _tree_holdout(spark, folder, analysis)
     return models.importance_top(models.importance(spark, model, xs))
 
 
-@query
-def tree_split_counts(spark, folder):
-    table, xs = _tree_table(spark, folder, True)
-    model, _ = _holdout_scores(spark, folder, models.boosted_trees("death", params=QUERY_TREES), table, xs)
+def _tree_split_counts(spark, folder, analysis: str) -> DataFrame:
+    model, _, xs = _tree_holdout(spark, folder, analysis)
     return models.split_counts(spark, model, xs)
 
 
-@query
-def tree_cv(spark, folder):
-    folds, _, fits = _tree_cv(spark, folder)
+def _tree_mean_roc(spark, folder, analysis: str) -> DataFrame:
+    folds, _, fits = _tree_cv(spark, folder, analysis)
     scores = checkpointed(models.cross_score(folds, fits, ["person_id", "death"]))
     return evaluate.mean_roc(evaluate.score_table(scores, y="death", by=["repeat", "fold"]), ["repeat", "fold"])
 
 
-@query
-def tree_cv_importance(spark, folder):
-    _, xs, fits = _tree_cv(spark, folder)
+def _tree_fold_importance(spark, folder, analysis: str) -> DataFrame:
+    _, xs, fits = _tree_cv(spark, folder, analysis)
     return models.fold_importance_wide(models.fold_importance(spark, fits, xs), 5)
 
 
-@query
-def tree_importance_top(spark, folder):
-    _, xs, fits = _tree_cv(spark, folder)
+def _tree_mean_importance(spark, folder, analysis: str) -> DataFrame:
+    _, xs, fits = _tree_cv(spark, folder, analysis)
     return models.mean_importance_top(models.fold_importance(spark, fits, xs))
 
 
-@query
-def attribution_linear(spark, folder):
-    table = _model_table(spark, folder)
-    model = models.logistic("death")(models.assemble(table, MODEL_COLUMNS))
-    return attribution.linear_attribution(model.coefficients.toArray(), table, ["person_id"], MODEL_COLUMNS)
+def _tree_attributions(spark, folder, analysis: str) -> DataFrame:
+    folds, xs, fits = _tree_cv(spark, folder, analysis, models.ATTRIBUTION_TREES)
+    return attribution.fold_attribution(spark, folds, fits, ["person_id"], xs)
 
 
-def _tree_attributions(spark, folder) -> DataFrame:
-    folds, xs, fits = _tree_cv(spark, folder)
-    return attribution.fold_attribution(spark, folds, fits, ["person_id"], xs)
+def _tree_attribution_summary(spark, folder, analysis: str) -> DataFrame:
+    return attribution.attribution_summary(checkpointed(_tree_attributions(spark, folder, analysis)))
 
 
-@query
-def attribution_tree(spark, folder):
-    return _tree_attributions(spark, folder)
+def _tree_attribution_quantiles(spark, folder, analysis: str) -> DataFrame:
+    return attribution.attribution_quantiles(checkpointed(_tree_attributions(spark, folder, analysis)))
 
 
-@query
-def attribution_summary(spark, folder):
-    return attribution.attribution_summary(_tree_attributions(spark, folder))
+# (query's name, the analysis whose name has no ending, what it does)
+TREE_QUERIES = (
+    ("tree_holdout", None, _tree_thresholds), ("tree_confusion", None, _tree_confusion), ("tree_recall", None, _tree_recall),
+    ("tree_importance", "2a", _tree_importance), ("tree_split_counts", "2b", _tree_split_counts), ("tree_cv", "2a", _tree_mean_roc),
+    ("tree_cv_importance", "2a", _tree_fold_importance), ("tree_importance_top", "2a", _tree_mean_importance),
+    ("attribution_tree", "2a", _tree_attributions), ("attribution_summary", "2a", _tree_attribution_summary),
+    ("attribution_quantiles", "2a", _tree_attribution_quantiles),
+)
+for _name, _plain, _run in TREE_QUERIES:
+    for _analysis in ("1", "2a", "2b"):
+        QUERIES[_name if _analysis == _plain else f"{_name}_{_analysis}"] = partial(_run, analysis=_analysis)
 
 
 @query
-def attribution_quantiles(spark, folder):
-    return attribution.attribution_quantiles(_tree_attributions(spark, folder))
+def attribution_linear(spark, folder):
+    table = _model_table(spark, folder)
+    model = models.logistic("death")(models.assemble(table, MODEL_COLUMNS))
+    return attribution.linear_attribution(model.coefficients.toArray(), table, ["person_id"], MODEL_COLUMNS)
 
 
 # The steps after a fit, on given coefficients and on importances that are shares of the order value.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.operators import attribution as A
 from cohortspan.operators import glm, models, survival
+from cohortspan.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,32 @@ def test_cross_scores_cover_every_row_once_per_repeat(spark, cohort):
     assert out.count() == 600 and out.select("id").distinct().count() == 600
     lin = A.linear_attribution(fits[(0, 0)].coefficients.toArray(), cohort, ["id"], ["score", "doses"])
     assert abs(lin.agg(F.sum("attribution")).first()[0]) < 1e-6
+
+
+class Fitted(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name, want, fits", [
+    ("tree_holdout_2a", models.PLAIN_TREES, 1), ("tree_importance", models.PLAIN_TREES, 1), ("tree_recall_2b", models.PLAIN_TREES, 1),
+    ("tree_cv_1", models.TreeParams(400, 8, 0.09, 0.9, 0.1, 0.4, 42), 25), ("attribution_summary_1", models.TreeParams(100, 8, 0.09), 25)])
+def test_tree_queries_take_the_reference_settings(spark, monkeypatch, name, want, fits):
+    seen = []
+
+    def cross_fit(folded, fit, threads):
+        seen.append(folded.select("repeat", "fold").distinct().count())
+        raise Fitted
+
+    def boosted_trees(y, x="x", params=None):
+        assert params == want
+
+        def fit(train):
+            seen.append(1)
+            raise Fitted
+        return fit
+
+    monkeypatch.setattr(models, "boosted_trees", boosted_trees)
+    monkeypatch.setattr(models, "cross_fit", cross_fit)
+    with pytest.raises(Fitted):
+        QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert seen == [fits]
