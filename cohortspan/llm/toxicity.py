@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed
 from .boosting import Trees, fit_trees, isotonic, sigmoid
 from .common import map_batches, map_texts
 
@@ -88,13 +89,21 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, y) of training rows: all if they are at most ``rows``, else about so many by hash."""
+    """(doc_id, text, y) of training rows: all if they are at most ``rows``, else about so many by hash.
+
+    Copies of a text under one doc_id are one row. Ids are bounded first, then the texts that they bring.
+    """
+    def bounded(df: DataFrame, n: int, *key: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit("toxicity"), *key), F.lit(1 << 30))
+        return df.filter(place <= int(min(1.0, rows / max(1, n)) * (1 << 30)))
+
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y")).filter(fold() != 0)
-    share = min(1.0, rows / max(1, known.count()))
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
-    chosen = known.filter(place <= int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
+    chosen = bounded(known, known.count(), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))
+    found = texts.select("doc_id", "h").distinct().count()
+    return checkpointed(bounded(texts, found, "doc_id", "h").groupBy("doc_id", "h").agg(
+        F.first("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y"))
 
 
 def _lexicon(sample: DataFrame) -> dict[str, float]:

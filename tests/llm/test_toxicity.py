@@ -47,6 +47,14 @@ def test_odd_rows(spark):
     assert toxicity.clean_documents(docs, none).count() == 5
 
 
+def test_sample_is_bounded_by_rows_not_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(4000)] + [(2, "copy")] * 3000 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity._sample(docs, labels, 10_000).count() == 4002
+    few = toxicity._sample(docs, labels, 500).collect()
+    assert 350 < len(few) < 650 and len({(r.doc_id, r.text) for r in few}) == len(few) and {r.y for r in few if r.doc_id == 1} == {1}
+
+
 def test_isotonic_is_the_pooled_mean():
     rng = np.random.default_rng(1)
     s = rng.random(300)
