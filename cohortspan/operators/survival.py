@@ -22,6 +22,7 @@ from ..runtime import checkpointed
 from ..sources.schemas import COX_TABLE
 
 Z95 = 1.959963984540054
+TIE_PARTS = 32  # tasks over which the days with deaths are dealt
 
 
 def km_curve(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
@@ -103,7 +104,8 @@ def _cox_sums(patterns: DataFrame, time: str, event: str, xs: Sequence[str], cen
     later = W.orderBy(F.desc("t"))
     risk_columns = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in cells]]
     at_risk = per_day.withColumns({c: F.sum(c).over(later) for c in risk_columns}).filter("d > 0")
-    at_risk = at_risk.withColumn("k", tie_sums("s0", "e0", "d"))
+    # The window leaves one partition; days are dealt out again so that their tie sums run side by side.
+    at_risk = at_risk.repartition(TIE_PARTS, "t").withColumn("k", tie_sums("s0", "e0", "d"))
     k = lambda name: F.col(f"k.{name}")
     col = F.col
     log_lik = F.sum(col("eta_sum") - k("log_den"))
@@ -141,7 +143,8 @@ def cox_fit(
 ) -> CoxFit:
     """Proportional hazards by Newton-Raphson with Efron's treatment of ties.
 
-    The rows are first reduced to distinct (duration, event, covariates) with their number.
+    The rows are first reduced to distinct (duration, event, covariates) with their number. Raises when no
+    step raises the likelihood, or after ``max_iter`` steps without convergence.
     """
     patterns = checkpointed(
         df.dropna(subset=[time, event, *xs]).groupBy(time, event, *xs).agg(F.count("*").alias("n"))
@@ -162,9 +165,13 @@ def cox_fit(
             if new_ll >= ll - 1e-9 * abs(ll) or size < 1e-3:
                 break
             size /= 2
+        if not new_ll >= ll - 1e-9 * abs(ll):
+            raise RuntimeError(f"Cox fit: no step raises the likelihood after {rounds} steps")
         gain, beta, ll, grad, info = abs(new_ll - ll), new, new_ll, new_grad, new_info
         if np.max(np.abs(size * step)) < tol or gain < tol * 1e-3 * (abs(ll) + 1):
             break
+    else:
+        raise RuntimeError(f"Cox fit has not converged after {max_iter} steps")
     return CoxFit(list(xs), beta, info, ll, rounds)
 
 

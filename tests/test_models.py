@@ -224,3 +224,8 @@ def test_tree_queries_take_the_reference_settings(spark, monkeypatch, name, want
     with pytest.raises(Fitted):
         QUERIES[name](spark, "/root/testdata/sf0.01")
     assert seen == [fits]
+
+
+def test_cox_raises_without_convergence(spark, cohort):
+    with pytest.raises(RuntimeError, match="not converged"):
+        survival.cox_fit(cohort, "duration", "death", ["score"], max_iter=1)
