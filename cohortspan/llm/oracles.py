@@ -91,3 +91,33 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT f.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM folded f LEFT JOIN words x ON x.doc_id = f.doc_id LEFT JOIN named y ON y.doc_id = f.doc_id"""
+
+ORACLES["op11_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+products AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+             FROM e a JOIN e b ON a.vec_id % 100 = 0 AND len(a.v) = len(b.v)),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+              FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r
+                    FROM products WHERE same AND vec_id <> anchor_id) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM (SELECT p.*, n.vec_id, n.score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+      FROM positives p JOIN products n ON n.anchor_id = p.anchor_id AND NOT n.same
+        AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score)
+WHERE rank <= 5"""
+
+ORACLES["op12_ngram_jaccard"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, first AS component_id
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id JOIN (SELECT a, min(b) AS first FROM reached GROUP BY a) r ON r.a = t.doc_id"""

@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import scratch_path
-from . import decontamination, language_model, mixing, secret_scan, sharding, simhash, substring_dedup, token_files, top_k, toxicity
+from . import (
+    decontamination,
+    hard_negatives,
+    jaccard_join,
+    language_model,
+    mixing,
+    secret_scan,
+    sharding,
+    simhash,
+    spelling,
+    substring_dedup,
+    token_files,
+    top_k,
+    toxicity,
+)
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -68,3 +82,18 @@ def op9_decontaminate(spark, folder):
 @query
 def op10_shards(spark, folder):
     return sharding.shards(table(spark, folder, "documents"))
+
+
+@query
+def op11_hard_negatives(spark, folder):
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_ngram_jaccard(spark, folder):
+    return jaccard_join.similar_sets(table(spark, folder, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
