@@ -26,6 +26,7 @@ LOW, HIGH = 80, 100  # linked if HIGH * intersection >= LOW * union
 SLICE = 4  # one in so many n-grams, by hash, is looked at first
 FRAGMENTS = 4  # of the order that are counted separately
 CENTRES = 2  # a set is first compared with so many others that it shares most rare n-grams with
+SETTLED = 0.9  # sets are thinned out until a round keeps this share of them
 NEAR = 1e-9  # slack of distances
 
 
@@ -136,7 +137,7 @@ def ordered(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> tuple
         ranked = grams.join(several, "h").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("at"))
         kept = checkpointed(sets.select("sid", "n").join(ranked, "sid").withColumn("shared", F.size("at").cast("long")).filter(
             F.col("shared") >= least_overlap(F.col("n"))))
-        if sets.count() == kept.count():
+        if kept.count() >= SETTLED * sets.count():  # fewer sets make n-grams rarer, so the rest is looked at again
             break
         sets = checkpointed(kept.select("sid", "n", F.transform("at", lambda a: a["h"]).alias("grams")))
     cuts = _cuts(several)
