@@ -6,7 +6,7 @@ a set with too many of these links with nothing, and an arbitrary slice of the n
 sets at once. What is left is ordered by frequency, rare first; linked sets share an n-gram among each one's first
 (Chaudhuri's prefix filter). Sets that share one are not paired all with all: they are held against a few centres
 first, and by the triangle inequality of the Jaccard distance only sets of two centres that are near each other, and
-not in one component already, are compared.
+not in one component already, are compared, set against block.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import RollingHash, _arrow_schema, _slices, bit_table, connected_components, flatten, map_batches, mixed, passes
+from .common import RollingHash, _arrow_schema, _slices, bit_table, checkpointed, connected_components, flatten, map_batches, mixed, passes
 
 SHINGLE = 5
 LOW, HIGH = 80, 100  # linked if HIGH * intersection >= LOW * union
@@ -27,6 +26,7 @@ SLICE = 4  # one in so many n-grams, by hash, is looked at first
 FRAGMENTS = 4  # of the order that are counted separately
 CENTRES = 2  # a set is first compared with so many others that it shares most rare n-grams with
 SETTLED = 0.9  # sets are thinned out until a round keeps this share of them
+BLOCK_GRAMS = 100_000  # n-grams of the sets that travel together
 NEAR = 1e-9  # slack of distances
 
 
@@ -199,56 +199,124 @@ def _rooted(links: DataFrame, sets: DataFrame) -> DataFrame:
         "sid", F.coalesce("root", "sid").alias("root")))
 
 
-def _met(rows: DataFrame, group: str) -> DataFrame:
-    """Pairs of groups in different components whose sets share an n-gram of their prefixes and may link by size.
+def _met(rows: DataFrame) -> DataFrame:
+    """(h, a, b, away_a, away_b): centres in different components whose sets share the n-gram h of their prefixes and
+    may link by size, with the largest distances of these sets from their centres.
 
     A set with more than a ninth of its n-grams alone links with none of its kind, so these meet the others only.
     """
     light = F.col("shared") * (LOW + HIGH) >= F.col("n") * (2 * LOW)
-    packed = rows.withColumn("light", light).groupBy("h", group, "root", "light").agg(
-        *[f(c).alias(f"{name}_{c}") for c in ("n", "shared", "left") for name, f in (("min", F.min), ("max", F.max))])
+    packed = rows.withColumn("light", light).groupBy("h", "centre", "root", "light").agg(
+        F.min("n").alias("n"), F.max("shared").alias("shared"), F.max("left").alias("left"), F.max("away").alias("away"))
 
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("h", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "h"])
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select("h", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "h"])
 
-    one, two = side(packed.filter("light"), "x"), side(packed, "y")
-    met = one.join(two, "h").filter(
-        (F.col("x_root") != F.col("y_root"))
-        & (~F.col("y_light") | (F.col(f"x_{group}") < F.col(f"y_{group}")))
-        # The n-grams from the shared one on, and sizes that fit: bounds over all sets of both groups.
-        & (F.least("x_max_left", "y_max_left") * (LOW + HIGH) >= (F.col("x_min_n") + F.col("y_min_n")) * LOW)
-        & (F.col("x_min_n") * LOW <= F.col("y_max_shared") * HIGH) & (F.col("y_min_n") * LOW <= F.col("x_max_shared") * HIGH))
-    return met.select(F.least(f"x_{group}", f"y_{group}").alias("a"), F.greatest(f"x_{group}", f"y_{group}").alias("b"))
+    met = side(packed.filter("light"), "x").join(side(packed, "y"), "h").filter(
+        (F.col("root_x") != F.col("root_y"))
+        & (~F.col("light_y") | (F.col("centre_x") < F.col("centre_y")))
+        # The n-grams from the shared one on, and sizes that fit: bounds over all sets of both centres.
+        & may_link(F.col("n_x"), F.col("n_y"), F.col("left_x"), F.col("left_y"))
+        & (F.col("n_x") * LOW <= F.col("shared_y") * HIGH) & (F.col("n_y") * LOW <= F.col("shared_x") * HIGH))
+    turned = F.col("centre_x") > F.col("centre_y")
+    return met.select("h", F.least("centre_x", "centre_y").alias("a"), F.greatest("centre_x", "centre_y").alias("b"),
+                      F.when(turned, F.col("away_y")).otherwise(F.col("away_x")).alias("away_a"),
+                      F.when(turned, F.col("away_x")).otherwise(F.col("away_y")).alias("away_b")).groupBy("h", "a", "b").agg(
+        F.max("away_a").alias("away_a"), F.max("away_b").alias("away_b"))
 
 
 def links(prefixes: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs (a, b) of linked sets that connect whatever all linked pairs connect."""
+    reach = 1 - LOW / HIGH + NEAR
     placed, found = first_centres(prefixes, segments)
     sets = placed.select("sid")
-    rooted = _rooted(found, sets)
-    rows = checkpointed(prefixes.join(placed, "sid").join(rooted, "sid"))
-    met = checkpointed(_met(rows, "centre").filter("a <> b").distinct())
-    far = placed.groupBy("centre").agg(F.max("away").alias("radius"))
-    between = distances(met, segments)
-    apart = met.join(between, ["a", "b"], "left").select(
-        "a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("distance", F.lit(1.0)).alias("distance"))
-    reach = 1 - LOW / HIGH + NEAR
-    apart = checkpointed(apart.join(far.select(F.col("centre").alias("a"), F.col("radius").alias("radius_a")), "a").join(
-        far.select(F.col("centre").alias("b"), F.col("radius").alias("radius_b")), "b").filter(
-        "linked OR radius_a + radius_b > 0").filter(F.col("distance") <= F.col("radius_a") + F.col("radius_b") + reach))
-    found = checkpointed(found.unionAll(apart.filter("linked").select("a", "b")))
-    unsettled = apart.filter("NOT linked").select(F.col("a").alias("centre_x"), F.col("b").alias("centre_y"), "distance")
-    if unsettled.isEmpty():
-        return found
-    rows = checkpointed(prefixes.join(placed, "sid").join(_rooted(found, sets), "sid"))
-    x = rows.select("h", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "shared", "left", "centre", "away", "root")])
-    y = rows.select("h", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "shared", "left", "centre", "away", "root")])
-    pairs = unsettled.join(x, "centre_x").join(y, ["h", "centre_y"]).filter(
-        (F.col("root_x") != F.col("root_y")) & (F.col("away_x") + F.col("away_y") + reach >= F.col("distance"))
-        & may_link(F.col("n_x"), F.col("n_y"), F.col("shared_x"), F.col("shared_y"))
-        & may_link(F.col("n_x"), F.col("n_y"), F.col("left_x"), F.col("left_y")))
-    more = distances(checkpointed(pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()), segments)
-    return checkpointed(found.unionAll(more.filter("linked").select("a", "b")))
+    met = checkpointed(_met(prefixes.join(placed, "sid").join(_rooted(found, sets), "sid")))
+    between = distances(met.select("a", "b").distinct(), segments)
+    found = checkpointed(found.unionAll(between.filter("linked").select("a", "b")))
+    # Centres that are still in different components but may have linked sets.
+    roots = _rooted(found, sets)
+    apart = met.groupBy("a", "b").agg(F.max(F.col("away_a") + F.col("away_b")).alias("away")).filter("away > 0").join(
+        between, ["a", "b"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
+    open_ = checkpointed(apart.filter(F.col("distance") <= F.col("away") + reach).join(
+        roots.select(F.col("sid").alias("a"), F.col("root").alias("root_a")), "a").join(
+        roots.select(F.col("sid").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b").select("a", "b", "distance"))
+    return found if open_.isEmpty() else checkpointed(found.unionAll(_crossing(open_, placed, segments)))
+
+
+def _crossing(centres: DataFrame, placed: DataFrame, segments: DataFrame) -> DataFrame:
+    """(a, b): of each set of one centre and each block of sets of the other, the most similar pair if it is linked.
+
+    The sets of the larger centre travel in blocks of bounded size, and a set meets a block once: its overlaps with
+    all sets of the block are counted fragment by fragment and summed, and no pair becomes a row.
+    """
+    sets = segments.groupBy("sid", "n").agg(F.sum(F.size("grams")).alias("load"))
+    members = checkpointed(placed.join(sets, "sid"))
+    loads = members.groupBy("centre").agg(F.sum("load").alias("load"), F.max("away").alias("radius"))
+    loads = checkpointed(loads.withColumn("parts", F.ceil(F.col("load") / BLOCK_GRAMS).cast("int")))
+    a, b = (loads.select(F.col("centre").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("load", "radius", "parts")]) for x in ("a", "b"))
+    first = F.col("load_a") >= F.col("load_b")
+    sides = checkpointed(centres.join(a, "a").join(b, "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("small"), "distance",
+        F.when(first, F.col("radius_a")).otherwise(F.col("radius_b")).alias("radius"),
+        F.when(first, F.col("parts_a")).otherwise(F.col("parts_b")).alias("parts")))
+    dealt = members.join(sides.select(F.col("large").alias("centre"), "parts").distinct(), "centre").select(
+        "sid", F.col("centre").alias("large"), F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"))
+    blocks = dealt.join(segments, "sid").groupBy("large", "part").agg(
+        F.collect_list(F.struct("sid", "n", "fragment", "grams")).alias("held"))
+    asked = sides.join(members.select(F.col("centre").alias("small"), "sid", "away"), "small").filter(
+        F.col("away") + F.col("radius") + 1 - LOW / HIGH + NEAR >= F.col("distance")).select("large", "parts", "sid").distinct()
+    own = segments.join(asked.select("sid").distinct(), "sid").groupBy("sid", "n").agg(
+        F.collect_list(F.struct("fragment", "grams")).alias("own"))
+    rows = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(own, "sid").join(blocks, ["large", "part"])
+    return rows.select("large", "part", "sid", "n", "own", "held").mapInArrow(_most_similar, "a long, b long")
+
+
+class _Block:
+    """The sets of a block by number, and its n-grams in order, fragment by fragment."""
+
+    def __init__(self, held: pa.StructArray):
+        self.sids, number = np.unique(np.asarray(held.field("sid")), return_inverse=True)
+        self.sizes = np.zeros(len(self.sids), np.int64)
+        self.sizes[number] = np.asarray(held.field("n"))
+        fragment, (grams, lengths) = np.asarray(held.field("fragment")), _lists(held.field("grams"))
+        owner, cut = np.repeat(number, lengths), np.repeat(fragment, lengths)
+        self.fragments = {}
+        for f in np.unique(fragment).tolist():
+            there = np.flatnonzero(cut == f)
+            there = there[np.argsort(grams[there])]
+            self.fragments[f] = grams[there], owner[there]
+
+    def overlaps(self, fragment: int, grams: np.ndarray) -> np.ndarray:
+        """How many of ``grams`` each set of the block holds in a fragment."""
+        held, owner = self.fragments.get(fragment, (np.empty(0, np.int64), np.empty(0, np.int64)))
+        low, high = np.searchsorted(held, grams), np.searchsorted(held, grams, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(self.sids))
+
+
+def _most_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, block = None, None
+    for batch in batches:
+        a, b = [], []
+        for i, (large, part, sid, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            if (large, part) != at:
+                at, block = (large, part), _Block(batch.column(5)[i].values)
+            own = batch.column(4)[i].values
+            mine, (flat, size) = np.asarray(own.field("fragment")), _lists(own.field("grams"))
+            both = sum(block.overlaps(f, flat[end - k:end]) for f, end, k in zip(
+                mine.tolist(), np.cumsum(size).tolist(), size.tolist(), strict=True))
+            union = block.sizes + n - both
+            linked = both * HIGH >= union * LOW
+            if linked.any():
+                a.append(sid)
+                b.append(int(block.sids[np.argmax(np.where(linked, both / union, -1))]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All items of some lists, and the lists' lengths."""
+    return np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
 
 
 def similar_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
