@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import _arrow_schema, mixed
+from .common import _arrow_schema, checkpointed, mixed
 
 SCALE = 256
 EVERY = 100  # anchors are the rows with a vec_id divisible by it
@@ -248,13 +247,17 @@ def _anchors(rows: DataFrame, every: int) -> DataFrame:
         "dim", F.monotonically_increasing_id().alias("block"), "ids", "labels", "matrix"))
 
 
-def scores(anchors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Exact products: in floating point where all sums fit, otherwise as Python integers held to 64 bits."""
-    largest = float(np.abs(anchors).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * max(1, matrix.shape[1])
-    if largest < 1 << 52:
-        kind = np.float32 if largest < 1 << 23 else np.float64
-        return (anchors.astype(kind) @ matrix.astype(kind).T).astype(np.int64)
-    return np.clip(anchors.astype(object) @ matrix.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+def as_numbers(anchors: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which their products are exact: floating point where all sums fit, else Python integers."""
+    largest = float(np.abs(anchors.astype(float)).max(initial=0)) * float(np.abs(matrix.astype(float)).max(initial=0)) * max(1, matrix.shape[1])
+    kind = np.float32 if largest < 1 << 23 else np.float64 if largest < 1 << 52 else object
+    return anchors.astype(kind), matrix.astype(kind)
+
+
+def scores(anchor: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Products, held to 64 bits."""
+    s = matrix @ anchor
+    return np.clip(s, -(1 << 63), (1 << 63) - 1).astype(np.int64) if s.dtype == object else s.astype(np.int64)
 
 
 def _first(ids: np.ndarray, worth: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
@@ -279,7 +282,7 @@ def _routes(asked: DataFrame, books, stop) -> DataFrame:
             for row in frame.itertuples():
                 index = books.value[row.dim]
                 ids, _, matrix = _arrays(row.ids, row.labels, row.matrix, row.dim)
-                wanted: dict[int, list[tuple[int, int]]] = {}
+                wanted: dict[int, list[tuple[int, int]]] = {}  # of a group: (cell, anchor), by anchor
                 least, pause, resume = stop(row, len(ids))
                 for i in range(len(ids)):
                     seen = 0
@@ -291,16 +294,16 @@ def _routes(asked: DataFrame, books, stop) -> DataFrame:
                         seen += int(index.rows[cell])
                 rows = []
                 for group, pairs in wanted.items():
-                    cells, some = np.array(sorted(pairs), "<i4").T
+                    cells, some = np.array(pairs, "<i4").T
                     rows += [(row.dim, group, part, row.block, some.tobytes(), cells.tobytes()) for part in range(index.parts[group])]
                 yield pd.DataFrame(rows, columns=["dim", "grp", "part", "block", "rows", "visits"])
 
     return asked.mapInPandas(run, schema)
 
 
-def _met(routes: DataFrame, asked: DataFrame, blocks: DataFrame, answer, books, stop=None) -> DataFrame:
-    """(block, row, window, vec_id, score): what ``answer(asked row, anchor, ids, labels, scores)`` picks from every
-    cell that an anchor visits, as (window, positions)."""
+def _met(routes: DataFrame, asked: DataFrame, blocks: DataFrame, answer) -> DataFrame:
+    """(block, row, window, vec_id, score): what ``answer(asked row, anchor, its id and label, ids, labels, scores)``
+    picks from the cells of a block that an anchor visits, as (window, positions)."""
     named = asked.select("dim", "block", F.col("ids").alias("own_ids"), F.col("labels").alias("own_labels"), F.col("matrix").alias("own"), *[
         c for c in asked.columns if c not in ("dim", "block", "ids", "labels", "matrix")])
     sides = routes.join(named.drop("dim"), "block").join(blocks, ["dim", "grp", "part"])
@@ -311,15 +314,15 @@ def _met(routes: DataFrame, asked: DataFrame, blocks: DataFrame, answer, books,
                 own_ids, own_labels, anchors = _arrays(row.own_ids, row.own_labels, row.own, row.dim)
                 ids, labels, matrix = _arrays(row.ids, row.labels, row.matrix, row.dim)
                 cells, some, visits = np.frombuffer(row.cells, "<i8"), np.frombuffer(row.rows, "<i4"), np.frombuffer(row.visits, "<i4")
-                out = []
-                for lo, hi in zip(*_runs(visits), strict=True):
-                    a, b = np.searchsorted(cells, [visits[lo], visits[lo] + 1])
-                    if a == b:
-                        continue
-                    s = scores(anchors[some[lo:hi]], matrix[a:b])
-                    for at, i in enumerate(some[lo:hi].tolist()):
-                        for window, picked in answer(row, i, own_ids[i], own_labels[i], ids[a:b], labels[a:b], s[at]):
-                            out += [(row.block, i, window, ids[a + j], s[at, j]) for j in picked.tolist()]
+                anchors, matrix = as_numbers(anchors, matrix)
+                first, out = np.searchsorted(cells, visits), []
+                size = np.searchsorted(cells, visits, "right") - first
+                for lo, hi in zip(*_runs(some), strict=True):
+                    i, n = int(some[lo]), size[lo:hi]
+                    at = np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    s = scores(anchors[i], matrix[at])
+                    for window, picked in answer(row, i, own_ids[i], own_labels[i], ids[at], labels[at], s):
+                        out += [(row.block, i, window, ids[at[j]], s[j]) for j in picked.tolist()]
                 yield pd.DataFrame(out, columns=["block", "row", "window", "vec_id", "score"])
 
     return sides.mapInPandas(run, _FOUND)
@@ -335,7 +338,7 @@ _FOUND = "block long, row int, window int, vec_id long, score long"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of every anchor's window. Each cell of a block answers with k at most."""
+    """The k best of every anchor's window. Each block of rows answers with k at most."""
     order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id")))
     return found.groupBy("block", "row", "window").agg(F.slice(order, 1, k).alias("best"))
 
@@ -349,7 +352,7 @@ def _certified(asked: DataFrame, blocks: DataFrame, books, answer, worth, k: int
     def probe(row, n):
         return [worth(row, i, lambda window: None) for i in range(n)], PROBE_ROWS, 0
 
-    seen = checkpointed(_best(_met(_routes(asked, books, probe), asked, blocks, answer, books), k))
+    seen = checkpointed(_best(_met(_routes(asked, books, probe), asked, blocks, answer), k))
     kth = seen.filter(F.size("best") == k).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(
         (F.col("row") * F.lit(1 << 32) + F.col("window")).alias("at"), (-F.element_at("best", -1)["less"]).alias("score")))).alias("kth"))
 
@@ -357,7 +360,7 @@ def _certified(asked: DataFrame, blocks: DataFrame, books, answer, worth, k: int
         full = row.kth or {}
         return [worth(row, i, lambda window, i=i: full.get((i << 32) + window)) for i in range(n)], np.inf, PROBE_ROWS
 
-    more = _met(_routes(asked.join(kth, "block", "left"), books, rest), asked, blocks, answer, books)
+    more = _met(_routes(asked.join(kth, "block", "left"), books, rest), asked, blocks, answer)
     again = seen.select("block", "row", "window", F.explode("best").alias("b")).select(
         "block", "row", "window", F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
     return checkpointed(_best(more.unionByName(again), k))
