@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import RollingHash, _slices, bit_table, flatten, map_batches, passes, sliding_argmin
+from .common import RollingHash, _slices, bit_table, checkpointed, flatten, map_batches, passes, sliding_argmin
 
 WINDOW = 50
 KMER = 10
@@ -166,7 +165,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     taken = scan.filter("doc IS NOT NULL").select("doc", "key", F.inline("taken"))
     several = checkpointed(taken.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter(
         "first < other").select("h", "first"))
-    found = checkpointed(taken.join(several, "h"))
+    found = checkpointed(taken.join(several, "h").distinct())  # a repeated row has the same k-mers at the same places
     straight = checkpointed(found.groupBy("h").agg(
         (F.min("link") == F.max("link")).alias("straight"), (F.min("back") == F.max("back")).alias("straight_back")))
     paths = checkpointed(found.join(straight, "h").groupBy("doc", "key").agg(F.collect_list(F.struct(
@@ -174,7 +173,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _compact, "doc long, key long, spans array<struct<low: bigint, high: bigint, repeated: boolean>>, "
                   "repeats array<bigint>, open boolean"))
     branching = paths.filter("open")
-    windows = checkpointed(_some_texts(docs, branching).join(branching, ["doc", "key"]).select(
+    windows = checkpointed(_some_texts(docs, branching).dropDuplicates(["doc", "key"]).join(branching, ["doc", "key"]).select(
         "doc", "key", "text", "spans", "repeats").mapInArrow(_open_windows, "w1 long, w2 long, doc long, key long, pos long"))
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).filter("first < other")
     over_branches = windows.join(checkpointed(firsts), ["w1", "w2"]).filter("first < doc").select(

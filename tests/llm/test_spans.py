@@ -69,6 +69,22 @@ def test_repeats_odd_rows(spark):
         ("11", 0, 0), ("12", 0, 0), ("4", 70, 0), ("4", 70, 0), ("4", 71, 0), ("9", 70, 70), ("None", 70, 0)]
 
 
+def test_repeated_rows_are_judged_like_one(spark):
+    """Rows repeated anywhere, the later document's too, and a very long text."""
+    rng = random.Random(8)
+    long = " ".join(f"a{i}" for i in range(300))
+    docs = [(1, long), (2, long), (3, "x " + long), (4, " ".join(f"b{rng.randrange(9)}" for _ in range(200)))]
+    docs += [(5, " ".join(f"c{i}" for i in range(60_000)) + " " + long), (6, " ".join(f"c{i}" for i in range(100, 50_000, 1)))]
+    for d in range(7, 20):
+        cut = rng.randrange(200)
+        docs.append((d, f"d{d} " + " ".join(f"a{i}" for i in range(cut, cut + 90)) + f" e{d}"))
+    want = brute.repeats(docs)
+    for again in ([docs[1]], [docs[0], docs[1], docs[1], docs[9], docs[12], docs[4]], docs):
+        rows = substring_dedup.remove_repeats(table(spark, docs + again)).collect()
+        assert len(rows) == len(docs) + len(again)
+        assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows} == {(d, *w) for d, w in want.items()}
+
+
 @pytest.mark.parametrize("extra", [[], [(900, "One, two THREE"), (901, "das"), (902, None), (903, "...")]])
 def test_contamination(spark, extra):
     docs = source(spark, "documents", "doc_id", "text")
