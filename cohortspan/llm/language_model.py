@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import _slices, map_batches, map_texts
+from .common import _slices, checkpointed, map_batches, map_texts
 
 FOLDS = 10
 SMOOTHING = 0.1
@@ -158,6 +157,19 @@ def pair_counts(docs: DataFrame, keys: np.ndarray, numbers: np.ndarray) -> DataF
         "distance", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
+def packed(rows: DataFrame) -> list:
+    """The columns of ``rows`` (longs) on the driver, as one array each; they travel as bytes, not as objects."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([np.asarray(c, "<i8").tobytes()], pa.binary()) for c in batch.columns], names=names)
+
+    sent = rows.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
+    return [np.frombuffer(b"".join(bytes(r[c]) for r in sent), "<i8") for c in names]
+
+
 def fit(pairs: np.ndarray, dimensions: int = DIMENSIONS, steps: int = STEPS, noise: float = NOISE, seed: int = 7):
     """Vectors by noise-contrastive estimation over all pairs at once, both distances in turn.
 
@@ -205,8 +217,9 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     keys, numbers = keys[order], order.astype(np.int64)
     size = SYMBOLS + CLASSES + 1
     pairs = np.zeros((2, size, size))
-    for d, context, symbol, n in pair_counts(docs, keys, numbers).toPandas().itertuples(index=False):
-        pairs[d, context, symbol] = n
+    counted = checkpointed(pair_counts(docs, keys, numbers))
+    d, context, symbol, n = packed(counted)
+    pairs[d, context, symbol] = n
     (near, far), unigram = fit(pairs)
     near, far = near[:, :-1], (far - unigram)[:, :-1]  # the edge is never predicted
     far = far * _blend(pairs, near, far)
@@ -248,10 +261,11 @@ def scores(docs: DataFrame) -> DataFrame:
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     model = train(training, counts)
     frequent = _frequent(counts)
-    head = counts.filter(frequent).select("key", "n").toPandas().sort_values("key")
+    head_keys, head_counts = packed(counts.filter(frequent).select("key", "n"))
+    order = np.argsort(head_keys)
     whole = math.log(total + SMOOTHING * (types + 1))
     tail = counts.filter(~frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((model, head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, head_keys[order], head_counts[order]))
 
     def run(ids, texts):
         m, head_keys, head_counts = shared.value
