@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from .. import runtime
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,20 +32,36 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 BATCH_ROWS = 256
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BEFORE = "cohortspan.recordsPerBatch"  # what the session had there
 
 
 def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` over rows that hold whole texts: at most ``BATCH_ROWS`` of them at once.
 
-    Spark's own batches are 10,000 rows, which long texts make too large for a worker. The session's
-    setting is lowered, as the batch size has no other place.
+    Spark's own batches are 10,000 rows, which long texts make too large for a worker. The batch size has no
+    other place than the session's setting; it is lowered until the next ``checkpointed`` has run the plan.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
+        conf.set(_BEFORE, conf.get(_BATCHES))
         conf.set(_BATCHES, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back; the session has its own batch size again."""
+    out = runtime.checkpointed(df)
+    restore_batches(df.sparkSession)
+    return out
+
+
+def restore_batches(spark: SparkSession) -> None:
+    before = spark.conf.get(_BEFORE, None)
+    if before:
+        spark.conf.set(_BATCHES, before)
+        spark.conf.unset(_BEFORE)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list, list[bytes]], dict[str, list]], schema: str,
               id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Apply ``fn(ids, texts)`` to batches of (id, whole text); null texts arrive as empty.

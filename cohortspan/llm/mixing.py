@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import checkpointed
-from .common import bucket_bits, running_total, word_count
+from .common import bucket_bits, checkpointed, running_total, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

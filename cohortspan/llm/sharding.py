@@ -18,8 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import bucket_bits, running_total
+from .common import bucket_bits, checkpointed, running_total
 
 SHARDS = 8
 ROUNDS = 12

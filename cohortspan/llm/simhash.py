@@ -17,8 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
-from .common import connected_components, map_texts
+from .common import checkpointed, connected_components, map_texts
 
 SEED = 42
 SHINGLE = 3

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, parts_for
-from .common import _arrow_schema, _slices, map_batches
+from ..runtime import parts_for
+from .common import _arrow_schema, _slices, checkpointed, map_batches
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DELETED_EVERY = 97

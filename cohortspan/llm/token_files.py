@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _slices, map_batches
+from .common import _slices, map_batches, restore_batches
 
 END_ID = 2
-CACHED_WORDS = 120_000
+CACHED_WORDS = 250_000
 
 # Characters whose normal form and lower case do not depend on their neighbours.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
@@ -140,6 +140,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     parts = map_batches(ordered, run, "part long, docs long, null_ids long, tokens long, width long")
     parts.write.parquet(f"{folder}/parts")
+    restore_batches(spark)
     written = spark.read.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")

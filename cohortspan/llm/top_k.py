@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from .common import checkpointed
+
 
 SCALE = 256
 K = 5

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
 from .boosting import Trees, fit_trees, isotonic, sigmoid
-from .common import map_batches, map_texts
+from .common import checkpointed, map_batches, map_texts
 
 FOLDS = 5
 SAMPLE_ROWS = 30_000
