@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
-from math import factorial
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import held_out, tree_nodes
+from .boosting import MISSING, Folds, Forest, held_rows, matrix
 
 _LONG = "feature string, value double, attribution double"
 
@@ -30,120 +28,86 @@ def linear_attribution(coefficients: Sequence[float], df: DataFrame, keys: Seque
     return df.withColumn("_means", means).select(*keys, F.inline(F.array(*parts)))
 
 
-def _leaves(nodes: pd.DataFrame):
-    """Leaves grouped by the number of distinct features on their path.
-
-    A leaf becomes its value and, per feature of its path, the interval a row must lie in and the
-    share of training rows that would follow the path if that feature were unknown.
-    """
+def _leaves(forest: Forest) -> dict[int, tuple[np.ndarray, ...]]:
+    """Leaves by the number of distinct features on their path: value, and per feature its number, the bins a row must
+    lie in (above low, up to high), whether a null goes this way, and the share of rows that would follow the path if
+    the feature were unknown."""
     by_size = defaultdict(list)
-    for _, tree in nodes.groupby("tree"):
-        rows = {r.id: r for r in tree.itertuples()}
+    for tree in forest.trees:
         stack = [(0, {})]
         while stack:
             at, path = stack.pop()
-            node = rows[at]
-            if node.left < 0:
-                by_size[len(path)].append((node.value, path))
+            f = tree.feature[at]
+            if f < 0:
+                by_size[len(path)].append((tree.value[at], path))
                 continue
-            for child, is_left in ((node.left, True), (node.right, False)):
-                low, high, share = path.get(node.feature, (-np.inf, np.inf, 1.0))
-                if is_left:
-                    high = min(high, node.threshold)
-                else:
-                    low = max(low, node.threshold)
-                share *= rows[child].cover / node.cover
-                stack.append((child, {**path, node.feature: (low, high, share)}))
-    grouped = {}
+            low, high, null, share = path.get(f, (-1, MISSING - 1, True, 1.0))
+            for child, (down, up), takes in (
+                    (tree.left[at], (low, min(high, tree.cut[at])), tree.null_left[at]),
+                    (tree.left[at] + 1, (max(low, tree.cut[at]), high), not tree.null_left[at])):
+                stack.append((child, {**path, f: (down, up, null and takes, share * tree.cover[child] / tree.cover[at])}))
+    out = {}
     for size, leaves in by_size.items():
-        values = np.array([v for v, _ in leaves], dtype=float)
-        cells = [[(f, *p[f]) for f in sorted(p)] for _, p in leaves]
-        array = np.array(cells, dtype=float).reshape(len(leaves), size, 4)
-        grouped[size] = (values, array[:, :, 0].astype(int), array[:, :, 1], array[:, :, 2], array[:, :, 3])
-    return grouped
-
-
-def _pattern_table(values: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Attribution per leaf, per subset of its features that agree with the path, per feature."""
-    leaves, size = share.shape
-    patterns = (np.arange(1 << size)[:, None] >> np.arange(size)) & 1
-    weight = [factorial(k) * factorial(size - 1 - k) / factorial(size) for k in range(size)]
-    table = np.zeros((leaves, 1 << size, size))
-    for i in range(size):
-        # Coefficients of the product over the other features of (agrees * t + share).
-        poly = np.zeros((leaves, 1 << size, size))
-        poly[:, :, 0] = 1.0
-        for j in range(size):
-            if j != i:
-                grown = poly * share[:, None, j, None]
-                grown[:, :, 1:] += poly[:, :, :-1] * patterns[None, :, j, None]
-                poly = grown
-        table[:, :, i] = (poly @ weight) * (patterns[None, :, i] - share[:, None, i]) * values[:, None]
-    return table
-
-
-def base_value(nodes: pd.DataFrame) -> float:
+        cells = np.array([[(f, *p[f]) for f in sorted(p)] for _, p in leaves], float).reshape(len(leaves), size, 5)
+        out[size] = (np.array([v for v, _ in leaves]), cells[..., 0].astype(int), cells[..., 1], cells[..., 2], cells[..., 3] > 0, cells[..., 4])
+    return out
+
+
+def base_value(forest: Forest) -> float:
     """Expected margin of the ensemble over its training rows' cover."""
-    return float(sum((v * s.prod(axis=1)).sum() for v, _, _, _, s in _leaves(nodes).values()))
-
-
-def _attribute(nodes: pd.DataFrame, keys: Sequence[str], names: Sequence[str]):
-    """Task-side function over batches; the node table is the size of the model."""
-    def run(batches):
-        grouped = _leaves(nodes)
-        block = 256
-        for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
-            phi = np.zeros(x.shape)
-            for size, (values, feature, low, high, share) in grouped.items():
-                if size == 0:
-                    continue
-                for at in range(0, len(values), block):
-                    part = slice(at, at + block)
-                    table = _pattern_table(values[part], share[part])
-                    seen = np.zeros((len(x), table.shape[0]), dtype=np.int64)
-                    for j in range(size):
-                        v = x[:, feature[part, j]]
-                        seen |= ((v > low[part, j]) & (v <= high[part, j])).astype(np.int64) << j
-                    for leaf in range(table.shape[0]):
-                        phi[:, feature[at + leaf]] += table[leaf, seen[:, leaf]]
-            out = {k: np.repeat(pdf[k].to_numpy(), len(names)) for k in keys}
-            out["feature"] = np.tile(np.array(names, dtype=object), len(x))
-            out["value"] = x.ravel()
-            out["attribution"] = phi.ravel()
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def tree_attribution(
-    spark: SparkSession, model, df: DataFrame, keys: Sequence[str], names: Sequence[str], x: str = "x"
-) -> DataFrame:
-    """(keys, feature, value, attribution) of every row, on the log-odds scale.
+    return float(sum((leaves[0] * leaves[5].prod(1)).sum() for leaves in _leaves(forest).values()))
 
-    Attributions of a row plus ``base_value`` give the model's log-odds for it. The trees travel to
-    the tasks, the rows stay where they are.
-    """
-    nodes = tree_nodes(spark, model).toPandas()
-    # The classifier turns its margin into a probability by 1 / (1 + exp(-2 margin)).
-    nodes["value"] *= 2.0
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _LONG
-    return df.select(*keys, vector_to_array(x).alias("_x")).mapInPandas(_attribute(nodes, keys, names), schema)
 
+def shapley(forest: Forest, bins: np.ndarray, block: int = 128) -> np.ndarray:
+    """Attribution of the margin to every feature, row by row.
 
-def fold_attribution(
-    spark: SparkSession, folded: DataFrame, models: Mapping, keys: Sequence[str], names: Sequence[str]
-) -> DataFrame:
-    """Attributions of every held-out row by the model that did not see it."""
-    parts = [
-        tree_attribution(spark, model, held_out(folded, split), ["repeat", "fold", *keys], names)
-        for split, model in models.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    A leaf is worth its value times the product, over the features of its path, of "known and fitting" or of the share.
+    Weighing all subsets of known features is the integral over t from 0 to 1 of that product with t times fitting plus
+    (1 - t) times share as factors, a polynomial: Gauss points give it exactly, and dividing one factor out of the
+    product gives each feature's part.
+    """
+    phi = np.zeros(bins.shape)
+    for size, leaves in _leaves(forest).items():
+        if not size:
+            continue
+        points, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
+        for at in range(0, len(leaves[0]), block):
+            value, feature, low, high, null, share = (part[at:at + block] for part in leaves)
+            b = bins[:, feature]
+            fits = np.where(b == MISSING, null, (b > low) & (b <= high)).astype(float)
+            others = np.zeros(fits.shape)
+            for t, w in zip((points + 1) / 2, weights / 2, strict=True):
+                factors = fits * t + share * (1 - t)
+                others += w * factors.prod(2, keepdims=True) / factors
+            parts = value[:, None] * (fits - share) * others
+            for j in range(size):
+                phi += parts[:, :, j] @ (feature[:, j, None] == np.arange(bins.shape[1])).astype(float)
+    return phi
+
+
+def fold_attribution(folds: Folds, forests: Mapping[tuple[int, int], Forest], keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(repeat, fold, keys, feature, value, attribution) of every held-out row by the model that did not see it.
+
+    On the log-odds scale: a row's attributions plus ``base_value`` give the model's log-odds for it. One scan; the
+    models travel to the tasks, the rows stay where they are.
+    """
+    types = dict(folds.table.dtypes)
+    columns = ["repeat", "fold", *keys]
+    shared = folds.table.sparkSession.sparkContext.broadcast(dict(forests))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for split, rows in held_rows(batch, shared.value):
+                for start in range(0, len(rows), 256):
+                    part = batch.take(pa.array(rows[start:start + 256]))
+                    x = matrix(part.column(part.num_columns - 1), part.num_rows)
+                    phi = shapley(shared.value[split], shared.value[split].bins(x))
+                    again = pa.array(np.repeat(np.arange(len(x)), len(names)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(again) for c in part.columns[:-1]), pa.array(list(names) * len(x), pa.string()),
+                         pa.array(x.ravel(), from_pandas=True), pa.array(phi.ravel())], names=[*columns, "feature", "value", "attribution"])
+
+    return folds.table.select(*columns, "x").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + _LONG)
 
 
 def attribution_summary(attributions: DataFrame) -> DataFrame:

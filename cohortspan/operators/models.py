@@ -1,41 +1,22 @@
-"""Classifiers on Spark's own learners, scored over folds, and their importances."""
+"""Logistic classifiers on Spark's own learner, scored over folds, and tables of importances."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, scratch_path
-from ..sources.schemas import IMPORTANCE
+from ..runtime import checkpointed
 
 Fitter = Callable[[DataFrame], object]
 
 
-@dataclass(frozen=True)
-class TreeParams:
-    """Boosted-tree settings; the defaults are the tuned ones used for cross-validation."""
-
-    trees: int = 400
-    depth: int = 8
-    rate: float = 0.09
-    subsample: float = 0.9
-    column_sample: float = 0.1
-    gamma: float = 0.4
-    seed: int = 42
-
-
-# The settings of the attribution runs and of an untuned booster.
-ATTRIBUTION_TREES = TreeParams(trees=100)
-PLAIN_TREES = TreeParams(trees=100, depth=6, rate=0.3, subsample=1.0, column_sample=1.0, gamma=0.0)
-
 # Decision cutoffs of the logistic and the three tree models.
 LOGISTIC_CUTOFF = 0.0017
 TREE_CUTOFFS = {"1": 0.00178, "2a": 0.132, "2b": 0.125}
@@ -45,15 +26,6 @@ def assemble(df: DataFrame, xs: Sequence[str], out: str = "x") -> DataFrame:
     return VectorAssembler(inputCols=list(xs), outputCol=out).transform(df)
 
 
-def missing_as_value(df: DataFrame, xs: Sequence[str], sentinel: float = -1.0) -> tuple[DataFrame, list[str]]:
-    """For tree models: a sentinel for nulls and a flag column for each column that has any."""
-    gaps = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in xs]).first()
-    holed = [c for c in xs if gaps[c]]
-    df = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in holed})
-    df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel)) for c in holed})
-    return df, [*xs, *[f"{c}_missing" for c in holed]]
-
-
 def logistic(y: str, x: str = "x", c: float = 1.0) -> Fitter:
     """Ridge-penalised logistic model; ``c`` weighs the summed loss against the penalty, intercept free."""
     def fit(train: DataFrame):
@@ -64,23 +36,6 @@ def logistic(y: str, x: str = "x", c: float = 1.0) -> Fitter:
     return fit
 
 
-def boosted_trees(y: str, x: str = "x", params: TreeParams = TreeParams()) -> Fitter:
-    """Gradient-boosted trees.
-
-    ``gamma`` is a loss reduction summed over a node's rows while Spark's minimum gain is a mean,
-    so it is divided by the number of training rows.
-    """
-    def fit(train: DataFrame):
-        gain = params.gamma / train.count() if params.gamma else 0.0
-        return GBTClassifier(
-            featuresCol=x, labelCol=y, maxIter=params.trees, maxDepth=params.depth, stepSize=params.rate,
-            subsamplingRate=params.subsample, featureSubsetStrategy=str(params.column_sample) if params.column_sample < 1 else "all",
-            minInfoGain=gain, seed=params.seed, maxMemoryInMB=512,
-        ).fit(train)
-
-    return fit
-
-
 def score(model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns`` and the probability of class 1."""
     return model.transform(df).select(*columns, vector_to_array("probability")[1].alias("score"))
@@ -119,20 +74,6 @@ def prepared_folds(folded: DataFrame, xs: Sequence[str], columns: Sequence[str])
     return checkpointed(assemble(folded, xs).select("repeat", "fold", *columns, "x"), ["repeat", "fold"])
 
 
-def importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], IMPORTANCE)
-
-
-def fold_importance(spark: SparkSession, models: dict, names: Sequence[str]) -> DataFrame:
-    rows = [
-        (repeat, fold, n, float(v))
-        for (repeat, fold), model in models.items()
-        for n, v in zip(names, model.featureImportances.toArray())
-    ]
-    return spark.createDataFrame(rows, "repeat int, fold int, feature string, importance double")
-
-
 def fold_importance_wide(long: DataFrame, k: int) -> DataFrame:
     """One column ``importance<i>`` per fold, i counting folds over repeats of ``k``."""
     return long.withColumn("_i", F.concat(F.lit("importance"), (F.col("repeat") * k + F.col("fold")).cast("string"))) \
@@ -153,29 +94,3 @@ def feature_list(df: DataFrame, names: Sequence[str]) -> DataFrame:
     counts = df.agg(*[F.count(c).alias(c) for c in names])
     rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_known")) for c in names]
     return counts.select(F.inline(F.array(*rows)))
-
-
-def tree_nodes(spark: SparkSession, model) -> DataFrame:
-    """The nodes of a tree ensemble as a table, through the model's own file format."""
-    path = scratch_path(spark, "trees")
-    model.write().save(path)
-    node = F.col("nodeData")
-    weights = F.lit([float(w) for w in model.treeWeights])
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"),
-        node["id"].alias("id"),
-        node["leftChild"].alias("left"),
-        node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"),
-        F.when(node["leftChild"] >= 0, node["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
-        (node["prediction"] * weights[F.col("treeID")]).alias("value"),
-        node["impurityStats"][0].alias("cover"),
-    )
-
-
-def split_counts(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    """How often each feature splits a node of the ensemble."""
-    labels = F.lit(list(names))
-    return tree_nodes(spark, model).filter("left >= 0").groupBy(labels[F.col("feature")].alias("feature")).agg(
-        F.count("*").alias("splits")
-    )

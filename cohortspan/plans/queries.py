@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import attribution, cohorts, describe, evaluate, features, glm, matching, models, survival
+from ..operators import attribution, boosting, cohorts, describe, evaluate, features, glm, matching, models, survival
 from ..runtime import checkpointed
 from ..sources.study import CONDITION_SUFFIX, CONDITIONS, STUDY_CUTOFF, Study
 from .arms import THREE_FLAGS, TWO_FLAGS, Arms
@@ -715,20 +715,21 @@ def logistic_holdout(spark, folder):
 # The three analyses' tables; hold-outs take an untuned booster, cross-validation the tuned one, over 5 x 5 folds.
 def _tree_table(spark, folder, analysis: str = "2a") -> tuple[DataFrame, list[str]]:
     table = _model_table(spark, folder) if analysis == "1" else _wide_table(spark, folder, analysis == "2b")
-    return models.missing_as_value(table, features.features_except(table, "person_id", "death"))
+    return table, features.features_except(table, "person_id", "death")
 
 
-def _tree_cv(spark, folder, analysis: str = "2a", params: models.TreeParams = models.TreeParams()):
+def _tree_cv(spark, folder, analysis: str = "2a", params: boosting.TreeParams = boosting.TreeParams()):
     table, xs = _tree_table(spark, folder, analysis)
-    folds = evaluate.stratified_folds(table, "death", "person_id", k=5, repeats=5)
-    folds = models.prepared_folds(folds, xs, ["person_id", "death"])
-    return folds, xs, models.cross_fit(folds, models.boosted_trees("death", params=params), threads=25)
+    folds = boosting.prepare(evaluate.stratified_folds(table, "death", "person_id", k=5, repeats=5), xs, "death", ["person_id"])
+    return folds, xs, boosting.fit(folds, params)
 
 
 def _tree_holdout(spark, folder, analysis: str):
     table, xs = _tree_table(spark, folder, analysis)
-    model, scored = _holdout_scores(spark, folder, models.boosted_trees("death", params=models.PLAIN_TREES), table, xs)
-    return model, scored, xs
+    split = evaluate.holdout(table, "person_id").withColumns({"repeat": F.lit(0), "fold": 1 - F.col("is_test")})
+    folds = boosting.prepare(split, xs, "death", ["person_id"], [(0, 0)])
+    forests = boosting.fit(folds, boosting.PLAIN_TREES)
+    return forests[0, 0], boosting.cross_score(folds, forests, ["person_id", "death"]).select("person_id", "death", "score"), xs
 
 
 def _tree_thresholds(spark, folder, analysis: str) -> DataFrame:
@@ -748,33 +749,33 @@ def _tree_recall(spark, folder, analysis: str) -> DataFrame:
 
 def _tree_importance(spark, folder, analysis: str) -> DataFrame:
     model, _, xs = _tree_holdout(spark, folder, analysis)
-    return models.importance_top(models.importance(spark, model, xs))
+    return models.importance_top(boosting.importance(spark, model, xs))
 
 
 def _tree_split_counts(spark, folder, analysis: str) -> DataFrame:
     model, _, xs = _tree_holdout(spark, folder, analysis)
-    return models.split_counts(spark, model, xs)
+    return boosting.split_counts(spark, model, xs)
 
 
 def _tree_mean_roc(spark, folder, analysis: str) -> DataFrame:
     folds, _, fits = _tree_cv(spark, folder, analysis)
-    scores = checkpointed(models.cross_score(folds, fits, ["person_id", "death"]))
+    scores = checkpointed(boosting.cross_score(folds, fits, ["person_id", "death"]))
     return evaluate.mean_roc(evaluate.score_table(scores, y="death", by=["repeat", "fold"]), ["repeat", "fold"])
 
 
 def _tree_fold_importance(spark, folder, analysis: str) -> DataFrame:
     _, xs, fits = _tree_cv(spark, folder, analysis)
-    return models.fold_importance_wide(models.fold_importance(spark, fits, xs), 5)
+    return models.fold_importance_wide(boosting.fold_importance(spark, fits, xs), 5)
 
 
 def _tree_mean_importance(spark, folder, analysis: str) -> DataFrame:
     _, xs, fits = _tree_cv(spark, folder, analysis)
-    return models.mean_importance_top(models.fold_importance(spark, fits, xs))
+    return models.mean_importance_top(boosting.fold_importance(spark, fits, xs))
 
 
 def _tree_attributions(spark, folder, analysis: str) -> DataFrame:
-    folds, xs, fits = _tree_cv(spark, folder, analysis, models.ATTRIBUTION_TREES)
-    return attribution.fold_attribution(spark, folds, fits, ["person_id"], xs)
+    folds, xs, fits = _tree_cv(spark, folder, analysis, boosting.ATTRIBUTION_TREES)
+    return attribution.fold_attribution(folds, fits, ["person_id"], xs)
 
 
 def _tree_attribution_summary(spark, folder, analysis: str) -> DataFrame:

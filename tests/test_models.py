@@ -144,47 +144,6 @@ def test_logistic_matches_penalised_newton(cohort):
     assert np.allclose([model.intercept, *model.coefficients.toArray()], beta, atol=1e-3)
 
 
-def tree_value(nodes, row, known):
-    """Expected output of one tree when only ``known`` features are given."""
-    def walk(at):
-        n = nodes[at]
-        if n.left < 0:
-            return n.value
-        if n.feature in known:
-            return walk(n.left if row[n.feature] <= n.threshold else n.right)
-        left, right = nodes[n.left], nodes[n.right]
-        return (left.cover * walk(n.left) + right.cover * walk(n.right)) / n.cover
-    return walk(0)
-
-
-def test_tree_attribution_is_shapley_and_additive(spark, cohort):
-    names = ["score", "doses", "a", "b"]
-    df = models.assemble(cohort, names).select("id", "death", "x").cache()
-    model = models.boosted_trees("death", params=models.TreeParams(trees=4, depth=3, column_sample=1.0, gamma=0.0))(df)
-    few = df.filter("id < 12")
-    out = A.tree_attribution(spark, model, few, ["id"], names).collect()
-    nodes = models.tree_nodes(spark, model).toPandas()
-    nodes["value"] *= 2
-    trees = [{r.id: r for r in g.itertuples()} for _, g in nodes.groupby("tree")]
-    base = A.base_value(nodes)
-    scores = {r.id: r.score for r in models.score(model, few, ["id"]).collect()}
-    rows = {r.id: r.x.toArray() for r in few.collect()}
-    p = len(names)
-    for i, row in rows.items():
-        mine = {r.feature: r.attribution for r in out if r.id == i}
-        assert abs(base + sum(mine.values()) - math.log(scores[i] / (1 - scores[i]))) < 1e-8
-        for f in range(p):
-            want, others = 0.0, [g for g in range(p) if g != f]
-            for k in range(p):
-                for subset in itertools.combinations(others, k):
-                    w = math.factorial(k) * math.factorial(p - 1 - k) / math.factorial(p)
-                    want += w * sum(tree_value(t, row, {*subset, f}) - tree_value(t, row, set(subset)) for t in trees)
-            assert abs(mine[names[f]] - want) < 1e-9
-    summary = A.attribution_summary(spark.createDataFrame(out)).collect()
-    assert [r.mean_abs for r in summary] == sorted(r.mean_abs for r in summary)
-    assert A.attribution_quantiles(spark.createDataFrame(out), 2).count() == 10
-
-
 def test_cross_scores_cover_every_row_once_per_repeat(spark, cohort):
     from cohortspan.operators.evaluate import stratified_folds
 
@@ -197,35 +156,6 @@ def test_cross_scores_cover_every_row_once_per_repeat(spark, cohort):
     assert abs(lin.agg(F.sum("attribution")).first()[0]) < 1e-6
 
 
-class Fitted(Exception):
-    pass
-
-
-@pytest.mark.parametrize("name, want, fits", [
-    ("tree_holdout_2a", models.PLAIN_TREES, 1), ("tree_importance", models.PLAIN_TREES, 1), ("tree_recall_2b", models.PLAIN_TREES, 1),
-    ("tree_cv_1", models.TreeParams(400, 8, 0.09, 0.9, 0.1, 0.4, 42), 25), ("attribution_summary_1", models.TreeParams(100, 8, 0.09), 25)])
-def test_tree_queries_take_the_reference_settings(spark, monkeypatch, name, want, fits):
-    seen = []
-
-    def cross_fit(folded, fit, threads):
-        seen.append(folded.select("repeat", "fold").distinct().count())
-        raise Fitted
-
-    def boosted_trees(y, x="x", params=None):
-        assert params == want
-
-        def fit(train):
-            seen.append(1)
-            raise Fitted
-        return fit
-
-    monkeypatch.setattr(models, "boosted_trees", boosted_trees)
-    monkeypatch.setattr(models, "cross_fit", cross_fit)
-    with pytest.raises(Fitted):
-        QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert seen == [fits]
-
-
 def test_cox_raises_without_convergence(spark, cohort):
     with pytest.raises(RuntimeError, match="not converged"):
         survival.cox_fit(cohort, "duration", "death", ["score"], max_iter=1)
