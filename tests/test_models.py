@@ -76,6 +76,27 @@ def test_profile_limits_of_separated_and_aliased_terms(spark):
         assert abs(rise(math.log(bound)) - best - 3.841458820694124) < 1e-5
 
 
+def test_separated_aliased_and_plain_terms(spark, monkeypatch):
+    """Only rows without the sign survive: its odds are infinite, the other terms' are those of the rest."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        sign, x = float(i % 8 == 0), float(rng.randint(0, 4))
+        rows.append((sign, 1.0 - sign, x, 1 if sign else int(rng.random() < 1 / (1 + math.exp(1.5 - 0.5 * x)))))
+    df = spark.createDataFrame(rows, "sign double, none double, x double, y int")
+    out = {r.term: r for r in glm.glm_binomial(df, "y", ["sign", "none", "x"]).collect()}
+    rest = {r.term: r for r in glm.glm_binomial(df.filter("sign = 0"), "y", ["x"]).collect()}
+    assert out["none"].estimate is None
+    assert out["sign"].estimate == out["sign"].conf_high == out["sign"].std_error == math.inf and 1 < out["sign"].conf_low < math.inf
+    assert out["sign"].statistic == 0 and out["sign"].p_value == 1
+    for name in ("estimate", "std_error", "conf_low", "conf_high"):
+        assert getattr(out["x"], name) == pytest.approx(getattr(rest["x"], name), rel=1e-5)
+    monkeypatch.setattr(glm, "LOCAL_BYTES", 0)
+    again = {r.term: r for r in glm.glm_binomial(df, "y", ["sign", "none", "x"]).collect()}
+    assert again["sign"].conf_low == pytest.approx(out["sign"].conf_low) and again["x"].conf_high == pytest.approx(out["x"].conf_high)
+    assert glm.glm_binomial(df, "y", ["sign"], ci="wald").filter("term = 'sign'").first().conf_low == 0
+
+
 def test_profile_bounds_raise_deviance_by_the_quantile(cohort):
     wald = {r.term: r for r in glm.glm_binomial(cohort, "death", ["score"], ci="wald").collect()}
     out = {r.term: r for r in glm.glm_binomial(cohort, "death", ["score"], ci="profile").collect()}
