@@ -2,7 +2,7 @@
 
 One inserted or deleted letter changes a word's letter counts by one, one replaced letter by two, so near words lie
 within L1 distance two, and one if their lengths differ. Words of one length are cut by the top of a k-d tree into
-blocks of bounded size; a word meets the blocks of its own and the neighbouring lengths whose boxes are near enough.
+blocks of bounded size; a word meets the blocks of its own and the next length whose boxes are near enough.
 Inside a block a second tree prunes by boxes again, and what is left is compared letter by letter.
 """
 
@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,8 @@ LETTERS = 5  # a word has so many code points at least
 TIMES = 3  # and occurs so often
 LEAD = 2  # a form is so many times as frequent
 DIMENSIONS = 32  # 26 letters, and the others dealt over the rest
-BLOCK_ROWS = 16_384  # words a block holds; twice as many at most
+MOST = 60
+BLOCK_ROWS = 32_768  # words a block holds; twice as many at most
 LEAF_ROWS = 48
 SAMPLE_ROWS = 65_536  # words of a length from which the cuts between blocks are chosen; results do not depend on it
 FLUSH_WORDS = 1 << 18  # a task hands on its counts when it holds so many different words
@@ -75,13 +75,15 @@ def word_counts(docs: DataFrame, every: int = DELETED_EVERY, letters: int = LETT
 
 
 def vectors(words: list[str]) -> np.ndarray:
-    """Letter counts, one row per word; letters beyond a to z share the last dimensions."""
-    out = np.zeros((len(words), DIMENSIONS), np.int16)
+    """Letter counts, one row per word; letters beyond a to z share the last dimensions.
+
+    Counts stop at MOST, which never moves two words farther apart."""
+    out = np.zeros((len(words), DIMENSIONS), np.int32)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
     plain = (points >= 97) & (points <= 122)
     np.add.at(out, (np.repeat(np.arange(len(words)), lengths), np.where(plain, points - 97, 26 + points % (DIMENSIONS - 26))), 1)
-    return out
+    return np.minimum(out, MOST).astype(np.int8)
 
 
 def reach(length: int, other: int) -> int:
@@ -129,7 +131,7 @@ def place(tree, points: np.ndarray) -> np.ndarray:
 
 def near_boxes(points: np.ndarray, low: np.ndarray, high: np.ndarray, within: int) -> np.ndarray:
     """Which points lie within an L1 distance of a box."""
-    return (np.maximum(low - points, 0) + np.maximum(points - high, 0)).sum(1) <= within
+    return (np.maximum(low - points, 0) + np.maximum(points - high, 0)).sum(1, dtype=np.int16) <= within
 
 
 class LetterTree:
@@ -210,8 +212,8 @@ def near_words(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(word, n_near, form_n, form) of all words (word, n) that have near words.
 
     Blocks hold words of one place in a length's tree, by hash where the tree cannot cut on. A word is sent to the
-    blocks of its own and both neighbouring lengths whose boxes it may reach; each block answers with a count and
-    its most frequent near word, and the answers of all blocks are put together.
+    blocks of its own length and the next whose boxes it may reach; each block answers with a count and the most
+    frequent near word, for its own words too if they are longer, and the answers of all blocks are put together.
     """
     spark = words.sparkSession
     sizes = {r["length"]: r["n"] for r in words.groupBy(F.length("word").alias("length")).agg(F.count("*").alias("n")).collect()}
@@ -238,23 +240,23 @@ def near_words(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     boxed: dict[int, list] = {}
     for box in boxes:  # one row per block of up to block_rows words: no word reaches the driver
         boxed.setdefault(box["length"], []).append((
-            box["cell"], parts_for(box["n"], 2 * block_rows), np.array(box[3:3 + DIMENSIONS], np.int16), np.array(box[3 + DIMENSIONS:], np.int16)))
+            box["cell"], parts_for(box["n"], 2 * block_rows), np.array(box[3:3 + DIMENSIONS], np.int8), np.array(box[3 + DIMENSIONS:], np.int8)))
     known = spark.sparkContext.broadcast(boxed)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, length = batch.column(0), np.asarray(batch.column(1))
-            points = np.asarray(batch.column(2).flatten(), np.int16).reshape(-1, DIMENSIONS)
+            texts, n, length = batch.column(0), batch.column(1), np.asarray(batch.column(2))
+            points = np.asarray(batch.column(3).flatten()).astype(np.int8).reshape(-1, DIMENSIONS)
             for own in np.unique(length).tolist():
                 rows = np.flatnonzero(length == own)
-                for other in (own - 1, own, own + 1):
+                for other in (own, own + 1):
                     for cell, parts, low, high in known.value.get(other, []):
                         hits = rows[near_boxes(points[rows], low, high, reach(own, other))]
                         if len(hits):
                             for part in range(parts):
                                 yield pa.RecordBatch.from_arrays(
-                                    [pa.array(np.full(len(hits), x)) for x in (other, cell, part)] + [texts.take(pa.array(hits))],
-                                    names=["length", "cell", "part", "asked"])
+                                    [pa.array(np.full(len(hits), x)) for x in (other, cell, part)] + [texts.take(pa.array(hits)), n.take(pa.array(hits))],
+                                    names=["length", "cell", "part", "asked", "n"])
 
     n_parts = F.lit(1)
     split = [(length, cell, parts) for length, found in boxed.items() for cell, parts, *_ in found if parts > 1]
@@ -262,45 +264,49 @@ def near_words(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         n_parts = F.when((F.col("length") == length) & (F.col("cell") == cell), F.lit(parts)).otherwise(n_parts)
     part = F.pmod(F.xxhash64("word"), n_parts).cast("long")
     rows = cells.select("length", "cell", part.alias("part"), F.lit(None).cast("string").alias("asked"), "word", "n")
-    asked = cells.select("word", "length", "counts").mapInArrow(routed, "length long, cell long, part long, asked string").select(
-        "length", "cell", "part", "asked", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
+    asked = cells.select("word", "n", "length", "counts").mapInArrow(
+        routed, "length long, cell long, part long, asked string, n long").select(
+        "length", "cell", "part", "asked", F.lit(None).cast("string").alias("word"), "n")
     schema = "asked string, n_near long, form_n long, form string"
     arrow = _arrow_schema(spark, schema)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds whole blocks in turn, each block's words before the words that ask it."""
-        at, block, held, tree, counts, ask = None, [], [], None, None, []
-
-        def answer() -> pa.RecordBatch:
-            out = []
-            for length in sorted({len(w) for w in ask}):
-                some = [w for w in ask if len(w) == length]
-                i, j = tree.near(some)
-                order = np.argsort(i, kind="stable")
-                i, j = i[order], j[order]
-                for lo, hi in zip(*_runs(i), strict=True):
-                    form = min(j[lo:hi].tolist(), key=lambda x: (-counts[x], block[x]))
-                    out.append((some[i[lo]], hi - lo, counts[form], block[form]))
+        at, tree = None, None
+        block, counts, ask, times = [], [], [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            lengths = np.fromiter(map(len, ask), np.int64, len(ask))
+            for length in np.unique(lengths).tolist():
+                here = np.flatnonzero(lengths == length)
+                words, n = [ask[i] for i in here.tolist()], np.array(times)[here]
+                i, j = tree.near(words)
+                yield _summed(i, words, j, block, np.array(counts), arrow)
+                if length != len(block[0]):  # the block's words are not sent to the shorter ones
+                    yield _summed(j, block, i, words, n, arrow)
             ask.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], arrow.field(c).type) for c in range(4)], schema=arrow)
+            times.clear()
 
         for batch in batches:
-            for *key, wanted, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != at:
+            keys = np.stack([np.asarray(c) for c in batch.columns[:3]])
+            for lo, hi in zip(*_runs(keys), strict=True):
+                if (key := tuple(keys[:, lo].tolist())) != at:
                     if ask:
-                        yield answer()
-                    at, block, held, tree = key, [], [], None
-                if wanted is None:
-                    block.append(word)
-                    held.append(n)
-                    continue
-                if tree is None:
-                    tree, counts = LetterTree(block), held
-                ask.append(wanted)
-                if len(ask) == BLOCK_ROWS:
-                    yield answer()
+                        yield from answers()
+                    at, tree = key, None
+                    block, counts = [], []
+                part = batch.slice(lo, hi - lo)
+                own = part.column(3).null_count
+                block += part.column(4).slice(0, own).to_pylist()
+                counts += part.column(5).slice(0, own).to_pylist()
+                ask += part.column(3).slice(own).to_pylist()
+                times += part.column(5).slice(own).to_pylist()
+                if ask and tree is None:
+                    tree = LetterTree(block)
+                if len(ask) >= BLOCK_ROWS:
+                    yield from answers()
         if ask:
-            yield answer()
+            yield from answers()
 
     blocks = rows.unionAll(asked).repartition("length", "cell", "part").sortWithinPartitions(
         "length", "cell", "part", F.col("asked").asc_nulls_first())
@@ -310,9 +316,25 @@ def near_words(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         "word", "n_near", (-F.col("top.less")).alias("form_n"), F.col("top.form").alias("form"))
 
 
+def _summed(i: np.ndarray, words: list[str], j: np.ndarray, others: list[str], n: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """Per word in pairs (i, j): how many near words, and the most frequent of them, ties to the smallest."""
+    named = np.unique(j)
+    rank = np.zeros(len(others), np.int64)
+    rank[sorted(named.tolist(), key=others.__getitem__)] = np.arange(len(named))  # code points, as UTF-8 bytes
+    order = np.lexsort((rank[j], -n[j], i))
+    i, j = i[order], j[order]
+    lo, hi = _runs(i[None])
+    top = j[lo]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([words[k] for k in i[lo].tolist()], pa.string()), pa.array(hi - lo, pa.int64()), pa.array(n[top], pa.int64()),
+         pa.array([others[k] for k in top.tolist()], pa.string())], schema=schema)
+
+
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the runs of equal values."""
-    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
+    """Bounds of the runs of equal columns."""
+    if not values.shape[1]:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], (values[:, 1:] != values[:, :-1]).any(0), [True])))
     return edges[:-1], edges[1:]
 
 

@@ -112,4 +112,4 @@ def test_letter_counts_bound_edits():
     points = S.vectors(words)
     for i in range(1, len(words)):
         if edits(words[0], words[i]):
-            assert np.abs(points[0] - points[i]).sum() <= S.reach(len(words[0]), len(words[i]))
+            assert np.abs(points[0] - points[i]).sum(dtype=int) <= S.reach(len(words[0]), len(words[i]))
