@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -29,6 +30,7 @@ CACHED_WORDS = 250_000
 
 # Characters whose normal form and lower case do not depend on their neighbours.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")  # one piece
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſß]+|[0-9]|[^a-zà-öø-ſß0-9]+")
 
 
@@ -65,12 +67,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = byte_letters()
         self.pieces = _Cache(self._piece, keep)
         self.words = _Cache(self._word, keep)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
@@ -78,6 +81,9 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode(errors="replace")
+        body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+        if LETTERS.fullmatch(body):
+            return self.pieces[body.lower()] + self.pieces[mark] if mark else self.pieces[body.lower()]
         if PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
