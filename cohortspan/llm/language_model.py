@@ -4,8 +4,11 @@ Counts of all training words come from the whole corpus, by Spark. The model's s
 words, and classes for all other words by their last letters. The score of a symbol after two others is
 bilinear in vectors of the context and of the symbol; as contexts are pairs of symbols, one batched matrix
 product gives the normaliser of every pair, and a token's normalised log-probability is three table look-ups.
-A word outside the symbols takes its class's probability times its share of the class by smoothed counts,
-where each class keeps a share for one unseen word.
+A word outside the symbols takes its class's probability times its share of the class, where each class keeps
+a share for one unseen word. That share starts from smoothed counts; words counted ``LEAST`` times, among the
+``HEAD`` most frequent, have vectors of their own, so the vocabulary grows with the corpus: within blocks of at
+most ``BLOCK`` words of a class, a second log-bilinear model, fitted in Spark tasks block by block, moves
+probability between the words by the word before.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ HEAD = 1 << 19  # words whose counts every task holds, 16 bytes each; the counts
 DIMENSIONS = 24
 STEPS = 150
 NOISE = 10.0
+LEAST = 64  # occurrences from which a word among the HEAD most frequent has a vector of its own
+BLOCK = 2048  # words of a class that are normalised together, at most
+BLOCK_DIMENSIONS, BLOCK_STEPS = 12, 48
+PART = 16  # contexts counted together
+CHECK = 1 << 26  # marks cells that tell when to stop
 FLUSH_WORDS = 1 << 19  # a task hands on its counts when it holds so many different words
 
 
@@ -76,9 +84,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
-def _frequent(counts: DataFrame) -> Column:
-    """Condition for the most frequent words: whole classes of counts, an eighth of a power of two wide, that
-    hold at most ``HEAD`` words together. Only the classes' sizes come to the driver."""
+def _frequent(counts: DataFrame, top: list) -> Column:
+    """Condition for the symbols' words and the most frequent ones: whole classes of counts, an eighth of a power
+    of two wide, that hold at most ``HEAD`` words together. Only the classes' sizes come to the driver."""
     level = F.floor(F.log2("n") * 8)
     least, held = 1 << 20, 0
     for at, words in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -86,19 +94,31 @@ def _frequent(counts: DataFrame) -> Column:
         if held > HEAD:
             break
         least = at
-    return level >= least
+    return (level >= least) | ~beyond(top, SYMBOLS)
 
 
 @dataclass
 class Model:
     """Tables by symbol: 0..S-1 frequent words, then the classes, then the edge as a context only."""
 
-    keys: np.ndarray  # sorted keys of the symbol words
-    symbols: np.ndarray  # their symbol numbers
+    words: Vocabulary
     near: np.ndarray  # log score of (previous, symbol), bias included
     far: np.ndarray  # log score of (one before, symbol)
     norm: np.ndarray  # log normaliser of (previous, one before)
     class_mass: np.ndarray  # smoothed count of each class, its unseen word included
+    context: np.ndarray  # vectors of (block, previous)
+    vectors: np.ndarray  # of the vocabulary's words, zero for those without
+    level: np.ndarray  # log of the block's smoothed count less its normaliser, by (block, previous)
+
+    def within(self, at: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """How much the log-probability of words within their class, after ``one``, departs from their share by counts."""
+        out = np.zeros(len(at))
+        if len(self.level):
+            block = np.where(at >= 0, self.words.blocks[at], -1)
+            own = np.flatnonzero(block >= 0)
+            b, c = block[own], one[own]
+            out[own] = (self.context[b, c] * self.vectors[at[own]]).sum(1) + self.level[b, c]
+        return out
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +126,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _symbols(keys: np.ndarray, classes: np.ndarray, sorted_keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    at, found = _find(sorted_keys, keys)
-    return np.where(found, numbers[at], SYMBOLS + classes) if len(sorted_keys) else SYMBOLS + classes
+def _symbols(keys: np.ndarray, classes: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of words, and their places in the vocabulary (-1 outside)."""
+    at, found = _find(words.keys, keys)
+    at = np.where(found, at, -1)
+    own = words.symbols[at] if len(words.keys) else at
+    return np.where(found & (own >= 0), own, SYMBOLS + classes), at
 
 
 def _coded(texts: list[bytes]):
@@ -134,27 +157,199 @@ def _contexts(symbols: np.ndarray, counts: np.ndarray, edge: int) -> tuple[np.nd
     return one, two
 
 
-def pair_counts(docs: DataFrame, keys: np.ndarray, numbers: np.ndarray) -> DataFrame:
-    """(distance, context, symbol, n): how often symbols stand one and two places after others, all texts."""
+@dataclass
+class Vocabulary:
+    """The words with vectors: the symbols, and the blocks of the other frequent words. All sorted by key."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    symbols: np.ndarray  # of the words among the symbols, else -1
+    blocks: np.ndarray  # of the others with a vector, else -1
+    places: np.ndarray  # in the block
+
+    def mass(self) -> list[np.ndarray]:
+        """Smoothed counts of each block's words, by place."""
+        held = np.flatnonzero(self.blocks >= 0)
+        held = held[np.lexsort((self.places[held], self.blocks[held]))]
+        sizes = np.bincount(self.blocks[held]) if len(held) else np.zeros(0, np.int64)
+        return np.split(self.counts[held] + SMOOTHING, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def vocabulary(keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, top: list[int]) -> Vocabulary:
+    """Symbols for the keys in ``top``, and blocks, each within a class, for all others counted ``LEAST`` times."""
+    order = np.argsort(keys)
+    keys, counts, classes = keys[order], counts[order], classes[order]
+    symbols = np.full(len(keys), -1)
+    at, found = _find(keys, np.array(top, np.int64))
+    symbols[at[found]] = np.flatnonzero(found)
+    held = np.flatnonzero((symbols < 0) & (counts >= LEAST))
+    held = held[np.argsort(classes[held], kind="stable")]
+    sizes = np.bincount(classes[held], minlength=CLASSES)
+    splits = -(-sizes // BLOCK)  # blocks of each class
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rank, split = np.arange(len(held)) - first, splits[classes[held]]
+    blocks, places = np.full(len(keys), -1), np.full(len(keys), -1)
+    blocks[held] = (np.cumsum(splits) - splits)[classes[held]] + rank % np.maximum(split, 1)
+    places[held] = rank // np.maximum(split, 1)
+    return Vocabulary(keys, counts, symbols, blocks, places)
+
+
+CELLS = "block int, part int, codes binary, ns binary"
+
+
+def _cells(block: int, part: int, codes: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()),
+        "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()), "ns": pa.array([ns.astype("<i8").tobytes()], pa.binary())})
+
+
+def _summed(codes: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, np.concatenate(ns))
+    return found, total
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """(key, codes, ns) of sorted rows of cells, equal codes of a key added up as they come."""
+    key, codes, ns, held = None, [], [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = tuple(row[n] for n in names)
+            if here != key and key is not None:
+                yield key, *_summed(codes, ns)
+                codes, ns, held = [], [], 0
+            key = here
+            codes.append(np.frombuffer(row["codes"], "<i4"))
+            ns.append(np.frombuffer(row["ns"], "<i8"))
+            held += len(codes[-1])
+            if held > 1 << 22:
+                merged = _summed(codes, ns)
+                codes, ns, held = [merged[0]], [merged[1]], 0
+    if key is not None:
+        yield key, *_summed(codes, ns)
+
+
+def pair_cells(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """How often words follow contexts, all texts, as packed cells, once per (block, part of the contexts).
+
+    Blocks -1 and -2 count symbols one and two places after symbols (code: context * symbols + symbol); the
+    others the words of a block after symbols (code: context * BLOCK + place, ``CHECK`` added in an eighth
+    of the texts, by their hash, which tell when to stop fitting).
+    """
     size = SYMBOLS + CLASSES + 1
-    table = docs.sparkSession.sparkContext.broadcast((keys, numbers))
+    table = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size, size), np.int64)
+        codes, held = [], 0
+
+        def emit(block: np.ndarray, codes: np.ndarray, ns: np.ndarray, stride: int) -> Iterator[pa.RecordBatch]:
+            if not len(codes):
+                return
+            part = (codes % CHECK) // stride // PART
+            order = np.lexsort((part, block))
+            block, part, codes, ns = block[order], part[order], codes[order], ns[order]
+            edges = np.flatnonzero(np.diff(block, prepend=-9) | np.diff(part, prepend=-9))
+            for lo, hi in zip(edges, [*edges[1:], len(block)], strict=True):
+                yield _cells(block[lo], part[lo], codes[lo:hi], ns[lo:hi])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield from emit(found >> 32, found & 0xFFFFFFFF, n, BLOCK)
+                codes.clear()
+
         for batch in batches:
             pairs = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(0)], names=["i", "text"])
             for _, texts in _slices(pairs):
-                k, c, _, counts = _coded(texts)
-                s = _symbols(k, c, *table.value)
-                for d, context in enumerate(_contexts(s, counts, size - 1)):
+                k, c, owner, counts = _coded(texts)
+                s, at = _symbols(k, c, table.value)
+                one, two = _contexts(s, counts, size - 1)
+                for d, context in enumerate((one, two)):
                     total[d] += np.bincount(context * size + s, minlength=size * size).reshape(size, size)
-        d, context, symbol = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({
-            "distance": pa.array(d, pa.int32()), "context": pa.array(context, pa.int32()), "symbol": pa.array(symbol, pa.int32()),
-            "n": total[d, context, symbol]})
+                check = np.array([xxhash.xxh32_intdigest(t) % 8 == 0 for t in texts])[owner]
+                block = np.where(at >= 0, table.value.blocks[at], -1) if len(table.value.keys) else at
+                own = block >= 0
+                codes.append((block[own].astype(np.int64) << 32) + one[own] * BLOCK + table.value.places[at[own]] + check[own] * CHECK)
+                held += len(codes[-1])
+                if held > 1 << 22:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+        for d in range(2):
+            code = np.flatnonzero(total[d])
+            yield from emit(np.full(len(code), -1 - d), code, total[d].ravel()[code], size)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, part), codes, ns in _grouped(batches, ["block", "part"]):
+            yield _cells(block, part, codes, ns)
+
+    cells = map_batches(docs.select("text"), run, CELLS)
+    return map_batches(cells.repartition("block", "part").sortWithinPartitions("block", "part"), merge, CELLS)
+
+
+def fit_block(mass: np.ndarray, data: np.ndarray, check: np.ndarray, steps: int = BLOCK_STEPS, noise: float = NOISE,
+              dimensions: int = BLOCK_DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of contexts and of a block's words from counts (context, word), by noise-contrastive estimation.
+
+    The words' bias is their smoothed count and stays; noise is the block's words at that rate. Starts from
+    context vectors of zero, which is the share by counts, and returns the vectors of the step that is best
+    on the counts in ``check``: where contexts tell nothing, the share by counts remains.
+    """
+    share = (mass / mass.sum()).astype(np.float32)
+    rng = np.random.default_rng(7)
+    r = np.zeros((len(data), dimensions), np.float32)
+    q = rng.normal(0, 0.3, (len(mass), dimensions)).astype(np.float32)
+    best, best_value = (r.copy(), q.copy()), 0.0
+    total = data.sum()
+    if not total or not check.sum():
+        return best
+    rows = np.flatnonzero(data.sum(1))  # contexts never seen before the block's words keep zero
+    table = (data[rows] / total).astype(np.float32)
+    due = noise * table.sum(1, keepdims=True) * share
+    held = check[rows]
+    mine = np.zeros((len(rows), dimensions), np.float32)
+    moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (mine, q)]
+    for step in range(1, steps + 1):
+        p = 1 / (1 + noise * np.exp(-np.clip(mine @ q.T, -30, 30)))  # data against noise at one word
+        g = table * (1 - p) - due * p
+        grads = [g @ q, g.T @ mine]
+        for w, grad, m in zip((mine, q), grads, moments, strict=True):
+            m[0] += 0.1 * (grad - m[0])
+            m[1] += 0.01 * (grad * grad - m[1])
+            w += 0.05 * ((m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + np.float32(1e-9)) - 0.02 * w)
+        if step % 4 == 0:
+            scores = mine @ q.T
+            value = float((held * scores).sum() - held.sum(1) @ np.log(np.exp(scores) @ share))
+            if value <= best_value:
+                break
+            r[rows] = mine
+            best, best_value = (r.copy(), q.copy()), value
+    return best
+
 
-    return map_batches(docs.select("text"), run, "distance int, context int, symbol int, n long").groupBy(
-        "distance", "context", "symbol").agg(F.sum("n").alias("n"))
+def fit_blocks(cells: DataFrame, words: Vocabulary) -> list:
+    """(block, context vectors, word vectors) of every block whose words have context vectors, one block at a time in a task."""
+    size = SYMBOLS + CLASSES + 1
+    shared = cells.sparkSession.sparkContext.broadcast(words.mass())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block,), codes, ns in _grouped(batches, ["block"]):
+            mass = shared.value[block]
+            tables = np.zeros((2, size, len(mass)), np.int64)
+            kept = codes % CHECK
+            tables[codes // CHECK, kept // BLOCK, kept % BLOCK] = ns
+            r, q = fit_block(mass, *tables)
+            if r.any():
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([block], pa.int32()), "r": pa.array([r.astype("<f4").tobytes()], pa.binary()),
+                    "q": pa.array([q.astype("<f4").tobytes()], pa.binary())})
+
+    rows = checkpointed(map_batches(cells.filter("block >= 0").repartition(max(1, int(words.blocks.max(initial=0)) // 4), "block").sortWithinPartitions("block"), run,
+                                    "block int, r binary, q binary")).collect()
+    return [(r["block"], np.frombuffer(bytes(r.r), "<f4").reshape(size, -1), np.frombuffer(bytes(r.q), "<f4").reshape(-1, BLOCK_DIMENSIONS))
+            for r in rows]
 
 
 def packed(rows: DataFrame) -> list:
@@ -209,17 +404,24 @@ def beyond(top: list, most: int) -> Column:
     return (F.col("n") < int(top[-1][1])) | ((F.col("n") == int(top[-1][1])) & (F.col("key") > int(top[-1][0])))
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """The model of training ``docs`` (text) and their ``counts``."""
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Model, Column]:
+    """The model of training ``docs`` (text) and their ``counts``, and the condition for its words."""
     top = counts.orderBy(F.desc("n"), "key").limit(SYMBOLS).select("key", "n").collect()
-    keys = np.array([r.key for r in top], np.int64)
-    order = np.argsort(keys)
-    keys, numbers = keys[order], order.astype(np.int64)
+    frequent = _frequent(counts, top)
+    words = vocabulary(*packed(counts.filter(frequent).select("key", "n", "class")), [r.key for r in top])
     size = SYMBOLS + CLASSES + 1
     pairs = np.zeros((2, size, size))
-    counted = checkpointed(pair_counts(docs, keys, numbers))
-    d, context, symbol, n = packed(counted)
-    pairs[d, context, symbol] = n
+    cells = checkpointed(pair_cells(docs, words))
+    for r in cells.filter("block < 0").collect():
+        pairs[-1 - r.block].ravel()[np.frombuffer(bytes(r.codes), "<i4")] = np.frombuffer(bytes(r.ns), "<i8")
+    masses = words.mass()
+    context = np.zeros((len(masses), size, BLOCK_DIMENSIONS), np.float32)
+    vectors = np.zeros((len(words.keys), BLOCK_DIMENSIONS), np.float32)
+    level = np.zeros((len(masses), size), np.float32)
+    for block, r, q in fit_blocks(cells, words) if masses else []:
+        held = np.flatnonzero(words.blocks == block)
+        context[block], vectors[held] = r, q[words.places[held]]
+        level[block] = -np.log(np.exp((r @ q.T).astype(float)) @ (masses[block] / masses[block].sum()))
     (near, far), unigram = fit(pairs)
     near, far = near[:, :-1], (far - unigram)[:, :-1]  # the edge is never predicted
     far = far * _blend(pairs, near, far)
@@ -229,7 +431,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     mass = np.full(CLASSES, SMOOTHING)
     for r in outside.groupBy("class").agg((F.sum("n") + F.count("*") * SMOOTHING).alias("m")).collect():
         mass[r["class"]] += r.m
-    return Model(keys, numbers, near.astype(np.float32), far.astype(np.float32), norm.astype(np.float32), mass)
+    return Model(words, near.astype(np.float32), far.astype(np.float32), norm.astype(np.float32), mass, context, vectors, level), frequent
 
 
 def _blend(pairs: np.ndarray, near: np.ndarray, far: np.ndarray) -> float:
@@ -259,24 +461,22 @@ def scores(docs: DataFrame) -> DataFrame:
     training = docs.filter(fold() != 0)
     counts = checkpointed(word_counts(training))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = train(training, counts)
-    frequent = _frequent(counts)
-    head_keys, head_counts = packed(counts.filter(frequent).select("key", "n"))
-    order = np.argsort(head_keys)
+    model, frequent = train(training, counts)
     whole = math.log(total + SMOOTHING * (types + 1))
     tail = counts.filter(~frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((model, head_keys[order], head_counts[order]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):
-        m, head_keys, head_counts = shared.value
+        m = shared.value
         keys, classes, owner, counts_here = _coded(texts)
-        symbols = _symbols(keys, classes, m.keys, m.symbols)
+        symbols, at = _symbols(keys, classes, m.words)
         one, two = _contexts(symbols, counts_here, SYMBOLS + CLASSES)
         logs = m.near[one, symbols].astype(float) + m.far[two, symbols] - m.norm[one, two]
         classed = symbols >= SYMBOLS
         logs[classed] -= np.log(m.class_mass[symbols[classed] - SYMBOLS])
-        at, found = _find(head_keys, keys)
-        c = np.where(found, head_counts[at], 0) if len(head_keys) else np.zeros(len(keys), np.int64)
+        logs += m.within(at, one)
+        found = at >= 0
+        c = np.where(found, m.words.counts[at], 0) if len(m.words.keys) else np.zeros(len(keys), np.int64)
         smooth = np.log(c + SMOOTHING)
         n = len(texts)
         rest: list[list[dict]] = [[] for _ in texts]
