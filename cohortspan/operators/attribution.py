@@ -137,3 +137,25 @@ def attribution_quantiles(
         F.percentile_approx("value", qs, accuracy).alias("v"),
     ).orderBy(F.desc("mean_abs"), "feature").limit(k)
     return per_feature.select("feature", "mean_abs", F.inline(F.arrays_zip(qs.alias("quantile"), F.col("a").alias("attribution"), F.col("v").alias("value"))))
+
+
+def attribution_scatter(
+    attributions: DataFrame, k: int = 50, bins: int = 8, quantiles: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int = 10000
+) -> DataFrame:
+    """Attribution against value, for the ``k`` features with the largest mean attribution.
+
+    A feature's values are cut at their own quantiles into at most ``bins`` bins of about equal depth; equal values
+    stay together. Per bin: number of rows, least and greatest value, and quantiles of the attributions of just these
+    rows. Rows without a value are a bin of their own, with null limits. Every aggregate combines per partition, so
+    a feature's rows never meet in one task; what is broadcast is one row per feature reported.
+    """
+    cuts = F.percentile_approx("value", F.lit([i / bins for i in range(1, bins)]), accuracy)
+    features = attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"), cuts.alias("cuts")).orderBy(
+        F.desc("mean_abs"), "feature").limit(k)
+    binned = attributions.join(F.broadcast(features), "feature").withColumn(
+        "bin", F.when(F.col("value").isNotNull(), F.size(F.filter("cuts", lambda cut: cut < F.col("value")))))
+    qs = F.lit([float(q) for q in quantiles])
+    return binned.groupBy("feature", "bin").agg(
+        F.first("mean_abs").alias("mean_abs"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.percentile_approx("attribution", qs, accuracy).alias("a"),
+    ).select("feature", "mean_abs", "bin", "n", "low", "high", F.inline(F.arrays_zip(qs.alias("quantile"), F.col("a").alias("attribution"))))

@@ -26,6 +26,7 @@ Small inputs fit one chunk and need a single visit without any of this.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -57,6 +58,80 @@ def propensity(df: DataFrame, label: str, covariates: Sequence[str], out: str =
     return model.transform(assembled).withColumn(out, vector_to_array("_p")[1]).drop("_x", "_p", "_raw", "_pred")
 
 
+def propensity_by_group(
+    df: DataFrame, label: str, covariates: Sequence[str], group: str, out: str = "distance", max_iter: int = 50, tol: float = 1e-10
+) -> DataFrame:
+    """Add the fitted probability of ``label`` from an unpenalised logistic model with one intercept per ``group``.
+
+    The group is a factor of any number of levels. Intercepts and their sums stay in a table with one row per group;
+    each Newton step eliminates them (Schur complement), so that only sums over the covariates reach the driver.
+    A group in which all labels are equal says nothing about the covariates, and its intercept runs away: its rows
+    get the limit, 0 or 1. A covariate without any spread within the groups counts for nothing. Missing values raise,
+    and so does a fit that does not converge. No rows give no rows.
+    """
+    xs = list(covariates)
+    p = range(len(xs))
+    cells = [(i, j) for i in p for j in range(i + 1)]
+    rows = checkpointed(df)
+    number = lambda c: F.col(c).cast("double")
+    spread = rows.agg(*[F.avg(number(c)) for c in xs], *[F.stddev_pop(number(c)) for c in xs],
+                      *[F.count(F.when(F.col(c).isNull(), 1)) for c in (label, group, *xs)]).first()
+    if any(spread[2 * len(xs):]):
+        raise ValueError(f"missing values among {', '.join((label, group, *xs))}")
+    rates = checkpointed(rows.groupBy(F.col(group).alias("_g")).agg(F.avg(number(label)).alias("_rate")))
+    # Centred and scaled, for the sums' sake; rows of settled groups take no part.
+    fitted = checkpointed(rows.join(rates, rows[group] == rates["_g"]).filter("_rate > 0 AND _rate < 1").select(
+        "_g", number(label).alias("y"), *[((number(c) - F.lit(spread[i])) / F.lit(spread[len(xs) + i] or 1.0)).alias(f"x{i}")
+                                          for i, c in enumerate(xs)]))
+
+    def sums(intercepts: DataFrame, beta: np.ndarray):
+        """Per group, log-likelihood, gradient and information at these coefficients; and their reduction over groups."""
+        eta = F.col("a") + sum((F.col(f"x{i}") * F.lit(float(beta[i])) for i in p), F.lit(0.0))
+        small = F.exp(-F.abs("eta"))
+        at = fitted.join(intercepts, "_g").withColumn("eta", eta).withColumn(
+            "mu", F.when(F.col("eta") >= 0, 1.0).otherwise(small) / (1 + small)
+        ).withColumns({"w": F.col("mu") * (1 - F.col("mu")), "r": F.col("y") - F.col("mu")})
+        weighted = lambda *c: F.sum(F.col("w") * math.prod(map(F.col, c[1:]), start=F.col(c[0])))
+        table = checkpointed(at.groupBy("_g").agg(
+            F.first("a").alias("a"), F.sum(F.col("y") * F.col("eta") - F.greatest("eta", F.lit(0.0)) - F.log1p(small)).alias("ll"),
+            F.sum("w").alias("w"), F.sum("r").alias("r"), *[F.sum(F.col("r") * F.col(f"x{i}")).alias(f"r{i}") for i in p],
+            *[weighted(f"x{i}").alias(f"b{i}") for i in p], *[weighted(f"x{i}", f"x{j}").alias(f"h{i}_{j}") for i, j in cells]))
+        share = lambda i: F.col(f"b{i}") / F.greatest("w", F.lit(1e-300))
+        ll, *found = table.agg(
+            F.sum("ll"), *[F.sum(F.col(f"r{i}") - share(i) * F.col("r")) for i in p],
+            *[F.sum(F.col(f"h{i}_{j}") - share(i) * F.col(f"b{j}")) for i, j in cells]).first()
+        information = np.zeros((len(xs), len(xs)))
+        for (i, j), h in zip(cells, found[len(xs):], strict=True):
+            information[i, j] = information[j, i] = h or 0.0
+        return table, ll or 0.0, np.array([g or 0.0 for g in found[: len(xs)]]), information
+
+    beta = np.zeros(len(xs))
+    start = rates.filter("_rate > 0 AND _rate < 1").select("_g", F.log(F.col("_rate") / (1 - F.col("_rate"))).alias("a"))
+    table, ll, gradient, information = sums(start, beta)
+    for _ in range(max_iter):
+        step = np.linalg.lstsq(information, gradient, rcond=1e-12)[0] if xs else beta
+        own = (F.col("r") - sum((F.col(f"b{i}") * F.lit(float(step[i])) for i in p), F.lit(0.0))) / F.greatest("w", F.lit(1e-300))
+        size = 1.0
+        while True:
+            found = sums(table.select("_g", (F.col("a") + F.lit(size) * own).alias("a")), beta + size * step)
+            if found[1] >= ll - 1e-12 * abs(ll):
+                break
+            size /= 2
+            if size < 1e-6:
+                raise RuntimeError("propensity: no step raises the likelihood")
+        gain, beta = found[1] - ll, beta + size * step
+        table, ll, gradient, information = found
+        if abs(gain) <= tol * (abs(ll) + 1):
+            break
+    else:
+        raise RuntimeError(f"propensity has not converged after {max_iter} steps")
+    levels = rates.join(table.select("_g", "a"), "_g", "left")
+    eta = sum(((number(c) - F.lit(spread[i])) / F.lit(spread[len(xs) + i] or 1.0) * F.lit(float(beta[i])) for i, c in enumerate(xs)),
+              F.col("a"))
+    return rows.join(levels, rows[group] == levels["_g"]).withColumn(
+        out, F.when(F.col("a").isNull(), F.col("_rate")).otherwise(1 / (1 + F.exp(-eta)))).drop("_g", "_rate", "a")
+
+
 def _chunked(units: DataFrame, parts: int) -> DataFrame:
     spread = units.repartitionByRange(parts, "grp", "score", "h", "unit")
     return checkpointed(spread.withColumn("chunk", F.spark_partition_id()))

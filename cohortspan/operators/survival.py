@@ -1,8 +1,8 @@
 """Kaplan-Meier curves and Cox regression.
 
-Both reduce the cohort to one row per distinct duration first. Durations are whole days, so that
+Both reduce the cohort to one row per distinct duration first. For Kaplan-Meier durations are whole days, so that
 table has at most as many rows per arm as the follow-up has days, and only there do ordered windows
-run.
+run. Cox regression takes any durations: many distinct ones are summed up in range partitions.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 
 from ..runtime import checkpointed
 from ..sources.schemas import COX_TABLE
+from .prefix import prefix_sum
 
 Z95 = 1.959963984540054
-TIE_PARTS = 32  # tasks over which the days with deaths are dealt
+TIE_PARTS = 32  # tasks over which the times with deaths are dealt
+TIMES = 200_000  # more distinct times are summed up in parts
+SHORT_TIE = 1024  # deaths at one time that are added up one by one
 
 
 def km_curve(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
@@ -56,19 +59,49 @@ def km_band(curve: DataFrame, by: str, time: str = "duration", z: float = Z95) -
     return curve.withColumns({"lower95": bound(1), "upper95": bound(-1)})
 
 
+def _terms(share: np.ndarray, s0: np.ndarray, e0: np.ndarray) -> np.ndarray:
+    den = s0 - share * e0
+    inv = 1.0 / den
+    return np.array([np.log(den), inv, share * inv, inv * inv, share * inv * inv, share * share * inv * inv])
+
+
+def _long_tie(s0: float, e0: float, d: float) -> np.ndarray:
+    """The six sums over l = 0..d-1 for many deaths at a time: blocks that halve the way to the pole at l = d * s0 / e0.
+
+    A short block is added up. A long one is the integral between the midpoints before and after it, by Gauss points,
+    with the midpoint rule's first correction; the pole is at least a block's length behind its end, so both are as
+    good as exact. No block is a difference of large numbers, however few of those at risk die.
+    """
+    points, weights = np.polynomial.legendre.leggauss(12)
+    total, at = np.zeros(6), 0.0
+    while at < d:
+        n = min(d - at, max(float(SHORT_TIE), np.floor((d - at) / 2)))
+        if n <= SHORT_TIE:
+            total += _terms((at + np.arange(n)) / d, s0, e0).sum(1)
+        else:
+            total += n / 2 * (_terms((at - 0.5 + n * (points + 1) / 2) / d, s0, e0) @ weights)
+            first, second, third, fourth = _terms(np.array([at - 1, at, at + n - 1, at + n]) / d, s0, e0).T
+            total -= ((fourth - third) - (second - first)) / 24
+        at += n
+    return total
+
+
 def _tie_sums(s0: pd.Series, e0: pd.Series, deaths: pd.Series) -> pd.DataFrame:
     """Efron's sums over l = 0..d-1 of f = 1 / (s0 - l/d * e0), with d deaths at a time.
 
-    Long runs of ties go through in blocks, so memory stays flat whatever d is.
+    Times with few deaths go through together, one l at a time; a time with d deaths takes about log2(d) blocks.
     """
-    out = np.zeros((len(s0), 6))
-    for row, (a, e, d) in enumerate(zip(s0.to_numpy(), e0.to_numpy(), deaths.to_numpy())):
-        for start in range(0, int(d), 1_000_000):
-            share = np.arange(start, min(start + 1_000_000, int(d))) / d
-            den = a - share * e
-            inv = 1.0 / den
-            out[row] += [np.log(den).sum(), inv.sum(), (share * inv).sum(), (inv * inv).sum(),
-                         (share * inv * inv).sum(), (share * share * inv * inv).sum()]
+    s, e, d = (column.to_numpy(dtype=float) for column in (s0, e0, deaths))
+    out = np.zeros((len(s), 6))
+    order = np.argsort(d, kind="stable")
+    few = order[: np.searchsorted(d[order], SHORT_TIE, "right")]
+    first = 0
+    for done in range(int(d[few[-1]]) if len(few) else 0):
+        first += np.searchsorted(d[few[first:]], done, "right")
+        rows = few[first:]
+        out[rows] += _terms(done / d[rows], s[rows], e[rows]).T
+    for row in order[len(few):]:
+        out[row] = _long_tie(s[row], e[row], d[row])
     return pd.DataFrame(out, columns=["log_den", "a0", "a1", "b0", "b1", "b2"])
 
 
@@ -76,7 +109,7 @@ _TIE_SUMS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("log_den",
 tie_sums = F.pandas_udf(_tie_sums, _TIE_SUMS)
 
 
-def _cox_sums(patterns: DataFrame, time: str, event: str, xs: Sequence[str], centre, beta):
+def _cox_sums(patterns: DataFrame, time: str, event: str, xs: Sequence[str], centre, many: bool, beta):
     """Partial log-likelihood, gradient and information at ``beta``: one grouped pass, p + p*p numbers back."""
     p = len(xs)
     cells = [(i, j) for i in range(p) for j in range(i + 1)]
@@ -100,12 +133,14 @@ def _cox_sums(patterns: DataFrame, time: str, event: str, xs: Sequence[str], cen
         *[died(w * xi(i)).alias(f"e1_{i}") for i in range(p)],
         *[died(w * xi(i) * xi(j)).alias(f"e2_{i}_{j}") for i, j in cells],
     )
-    # At most one row per follow-up day reaches this window.
-    later = W.orderBy(F.desc("t"))
     risk_columns = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in cells]]
-    at_risk = per_day.withColumns({c: F.sum(c).over(later) for c in risk_columns}).filter("d > 0")
-    # The window leaves one partition; days are dealt out again so that their tie sums run side by side.
-    at_risk = at_risk.repartition(TIE_PARTS, "t").withColumn("k", tie_sums("s0", "e0", "d"))
+    if many:
+        at_risk = prefix_sum(per_day, [], [("t", False)], {c: c for c in risk_columns}, TIMES).filter("d > 0")
+    else:  # at most TIMES rows in this window; they are dealt out again so that their tie sums run side by side
+        later = W.orderBy(F.desc("t"))
+        at_risk = per_day.withColumns({c: F.sum(c).over(later) for c in risk_columns}).filter("d > 0")
+        at_risk = at_risk.repartition(TIE_PARTS, "t")
+    at_risk = at_risk.withColumn("k", tie_sums("s0", "e0", "d"))
     k = lambda name: F.col(f"k.{name}")
     col = F.col
     log_lik = F.sum(col("eta_sum") - k("log_den"))
@@ -143,25 +178,27 @@ def cox_fit(
 ) -> CoxFit:
     """Proportional hazards by Newton-Raphson with Efron's treatment of ties.
 
-    The rows are first reduced to distinct (duration, event, covariates) with their number. Raises when no
-    step raises the likelihood, or after ``max_iter`` steps without convergence.
+    The rows are first reduced to distinct (duration, event, covariates) with their number. Durations may be
+    real numbers, and any number of deaths may be tied. Raises when no step raises the likelihood, or after ``max_iter`` steps without convergence.
     """
     patterns = checkpointed(
         df.dropna(subset=[time, event, *xs]).groupBy(time, event, *xs).agg(F.count("*").alias("n"))
     )
     n = F.col("n").cast("double")
-    centre = patterns.agg(*[(F.sum(F.col(c) * n) / F.sum(n)).alias(c) for c in xs]).first()
-    if centre is None or centre[0] is None or not patterns.filter(F.col(event) == 1).take(1):
+    *centre, died, times = patterns.agg(*[F.sum(F.col(c) * n) / F.sum(n) for c in xs], F.max(F.col(event) == 1),
+                                        F.count_distinct(time)).first()
+    if not died:
         raise ValueError("no event to fit")
+    many = times > TIMES
     beta = np.zeros(len(xs))
-    ll, grad, info = _cox_sums(patterns, time, event, xs, centre, beta)
+    ll, grad, info = _cox_sums(patterns, time, event, xs, centre, many, beta)
     rounds = 0
     for rounds in range(1, max_iter + 1):
         step = np.linalg.lstsq(info, grad, rcond=None)[0]
         size = 1.0
         while True:
             new = beta + size * step
-            new_ll, new_grad, new_info = _cox_sums(patterns, time, event, xs, centre, new)
+            new_ll, new_grad, new_info = _cox_sums(patterns, time, event, xs, centre, many, new)
             if new_ll >= ll - 1e-9 * abs(ll) or size < 1e-3:
                 break
             size /= 2

@@ -619,6 +619,19 @@ FROM (SELECT feature, avg(abs(attribution)) AS mean_abs, list(attribution) AS a,
       FROM given_attribution GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 4),
      (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) t(q)""")
 
+oracle("attribution_scatter_given", """
+SELECT feature, round(mean_abs, 6) AS mean_abs, bin, n, low, high, q AS quantile,
+       round(list_sort(a)[greatest(1, ceil(q * len(a)))::INT], 6) AS attribution
+FROM (SELECT feature, any_value(mean_abs) AS mean_abs, bin, count(*) AS n, min(value) AS low, max(value) AS high, list(attribution) AS a
+      FROM (SELECT g.feature, value, attribution, mean_abs,
+                   CASE WHEN value IS NOT NULL THEN len(list_filter(cuts, lambda c: c < value)) END AS bin
+            FROM given_attribution g JOIN (
+                SELECT feature, mean_abs, list_transform(range(1, 8), lambda i: v[greatest(1, ceil(i / 8.0 * len(v)))::INT]) AS cuts
+                FROM (SELECT feature, avg(abs(attribution)) AS mean_abs, list_sort(list(value)) AS v
+                      FROM given_attribution GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 4)) f ON g.feature = f.feature)
+      GROUP BY feature, bin),
+     (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) t(q)""")
+
 CTES["given_importance"] = """
 SELECT o_orderkey % 5 AS repeat, (o_orderkey // 5) % 5 AS fold, 'f' || (o_custkey % 60) AS feature,
        sum(o_totalprice)::DOUBLE / sum(sum(o_totalprice)) OVER (PARTITION BY o_orderkey % 5, (o_orderkey // 5) % 5)::DOUBLE AS importance

@@ -578,6 +578,14 @@ def propensity(spark, folder):
     return _with_propensity(arms(spark, folder).pre_match_positive).select("person_id", "is_case", "distance")
 
 
+@query
+def propensity_by_site(spark, folder):
+    """The same with the site as a factor: one intercept per site."""
+    pre = arms(spark, folder).pre_match_positive
+    scored = matching.propensity_by_group(pre, "is_case", ["age", "log_visit_rate", "index_day"], "site_id")
+    return scored.select("person_id", "site_id", "is_case", "distance")
+
+
 def propensity_matched(pre: DataFrame) -> DataFrame:
     scored = checkpointed(_with_propensity(pre))
     return matching.matched_data(scored, matching.match_nearest(scored, "is_case", "distance", "site_id", CALIPERS))
@@ -786,6 +794,10 @@ def _tree_attribution_quantiles(spark, folder, analysis: str) -> DataFrame:
     return attribution.attribution_quantiles(checkpointed(_tree_attributions(spark, folder, analysis)))
 
 
+def _tree_attribution_scatter(spark, folder, analysis: str) -> DataFrame:
+    return attribution.attribution_scatter(checkpointed(_tree_attributions(spark, folder, analysis)))
+
+
 # (query's name, the analysis whose name has no ending, what it does)
 TREE_QUERIES = (
     ("tree_holdout", None, _tree_thresholds), ("tree_confusion", None, _tree_confusion), ("tree_recall", None, _tree_recall),
@@ -793,6 +805,7 @@ TREE_QUERIES = (
     ("tree_cv_importance", "2a", _tree_fold_importance), ("tree_importance_top", "2a", _tree_mean_importance),
     ("attribution_tree", "2a", _tree_attributions), ("attribution_summary", "2a", _tree_attribution_summary),
     ("attribution_quantiles", "2a", _tree_attribution_quantiles),
+    ("attribution_scatter", "2a", _tree_attribution_scatter),
 )
 for _name, _plain, _run in TREE_QUERIES:
     for _analysis in ("1", "2a", "2b"):
@@ -831,6 +844,11 @@ def attribution_quantiles_given(spark, folder):
     return X.rounded(attribution.attribution_quantiles(checkpointed(_given_attributions(spark, folder)), k=4))
 
 
+@query
+def attribution_scatter_given(spark, folder):
+    return X.rounded(attribution.attribution_scatter(checkpointed(_given_attributions(spark, folder)), k=4))
+
+
 def _given_importance(spark, folder) -> DataFrame:
     orders = Study(spark, folder).table("orders").select(
         F.expr("CAST(o_orderkey % 5 AS INT) AS repeat"), F.expr("CAST((o_orderkey DIV 5) % 5 AS INT) AS fold"),

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cohortspan.operators import cohorts
+from cohortspan.operators import cohorts, matching
 from cohortspan.operators.matching import match_nearest, matched_data
 
 CALIPERS = {"age": 10, "day": 45, "rate": 1}
@@ -96,3 +98,26 @@ def test_matched_data_and_surviving_controls(spark):
         kept.select("subclass"), "subclass", "left_semi"
     )
     assert got == {r.person_id for r in direct.collect()} and got
+
+
+def test_propensity_with_the_group_as_a_factor(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        site, x = "abc"[i % 3], float(rng.normal(50, 10))
+        case = int(rng.random() < 1 / (1 + np.exp(-(-4 + 0.06 * x + "abc".index(site)))))
+        rows.append((i, site, x, float(i % 5), case))
+    rows += [(900 + i, "none", 50.0 + i, 1.0, 0) for i in range(5)] + [(910 + i, "all", 50.0 + i, 1.0, 1) for i in range(5)]
+    frame = spark.createDataFrame(rows, "person_id long, site string, x double, z double, is_case int")
+    got = {r.person_id: r for r in matching.propensity_by_group(frame, "is_case", ["x", "z"], "site").collect()}
+    assert len(got) == len(rows)
+    design = np.array([[s == "a", s == "b", s == "c", (x - 50) / 10, z] for i, s, x, z, _ in rows[:900]], float)
+    label, beta = np.array([r[4] for r in rows[:900]]), np.zeros(5)
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve((design * (mu * (1 - mu))[:, None]).T @ design, design.T @ (label - mu))
+    assert np.allclose([got[i].distance for i in range(900)], 1 / (1 + np.exp(-design @ beta)), atol=1e-7)
+    assert {got[i].distance for i in range(900, 905)} == {0.0} and {got[i].distance for i in range(910, 915)} == {1.0}
+    assert matching.propensity_by_group(frame.limit(0), "is_case", ["x", "z"], "site").count() == 0
+    with pytest.raises(ValueError):
+        matching.propensity_by_group(frame.withColumn("z", F.expr("nullif(z, 2)")), "is_case", ["x", "z"], "site")

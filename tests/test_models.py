@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,38 @@ def test_cross_scores_cover_every_row_once_per_repeat(spark, cohort):
 def test_cox_raises_without_convergence(spark, cohort):
     with pytest.raises(RuntimeError, match="not converged"):
         survival.cox_fit(cohort, "duration", "death", ["score"], max_iter=1)
+
+
+@pytest.mark.parametrize("d,s0,e0", [(1, 5.0, 1.0), (7, 9.0, 9.0), (1024, 4e3, 1e3), (5000, 5e3, 5e3), (5001, 7.0, 1e-4), (300_000, 9e5, 8.9e5)])
+def test_tie_sums_of_any_number_of_deaths(d, s0, e0):
+    share = np.arange(d) / d
+    den = s0 - share * e0
+    want = [np.log(den).sum(), *(v.sum() for v in (1 / den, share / den, den**-2, share / den**2, share**2 / den**2))]
+    pad = [1, 3, 1024]  # other times in the same call
+    got = survival._tie_sums(*(pd.Series([*[x] * 3, y]) for x, y in ((9.0, s0), (2.0, e0))), pd.Series([*pad, d]))
+    assert np.allclose(got.iloc[3], want, rtol=1e-10, atol=1e-300)
+    assert np.isclose(got["a0"][1], sum(1 / (9.0 - i / 3 * 2.0) for i in range(3)))
+
+
+def test_cox_takes_real_times_in_parts(spark, cohort, monkeypatch):
+    timed = cohort.withColumn("time", F.col("duration") + F.pmod("id", F.lit(7)) / 7.0)
+    whole = survival.cox_fit(timed, "time", "death", ["score", "a"])
+    monkeypatch.setattr(survival, "TIMES", 40)
+    parts = survival.cox_fit(timed, "time", "death", ["score", "a"])
+    assert np.allclose(whole.coef, parts.coef, atol=1e-9) and np.allclose(whole.information, parts.information, rtol=1e-8)
+
+
+def test_scatter_keeps_values_and_attributions_of_the_same_rows(spark):
+    rows = [("up", float(i), float(i)) for i in range(80)] + [("down", float(i % 2), -0.1 * (i % 2)) for i in range(50)]
+    rows += [("up", None, 1000.0), ("least", 1.0, 0.0)]
+    frame = spark.createDataFrame(rows, "feature string, value double, attribution double")
+    found = A.attribution_scatter(frame, k=2).collect()
+    assert {r.feature for r in found} == {"up", "down"}
+    for r in found:
+        if r.feature == "up" and r.low is not None:
+            assert r.low <= r.attribution <= r.high and r.n == 10
+        elif r.feature == "up":
+            assert (r.bin, r.n, r.attribution) == (None, 1, 1000.0)
+        else:
+            assert r.low == r.high and r.attribution == -0.1 * r.low and r.n == 25
+    assert A.attribution_scatter(frame.limit(0)).count() == 0
