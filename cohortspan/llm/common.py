@@ -210,6 +210,25 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return split.join(bases, by).withColumn(out, F.col("_base") + F.sum(value).over(within)).drop("_bucket", "_base")
 
 
+def repeated(df: DataFrame, times: str, out: str, block: int = 1024) -> DataFrame:
+    """Every row ``times`` times, numbered from 0 in ``out``.
+
+    A row wanted more than ``block`` times is dealt out to other tasks in blocks first, so that no task writes all
+    copies of it and no array of all their numbers exists.
+    """
+    n = F.col(times)
+    often = df.filter(n > block).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
+    spread = often.repartition("_block", times).unionByName(df.filter(n <= block).withColumn("_block", F.lit(0).cast("long")))
+    start = F.col("_block") * block
+    return spread.withColumn(out, F.explode(F.sequence(start, F.least(n, start + block) - 1))).drop("_block")
+
+
+def numbered(df: DataFrame, out: str = "at") -> DataFrame:
+    """``df`` with the rows that are equal in all columns numbered from 0; they are counted, not sorted."""
+    counted = checkpointed(df.groupBy(*df.columns).agg(F.count("*").alias("_times")))
+    return repeated(counted.filter("_times > 0"), "_times", out).drop("_times")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node.
 

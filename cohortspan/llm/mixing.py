@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_bits, checkpointed, running_total, word_count
+from .common import bucket_bits, checkpointed, numbered, repeated, running_total, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -50,23 +50,36 @@ def source_targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return sources.select("source", "rank", "source_size", F.least("limit", F.col("weight") * level).alias("target"))
 
 
+def _row(docs: DataFrame):
+    """A hash of all of a row. Together with the doc_id it stands for the rows that are equal throughout."""
+    plain = [c if "map<" not in t and "variant" not in t else F.to_json(F.struct(c)) for c, t in docs.dtypes]
+    return F.xxhash64(*plain)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST,
         seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, whole copies of the document).
 
     A null or empty text has size 0 and is never taken. A null source is a source of its own, and a null
-    doc_id is an id like any other. Repeated rows are documents of their own. Copies are taken in the order
-    of (finish time, source, shuffle key), so that reruns agree; all of the mix's copies fit the budget.
+    doc_id is an id like any other. Repeated rows and rows that share a doc_id are documents of their own. Copies are
+    taken in the order of (finish time, source, shuffle key), so that reruns agree; all of the mix's copies fit the budget.
     """
-    units = checkpointed(docs.select(
-        "doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")))
+    return _mix(docs, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    # The shuffle key is a hash of id, row and number among equal rows: no id and no row, however often it
+    # comes, sits in one bucket of the running totals.
+    units = checkpointed(numbered(docs.select(
+        "doc_id", "source", word_count("text").alias("size"), _row(docs).alias("row"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"))).withColumn(
+        "h", F.xxhash64(F.lit(seed), "doc_id", "row", "at")))
     goals = checkpointed(source_targets(units, weights, share, most).select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "rank", "source_size", "target"))
-    dealt = running_total(units, ["key"], ["h", "doc_id", "size"], "size", "through", bucket_bits(units.count()))
+    dealt = running_total(units, ["key"], ["h", "doc_id", "row", "at"], "size", "through", bucket_bits(units.count()))
     passes = range(math.ceil(most))
     queue = checkpointed(dealt.join(goals, "key").select(
-        "doc_id", "size", "h", "rank", "source_size", "target", *[
+        "doc_id", "row", "size", "h", "rank", "source_size", "target", *[
             F.coalesce(F.try_divide(F.col("through") + F.col("source_size") * i, F.col("through") + F.col("source_size") * i
                                     + F.col("target")), F.lit(0.0)).alias(f"finish{i}") for i in passes]))
     budget = share * (goals.agg(F.sum("source_size")).first()[0] or 0)
@@ -76,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     else:
         limit = F.struct(*[F.lit(x).alias(name) for x, name in zip(last, ("finish", "rank", "h", "pass"), strict=True)])
         taken = sum(F.when(_order(i) <= limit, F.col("size")).otherwise(0) for i in passes)
-    return queue.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queue.select("doc_id", "row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _order(i: int):
@@ -124,8 +137,15 @@ def _last_copy(queue: DataFrame, passes: range, budget: float):
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it. Rows that share a doc_id are taken alike."""
-    taken = mix(docs, **how).filter("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("_times"))
-    keyed = taken.withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(keyed, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it. Equal rows share what the mix takes of them together."""
+    wanted = checkpointed(_mix(docs, **how).groupBy("doc_id", "row").agg(
+        F.sum(F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long").alias("_times"),
+        F.count("*").alias("_rows")).filter("_times > 0").withColumnsRenamed({"doc_id": "_doc_id", "row": "_row"}))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), _row(docs).alias("_hash")).join(
+        wanted, F.col("_id").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_row")))
+    rows = held.select("_doc", "_times", "_rows")
+    if not wanted.filter("_rows > 1").isEmpty():
+        once = held.filter("_rows > 1").groupBy("_doc_id", "_row").agg(
+            F.first("_doc").alias("_doc"), F.first("_times").alias("_times"), F.first("_rows").alias("_rows"))
+        rows = rows.filter("_rows = 1").unionByName(once.select(*rows.columns))
+    return repeated(rows, "_times", "_copy").select("_doc.*")

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, checkpointed, running_total
+from .common import bucket_bits, checkpointed, numbered, running_total
 
 SHARDS = 8
 ROUNDS = 12
@@ -141,10 +141,11 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     like a group; a smaller one is cut only where no shard has room for it.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = checkpointed(docs.select(
+    # Places come from id, text and number among equal rows: rows of one id, or one row again and again, spread too.
+    rows = checkpointed(numbered(docs.select(
         "doc_id", F.octet_length(text).cast("long").alias("b"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("second"), text).alias("g2"), F.xxhash64("doc_id", F.lit("home")).alias("h"),
-    ).withColumns({"home": F.pmod("h", F.lit(n_shards)), "h": F.xxhash64("h")}))
+        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("second"), text).alias("g2"))).withColumn(
+        "h", F.xxhash64("doc_id", "g1", "at", F.lit("home"))).withColumns({"home": F.pmod("h", F.lit(n_shards)), "h": F.xxhash64("h")}))
     quota = quotas(rows.count(), n_shards)
     first = rows.groupBy("g1", "g2", "home").agg(F.count("*").alias("n"))
     linked = first.withColumn("all", F.sum("n").over(Window.partitionBy("g1", "g2"))).filter("all > 1").drop("all")

@@ -7,9 +7,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zlib
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortspan.llm import mixing, sharding, token_files
+from cohortspan.llm.common import repeated
 
 DOC = "doc_id long, text string, source string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -87,6 +89,55 @@ def test_mix_odd_rows(spark):
     assert Counter(r.doc_id for r in mixed.collect())[1] == {r.doc_id: r.taken // max(1, r.size) for r in rows}[1]
 
 
+def hot_rows(spark, n=6000):
+    """A third of the rows under one id, with other texts each; a sixth one and the same row."""
+    return spark.range(n).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 6 = 1 THEN 8 ELSE id END AS doc_id",
+        "CASE WHEN id % 6 = 1 THEN 'again and again' ELSE concat_ws(' ', transform(sequence(0, id % 15), i -> concat('w', id, i))) END AS text",
+        "CASE WHEN id % 6 = 1 THEN 'b' WHEN id % 3 = 0 THEN 'a' ELSE substr('abc', 1 + id % 3, 1) END AS source",
+        "CASE WHEN id % 6 = 1 THEN map('k', 1L) ELSE map('k', id) END AS extra")
+
+
+def test_mix_of_hot_ids_and_hot_rows(spark, monkeypatch):
+    docs = hot_rows(spark)
+    largest = []
+    plain = mixing.running_total
+
+    def watched(df, keys, order, value, out, bits):
+        counts = df.groupBy((F.shiftright(F.col(order[0]), 64 - bits))).count().toPandas()["count"]
+        largest.append(counts.max() / counts.mean())
+        return plain(df, keys, order, value, out, bits)
+
+    monkeypatch.setattr(mixing, "running_total", watched)
+    rows = mixing.mix(docs).collect()
+    assert largest[0] < 2 and len(rows) == 6000
+    budget = 1.5 * sum(r.size for r in rows)
+    kept = mixing.mixed_documents(docs).select("doc_id", "text", "extra").collect()
+    words = Counter()
+    for r in kept:
+        words[r.doc_id] += len(r.text.split())
+    assert sum(words.values()) == sum(r.taken for r in rows) and budget - 20 <= sum(words.values()) <= budget
+    by_id = Counter()
+    for r in rows:
+        by_id[r.doc_id] += r.taken
+    assert +words == +by_id
+    most = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert all(n <= 2 * most[key] for key, n in Counter((r.doc_id, r.text) for r in kept).items())
+
+
+def test_repeated_rows_are_dealt_out_in_blocks(spark):
+    frame = spark.createDataFrame([(1, 5000), (2, 1), (3, 1024), (4, 1025)], "id long, n long")
+    found = defaultdict(list)
+    for r in repeated(frame, "n", "at").collect():
+        found[r.id].append(r.at)
+    assert {k: sorted(v) for k, v in found.items()} == {k: list(range(n)) for k, n in ((1, 5000), (2, 1), (3, 1024), (4, 1025))}
+
+
+def test_shards_of_hot_ids_and_hot_rows(spark):
+    docs = hot_rows(spark)
+    check_shards(sharding.shards(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
 def check_shards(rows, docs, n=8):
     slots = defaultdict(list)
     for r in rows:
