@@ -84,16 +84,19 @@ def propensity_by_group(
         "_g", number(label).alias("y"), *[((number(c) - F.lit(spread[i])) / F.lit(spread[len(xs) + i] or 1.0)).alias(f"x{i}")
                                           for i, c in enumerate(xs)]))
 
-    def sums(intercepts: DataFrame, beta: np.ndarray):
-        """Per group, log-likelihood, gradient and information at these coefficients; and their reduction over groups."""
-        eta = F.col("a") + sum((F.col(f"x{i}") * F.lit(float(beta[i])) for i in p), F.lit(0.0))
+    def sums(coefficients: DataFrame):
+        """Per group, log-likelihood, gradient and information at these coefficients; and their reduction over groups.
+
+        The coefficients are columns rather than constants, so that Spark compiles the pass over the rows only once.
+        """
+        eta = sum((F.col(f"x{i}") * F.col(f"beta{i}") for i in p), F.col("a"))
         small = F.exp(-F.abs("eta"))
-        at = fitted.join(intercepts, "_g").withColumn("eta", eta).withColumn(
+        at = fitted.join(coefficients, "_g").withColumn("eta", eta).withColumn(
             "mu", F.when(F.col("eta") >= 0, 1.0).otherwise(small) / (1 + small)
         ).withColumns({"w": F.col("mu") * (1 - F.col("mu")), "r": F.col("y") - F.col("mu")})
         weighted = lambda *c: F.sum(F.col("w") * math.prod(map(F.col, c[1:]), start=F.col(c[0])))
         table = checkpointed(at.groupBy("_g").agg(
-            F.first("a").alias("a"), F.sum(F.col("y") * F.col("eta") - F.greatest("eta", F.lit(0.0)) - F.log1p(small)).alias("ll"),
+            F.first("a").alias("a"), *[F.first(f"beta{i}").alias(f"beta{i}") for i in p], F.sum(F.col("y") * F.col("eta") - F.greatest("eta", F.lit(0.0)) - F.log1p(small)).alias("ll"),
             F.sum("w").alias("w"), F.sum("r").alias("r"), *[F.sum(F.col("r") * F.col(f"x{i}")).alias(f"r{i}") for i in p],
             *[weighted(f"x{i}").alias(f"b{i}") for i in p], *[weighted(f"x{i}", f"x{j}").alias(f"h{i}_{j}") for i, j in cells]))
         share = lambda i: F.col(f"b{i}") / F.greatest("w", F.lit(1e-300))
@@ -106,14 +109,16 @@ def propensity_by_group(
         return table, ll or 0.0, np.array([g or 0.0 for g in found[: len(xs)]]), information
 
     beta = np.zeros(len(xs))
-    start = rates.filter("_rate > 0 AND _rate < 1").select("_g", F.log(F.col("_rate") / (1 - F.col("_rate"))).alias("a"))
-    table, ll, gradient, information = sums(start, beta)
+    start = rates.filter("_rate > 0 AND _rate < 1").select(
+        "_g", F.log(F.col("_rate") / (1 - F.col("_rate"))).alias("a"), *[(F.col("_rate") * 0.0).alias(f"beta{i}") for i in p])
+    table, ll, gradient, information = sums(start)
     for _ in range(max_iter):
         step = np.linalg.lstsq(information, gradient, rcond=1e-12)[0] if xs else beta
         own = (F.col("r") - sum((F.col(f"b{i}") * F.lit(float(step[i])) for i in p), F.lit(0.0))) / F.greatest("w", F.lit(1e-300))
         size = 1.0
         while True:
-            found = sums(table.select("_g", (F.col("a") + F.lit(size) * own).alias("a")), beta + size * step)
+            found = sums(table.select("_g", (F.col("a") + F.lit(size) * own).alias("a"), *[
+                (F.col(f"beta{i}") + F.lit(float(size * step[i]))).alias(f"beta{i}") for i in p]))
             if found[1] >= ll - 1e-12 * abs(ll):
                 break
             size /= 2
