@@ -1,27 +1,35 @@
 """One-to-one nearest matching without replacement, inside exact groups and calipers.
 
 The result is that of the sequential rule: treated units in descending score order (then by id) each
-take the nearest control still free. Controls all prefer the same order of treated units, so
-deferred acceptance in any order of proposals ends in exactly that matching. This is what makes the
-work distributable:
+take the nearest control still free. A unit is only ever disturbed by units before it in that order, and
+only within its exact group. This is what makes the work distributable:
+
+* Treated units are range-partitioned by (exact group, score descending, id) into blocks of a bounded
+  number of rows. A block only has to wait for the blocks of its own group before it; what starts or
+  lies whole in a partition waits for nothing. A step runs the next block of every group side by side,
+  and there are as many steps as the largest group has blocks, whatever the contention.
+* Space is cut into cells: the exact group and, per caliper, steps as wide as the caliper. A unit's
+  partners can only lie in its own and the adjacent cells, so a block is given the controls of the cells
+  its units can reach, less those taken in earlier steps. No list of candidate pairs exists at any point.
+* With replacement nobody disturbs anybody, and all blocks are one step.
+
+Where the calipers leave a block more controls than a task may hold (this is counted first), deferred
+acceptance takes over. Controls all prefer the same order of treated units, so it ends in exactly the same
+matching in any order of proposals:
 
-* Space is cut into cells: the exact group and, per caliper, steps as wide as the caliper. A treated
-  unit's partners can only lie in its own and the adjacent cells, so it searches a few cells rather
-  than its whole group, and cells without controls drop out at once.
 * Controls, and each unit once per cell it searches, are range-partitioned by (cell, score, hash of
-  the id) into chunks of a bounded number of rows. A cell holding a third of all rows is just spread
-  over more chunks.
+  the id) into chunks of a bounded number of rows.
 * In each cell a unit walks outwards from its score, one chunk at a time, keeping for either side the
   chunk it has got to and a lower bound on the distance of whatever is left there. It proposes once
-  its nearest find beats all its other bounds. No list of candidate pairs exists at any point.
+  its nearest find beats all its other bounds.
 * Visitors of a chunk are dealt to slots of bounded size; every slot gets the chunk's controls and
   runs the sequential rule on its own. A control then keeps the best of its proposers, the others
   try again in the next round. A control only ever trades up, so what a unit has seen to be
   unavailable stays so.
-* Rounds repeat until no treated unit has anywhere left to go. The small state (who holds which
-  control, where each walk stands) is written to the shared folder every round.
+* Rounds repeat until no treated unit has anywhere left to go.
 
-Small inputs fit one chunk and need a single visit without any of this.
+The small state (who holds which control) is written to the shared folder every step or round. Small inputs
+fit one chunk and need a single visit without any of this.
 """
 
 from __future__ import annotations
@@ -48,6 +56,9 @@ _STATE = (
     "r_chunk int, r_dist double, r_tie double, r_order double, control long, gap double"
 )
 _OPEN, _CLOSED = -1.0, INF  # tie ranks of a side not looked into yet, and of one used up
+_TAKEN = "unit long, control long, gap double, row long"
+MOST_BLOCKS = 64  # blocks hold more than ``chunk_rows`` where there would be more of them
+MOST_ROWS = 1_000_000  # controls, and treated units, of one block
 
 
 def propensity(df: DataFrame, label: str, covariates: Sequence[str], out: str = "distance") -> DataFrame:
@@ -257,12 +268,15 @@ def match_nearest(
     chunk_rows: int = 50_000,
     max_rounds: int = 10_000,
     replace: bool = False,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Pairs (treated_id, control_id, gap), ``gap`` being the score distance.
 
     Equal distances are settled by side (the lower score first); among controls of the very same
     score as the treated unit by the distance of the id hashes, which spreads exact copies.
     With ``replace`` every treated unit gets its nearest control, shared or not.
+    Up to ``chunk_rows`` units are matched in one visit. More are cut into blocks of about so many treated units, larger
+    ones if that made more than ``MOST_BLOCKS`` of them; no block has more than about ``most_rows`` units or controls.
     A unit without a score, a group or a caliper's value cannot be placed; any such unit raises.
     """
     dims = list(calipers)
@@ -277,13 +291,137 @@ def match_nearest(
     unknown = F.lit(False)
     for c in units.columns:
         unknown = unknown | F.col(c).isNull()
-    n_units, n_unknown = units.agg(F.count("*"), F.count(F.when(unknown, 1))).first()
+    n_units, n_unknown, n_treated = units.agg(F.count("*"), F.count(F.when(unknown, 1)), F.count(F.when(F.col("treated") == 1, 1))).first()
     if n_unknown:
         raise ValueError(f"{n_unknown} of {n_units} units lack a value among {', '.join(units.columns)}")
-    run = _visit([(c, float(calipers[c])) for c in dims], replace)
+    widths = [(c, float(calipers[c])) for c in dims]
     if n_units <= chunk_rows:
-        return _in_one_chunk(units, run)
+        return _in_one_chunk(units, _visit(widths, replace))
+    block_rows = max(chunk_rows, min(most_rows, math.ceil(n_treated / MOST_BLOCKS)))
+    pairs = _by_blocks(units, widths, parts_for(n_treated, block_rows), most_rows, replace)
+    if pairs is None:
+        pairs = _by_walks(units, calipers, chunk_rows, max_rounds, replace)
+    return pairs
+
+
+def _settle(calipers: Sequence[tuple[str, float]], replace: bool):
+    """Grouped function: the sequential rule for one block of treated units over the controls they can reach."""
+    dims, widths = [c for c, _ in calipers], [w for _, w in calipers]
+
+    def run(visitors: pd.DataFrame, controls: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        controls = controls.sort_values(["grp", "score", "h", "unit"], kind="mergesort")
+        offered = dict(list(controls.groupby("grp", sort=False)))
+        visitors = visitors.sort_values(["score", "unit"], ascending=[False, True], kind="mergesort")
+        for grp, units in visitors.groupby("grp", sort=False):
+            if grp in offered:
+                places, free = _sequential(units, offered[grp], dims, widths, replace), offered[grp]
+                units, places = units[places >= 0], places[places >= 0]
+                out.append(pd.DataFrame({
+                    "unit": units["unit"].to_numpy(), "control": free["unit"].to_numpy()[places],
+                    "gap": np.abs(free["score"].to_numpy()[places] - units["score"].to_numpy()), "row": free["row"].to_numpy()[places]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in _TAKEN.split(", ")])
 
+    return run
+
+
+def _sequential(units: pd.DataFrame, controls: pd.DataFrame, dims: list[str], widths: list[float], replace: bool) -> np.ndarray:
+    """Per treated unit, in the rule's order, the place of the control it takes, or -1. Controls are ordered by score and hash."""
+    where, score, h = np.arange(len(controls)), controls["score"].to_numpy(), controls["h"].to_numpy()
+    values = [controls[c].to_numpy() for c in dims]
+    free, gone = np.ones(len(where), bool), 0
+    out = np.full(len(units), -1)
+    for i, (s, hv, *own) in enumerate(units[["score", "h", *dims]].itertuples(index=False, name=None)):
+        if gone * 4 > len(free):  # those taken leave, so that nobody walks past them again and again
+            where, score, h, values = where[free], score[free], h[free], [v[free] for v in values]
+            free, gone = np.ones(len(where), bool), 0
+
+        def fitting(start: int, stop: int) -> np.ndarray:
+            ok = free[start:stop].copy()
+            for v, x, width in zip(values, own, widths):
+                ok &= np.abs(v[start:stop] - x) <= width
+            return ok
+
+        # Outwards from the unit's place in (score, hash) order; a side ends where the other's find is nearer.
+        lo, hi = score.searchsorted(s, "left"), score.searchsorted(s, "right")
+        l_end = r_end = int(lo + h[lo:hi].searchsorted(hv))
+        left = right = -1
+        n, window = len(score), 64
+        while (left < 0 < l_end) or (right < 0 and r_end < n):
+            if left < 0 < l_end:
+                if right >= 0 and s - score[l_end - 1] > score[right] - s:
+                    l_end = 0
+                else:
+                    start = max(l_end - window, 0)
+                    ok = fitting(start, l_end)[::-1]
+                    at = int(ok.argmax())
+                    left, l_end = l_end - 1 - at if ok[at] else -1, start
+            if right < 0 and r_end < n:
+                if left >= 0 and score[r_end] - s > s - score[left]:
+                    r_end = n
+                else:
+                    stop = min(r_end + window, n)
+                    ok = fitting(r_end, stop)
+                    at = int(ok.argmax())
+                    right, r_end = r_end + at if ok[at] else -1, stop
+            window *= 4
+        if left >= 0 and right >= 0:
+            keys = [(abs(score[j] - s), abs(h[j] - hv) if score[j] == s else side, h[j] if side else -h[j])
+                    for j, side in ((left, 0.0), (right, 1.0))]
+            best = left if keys[0] <= keys[1] else right
+        else:
+            best = max(left, right)
+        if best >= 0:
+            out[i] = where[best]
+            if not replace:
+                free[best], gone = False, gone + 1
+    return out
+
+
+def _by_blocks(units: DataFrame, calipers: Sequence[tuple[str, float]], parts: int, most_rows: int, replace: bool) -> DataFrame | None:
+    """Pairs, block by block; None where a block can reach more controls than ``most_rows``."""
+    dims = [c for c, _ in calipers]
+    cells = _cell_numbers(dict(calipers))
+    name = lambda columns: F.concat_ws("|", "grp", *[c.cast("string") for c in columns])
+    controls = checkpointed(units.filter("treated = 0").select(
+        "unit", "grp", "score", "h", *dims, name(cells.values()).alias("cell"), F.monotonically_increasing_id().alias("row")))
+    treated = units.filter("treated = 1").drop("treated").repartitionByRange(parts, "grp", F.desc("score"), "unit")
+    treated = checkpointed(treated.withColumn("part", F.spark_partition_id()))
+    # A partition holds the end of one group at most; all else in it is the first block of its group. At most one row per partition.
+    spans = treated.groupBy("grp").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last").drop("last")
+    step = F.lit(0) if replace else F.coalesce(F.col("part") - F.col("first"), F.lit(0))
+    treated = treated.join(F.broadcast(spans), "grp", "left").withColumn("step", step).drop("first")
+
+    near = treated.select("step", "part", "grp", *[cell.alias(f"_{c}") for c, cell in cells.items()]).distinct()
+    for c, width in calipers:
+        if width > 0:
+            near = near.withColumn(f"_{c}", F.explode(F.sequence(F.col(f"_{c}") - 1, F.col(f"_{c}") + 1)))
+    near = checkpointed(near.select("step", "part", name([F.col(f"_{c}") for c in dims]).alias("cell")).distinct())
+    sizes = near.join(controls.groupBy("cell").agg(F.count("*").alias("n")), "cell").groupBy("step", "part").agg(F.sum("n").alias("n"))
+    most, last = sizes.agg(F.max("n"), F.max("step")).first()
+    if most is not None and most > most_rows:
+        return None
+    offered = controls.join(near, "cell").drop("cell")
+    run = _settle(calipers, replace)
+    if not last:
+        moved = treated.groupBy("part").cogroup(offered.groupBy("part")).applyInPandas(run, _TAKEN)
+        return _pairs(moved)
+    treated, offered = checkpointed(treated, by=["step"]), checkpointed(offered, by=["step"])
+    taken = None
+    for number in range(last + 1):
+        left = offered.filter(F.col("step") == number)
+        if taken is not None:
+            left = left.join(taken.select("row"), "row", "left_anti")
+        visitors = treated.filter(F.col("step") == number)
+        moved = checkpointed(visitors.groupBy("part").cogroup(left.groupBy("part")).applyInPandas(run, _TAKEN))
+        taken = moved if taken is None else taken.unionByName(moved)
+    return _pairs(taken)
+
+
+def _by_walks(units: DataFrame, calipers: Mapping[str, float], chunk_rows: int, max_rounds: int, replace: bool) -> DataFrame:
+    """Pairs by deferred acceptance, walks over chunks of any number of controls."""
+    spark, dims = units.sparkSession, list(calipers)
+    run = _visit([(c, float(calipers[c])) for c in dims], replace)
     places = _cells(units, calipers)
     chunked = _chunked(places, parts_for(places.count(), chunk_rows))
     controls = chunked.filter("treated = 0").drop("treated")
@@ -333,7 +471,7 @@ def match_nearest(
         load = {r.chunk: r.slots for r in load.collect()}
         if not load:
             break
-        slots = df.sparkSession.createDataFrame(list(load.items()), "chunk int, slots int")
+        slots = spark.createDataFrame(list(load.items()), "chunk int, slots int")
         visitors = visitors.join(F.broadcast(slots), "chunk").withColumn(
             "slot", F.pmod(F.xxhash64("unit"), F.col("slots")).cast("int")
         ).drop("slots")
@@ -368,16 +506,18 @@ def match_nearest(
     else:
         raise RuntimeError("matching did not settle")
     if held is None:
-        return df.sparkSession.createDataFrame([], "treated_id long, control_id long, gap double")
+        return spark.createDataFrame([], "treated_id long, control_id long, gap double")
     return _pairs(held)
 
 
+def _cell_numbers(calipers: Mapping[str, float]) -> dict:
+    """A hair wider than the caliper, so that rounding cannot push a partner two cells away."""
+    return {c: F.floor(F.col(c) / F.lit(float(w) * (1 + 1e-9))) if w > 0 else F.col(c) for c, w in calipers.items()}
+
+
 def _cells(units: DataFrame, calipers: Mapping[str, float]) -> DataFrame:
     """Controls in their cell, and treated units once in every cell near theirs that has controls."""
-    # A hair wider than the caliper, so that rounding cannot push a partner two cells away.
-    cells = {
-        c: F.floor(F.col(c) / F.lit(float(w) * (1 + 1e-9))) if w > 0 else F.col(c) for c, w in calipers.items()
-    }
+    cells = _cell_numbers(calipers)
     controls = units.filter("treated = 0").withColumn(
         "grp", F.concat_ws("|", "grp", *[cell.cast("string") for cell in cells.values()])
     )

@@ -83,6 +83,24 @@ def test_no_controls_or_no_cases(spark):
     rows = instance(seed=6, n=20)
     assert run(spark, [dict(r, is_case=1) for r in rows]) == set()
     assert run(spark, [dict(r, is_case=0) for r in rows]) == set()
+    assert run(spark, [dict(r, is_case=1) for r in rows], chunk_rows=5) == set()
+    assert run(spark, [dict(r, is_case=0) for r in rows], chunk_rows=5) == set()
+
+
+def test_walks_where_a_block_reaches_too_many_controls(spark):
+    rows = instance(seed=8, n=70)
+    assert run(spark, rows, chunk_rows=30, most_rows=10) == sequential(rows)
+    assert run(spark, rows, chunk_rows=30, most_rows=10, replace=True) == sequential(rows, replace=True)
+
+
+def test_steps_follow_the_blocks_of_a_group_rather_than_contention(spark, monkeypatch):
+    """300 rivals for heavily tied controls: rounds of acceptance took one round per displacement."""
+    rows = instance(seed=9, n=600, case_share=0.55, digits=1, sites=1)
+    written = []
+    plain = matching.checkpointed
+    monkeypatch.setattr(matching, "checkpointed", lambda df, *a, **kw: written.append(1) or plain(df, *a, **kw))
+    assert run(spark, rows, chunk_rows=100) == sequential(rows)
+    assert len(written) <= 12
 
 
 def test_matched_data_and_surviving_controls(spark):
