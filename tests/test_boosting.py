@@ -131,6 +131,34 @@ def test_long_paths_are_additive():
     assert np.allclose(A.shapley(forest, bins).sum(1) + A.base_value(forest), forest.margin(bins))
 
 
+def test_a_tree_is_explained_once_per_cell(monkeypatch):
+    """Rows between the same cuts have the same attributions: work grows with the cells met, not with the rows."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 2, 3000), rng.integers(0, 2, 3000), rng.integers(0, 5, 3000)]).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    y = (rng.random(3000) < 0.2 + 0.1 * np.nan_to_num(x).sum(1)).astype(float)
+    cuts = [np.array([0.0]), np.array([0.0]), np.arange(4.0)]
+    bins = B.binned(x, cuts)
+    forest = B.grow(bins, y, np.arange(3000), cuts, B.TreeParams(5, 6, 0.3, 0.9, 1.0, 0.0), 0)
+    want = A._shapley_by_leaves(A._leaves(forest.trees), bins)
+    rows, plain = [], A._shapley_by_leaves
+    monkeypatch.setattr(A, "_shapley_by_leaves", lambda leaves, part: rows.append(len(part)) or plain(leaves, part))
+    cells = A._cells(forest)
+    for part in np.array_split(np.arange(3000), 4):
+        assert np.allclose(A.shapley(forest, bins[part], cells), want[part], atol=1e-12)
+    assert 0 < sum(rows) <= 5 * 3 * 3 * 6
+    monkeypatch.setattr(A, "_KEPT_CELLS", 0)
+    assert np.allclose(A.shapley(forest, bins), want, atol=1e-12)
+
+
+def test_models_above_the_table_bound_but_each_below_grow_in_tasks(cohort, monkeypatch):
+    """The bound holds per model: a table of many repeats went level by level, hundreds of jobs, though no model was large."""
+    folds = folds_of(cohort, 2)
+    monkeypatch.setattr(B, "_fit_by_levels", None)
+    n = folds.table.count()
+    assert B.fit(folds, B.TreeParams(trees=2, depth=3), local_bytes=n // 2 * (len(folds.cuts) + 24)).keys() == set(folds.splits)
+
+
 def test_importances(spark, cohort):
     folds = folds_of(cohort)
     forests = B.fit(folds, B.TreeParams(trees=5, depth=3, rate=0.3, column_sample=1.0))
