@@ -6,12 +6,14 @@ a set with too many of these links with nothing, and an arbitrary slice of the n
 sets at once. What is left is ordered by frequency, rare first; linked sets share an n-gram among each one's first
 (Chaudhuri's prefix filter). Sets that share one are not paired all with all: they are held against a few centres
 first, and by the triangle inequality of the Jaccard distance only sets of two centres that are near each other, and
-not in one component already, are compared, set against block.
+not in one component already, are compared, set against block. Where many sets of different centres share an n-gram,
+no pairs of centres are listed: its sets are dealt to blocks of bounded size, and block is held against block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ SLICE = 4  # one in so many n-grams, by hash, is looked at first
 FRAGMENTS = 4  # of the order that are counted separately
 CENTRES = 2  # a set is first compared with so many others that it shares most rare n-grams with
 SETTLED = 0.9  # sets are thinned out until a round keeps this share of them
+CROWD = 30  # centres of sets that link among themselves; an n-gram with more is compared block by block
 BLOCK_GRAMS = 100_000  # n-grams of the sets that travel together
 NEAR = 1e-9  # slack of distances
 
@@ -199,21 +202,25 @@ def _rooted(links: DataFrame, sets: DataFrame) -> DataFrame:
         "sid", F.coalesce("root", "sid").alias("root")))
 
 
+def _light() -> Column:
+    """A set with more than a ninth of its n-grams alone links with none of its kind; all others are light."""
+    return F.col("shared") * (LOW + HIGH) >= F.col("n") * (2 * LOW)
+
+
 def _met(rows: DataFrame) -> DataFrame:
-    """(h, a, b, away_a, away_b): centres in different components whose sets share the n-gram h of their prefixes and
+    """(h, a, b, away_a, away_b): different centres whose sets share the n-gram h of their prefixes and
     may link by size, with the largest distances of these sets from their centres.
 
-    A set with more than a ninth of its n-grams alone links with none of its kind, so these meet the others only.
+    Light ones meet all, the others meet the light ones only.
     """
-    light = F.col("shared") * (LOW + HIGH) >= F.col("n") * (2 * LOW)
-    packed = rows.withColumn("light", light).groupBy("h", "centre", "root", "light").agg(
+    packed = rows.withColumn("light", _light()).groupBy("h", "centre", "light").agg(
         F.min("n").alias("n"), F.max("shared").alias("shared"), F.max("left").alias("left"), F.max("away").alias("away"))
 
     def side(df: DataFrame, end: str) -> DataFrame:
         return df.select("h", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "h"])
 
     met = side(packed.filter("light"), "x").join(side(packed, "y"), "h").filter(
-        (F.col("root_x") != F.col("root_y"))
+        (F.col("centre_x") != F.col("centre_y"))
         & (~F.col("light_y") | (F.col("centre_x") < F.col("centre_y")))
         # The n-grams from the shared one on, and sizes that fit: bounds over all sets of both centres.
         & may_link(F.col("n_x"), F.col("n_y"), F.col("left_x"), F.col("left_y"))
@@ -225,22 +232,88 @@ def _met(rows: DataFrame) -> DataFrame:
         F.max("away_a").alias("away_a"), F.max("away_b").alias("away_b"))
 
 
-def links(prefixes: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs (a, b) of linked sets that connect whatever all linked pairs connect."""
+def components(prefixes: DataFrame, segments: DataFrame) -> DataFrame:
+    """(sid, root) of the sets of ``prefixes``: which of them linked pairs connect.
+
+    A linked pair shares an n-gram of both prefixes. Up to ``CROWD`` light centres at it, the pair's centres meet, so
+    their number is at most in proportion to the prefixes; at any other n-gram all its sets are compared by blocks.
+    """
     reach = 1 - LOW / HIGH + NEAR
     placed, found = first_centres(prefixes, segments)
     sets = placed.select("sid")
-    met = checkpointed(_met(prefixes.join(placed, "sid").join(_rooted(found, sets), "sid")))
+    rows = checkpointed(prefixes.join(placed, "sid"))
+    crowds = checkpointed(rows.filter(_light()).groupBy("h", "centre").agg(F.count("*").alias("n")).groupBy("h").agg(
+        F.count("*").alias("centres")).filter(F.col("centres") > CROWD).select("h"))
+    met = checkpointed(_met(rows.join(crowds, "h", "left_anti")))
     between = distances(met.select("a", "b").distinct(), segments)
     found = checkpointed(found.unionAll(between.filter("linked").select("a", "b")))
     # Centres that are still in different components but may have linked sets.
     roots = _rooted(found, sets)
     apart = met.groupBy("a", "b").agg(F.max(F.col("away_a") + F.col("away_b")).alias("away")).filter("away > 0").join(
         between, ["a", "b"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
-    open_ = checkpointed(apart.filter(F.col("distance") <= F.col("away") + reach).join(
-        roots.select(F.col("sid").alias("a"), F.col("root").alias("root_a")), "a").join(
-        roots.select(F.col("sid").alias("b"), F.col("root").alias("root_b")), "b").filter("root_a <> root_b").select("a", "b", "distance"))
-    return found if open_.isEmpty() else checkpointed(found.unionAll(_crossing(open_, placed, segments)))
+    root_a, root_b = (roots.select(F.col("sid").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    open_ = checkpointed(apart.filter(F.col("distance") <= F.col("away") + reach).join(root_a, "a").join(root_b, "b").filter(
+        "root_a <> root_b").select("a", "b", "distance"))
+    late = [_crossing(open_, placed, segments)] if not open_.isEmpty() else []
+    if not crowds.isEmpty():
+        late.append(_in_crowds(rows.join(crowds, "h").select("h", "sid"), roots, segments))
+    late = checkpointed(reduce(DataFrame.unionAll, late)) if late else None
+    if late is None or late.isEmpty():
+        return roots
+    merged = connected_components(late.join(root_a, "a").join(root_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    return roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select(
+        "sid", F.coalesce("last", "root").alias("root"))
+
+
+def _in_crowds(held: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
+    """(a, b): links between sets of different components that hold the same n-gram (h, sid), enough to connect these.
+
+    The sets of an n-gram are dealt to blocks of bounded size, and every two blocks meet in a group of their own,
+    where overlaps are counted fragment by fragment and summed. No pair becomes a row unless it joins components.
+    """
+    sets = segments.join(held.select("sid"), "sid", "left_semi").groupBy("sid", "n").agg(
+        F.sum(F.size("grams")).alias("load"), F.collect_list(F.struct("fragment", "grams")).alias("own"))
+    sets = checkpointed(sets.join(roots, "sid"))
+    sized = held.join(sets.select("sid", "load"), "sid")
+    parts = sized.groupBy("h").agg(F.ceil(F.sum("load") / BLOCK_GRAMS).cast("int").alias("parts"))
+    dealt = checkpointed(sized.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("sid", "h"), F.col("parts")).cast("int")))
+
+    def side(others: Column, first: str, second: str) -> DataFrame:
+        placed = dealt.withColumn("other", F.explode(others)).select("h", F.col(first).alias("one"), F.col(second).alias("two"), "sid")
+        # Fresh column identities, so that both sides can be told apart.
+        return placed.join(sets.drop("load"), "sid").select(*[
+            F.col(c).alias(c) for c in ("h", "one", "two", "sid", "n", "root", "own")]).groupBy("h", "one", "two")
+
+    ahead = side(F.sequence(F.col("part"), F.col("parts") - 1), "part", "other")
+    behind = side(F.sequence(F.lit(0), F.col("part")), "other", "part")
+    return ahead.cogroup(behind).applyInArrow(_joining, "a long, b long")
+
+
+def _joining(one: pa.Table, two: pa.Table) -> pa.Table:
+    """Links (a, b) across two blocks that join components: at most one less than there are components."""
+    a, b = [], []
+    if one.num_rows and two.num_rows:
+        block, own = _Block(_unpacked(two)), one["own"].combine_chunks()
+        # The components so far, of the first block's sets and of the second's as the block numbers them.
+        at = one.num_rows
+        label = np.concatenate((one["root"].to_numpy(), two["root"].to_numpy()[np.argsort(two["sid"].to_numpy())]))
+        for i, (sid, n) in enumerate(zip(one["sid"].to_pylist(), one["n"].to_pylist(), strict=True)):
+            both = block.shared_with(own[i].values)
+            linked = both * HIGH >= (block.sizes + n - both) * LOW
+            while (apart := linked & (label[at:] != label[i])).any():
+                j = int(apart.argmax())
+                label[label == label[at + j]] = label[i]
+                a.append(sid)
+                b.append(int(block.sids[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _unpacked(sets: pa.Table) -> pa.StructArray:
+    """One item (sid, n, fragment, grams) per segment of packed sets."""
+    own = sets["own"].combine_chunks()
+    times, flat = np.asarray(own.value_lengths()), own.flatten()
+    return pa.StructArray.from_arrays([pa.array(np.repeat(sets["sid"].to_numpy(), times)), pa.array(np.repeat(sets["n"].to_numpy(), times)),
+                                       flat.field("fragment"), flat.field("grams")], ["sid", "n", "fragment", "grams"])
 
 
 def _crossing(centres: DataFrame, placed: DataFrame, segments: DataFrame) -> DataFrame:
@@ -294,6 +367,12 @@ class _Block:
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(owner[at], minlength=len(self.sids))
 
+    def shared_with(self, own: pa.StructArray) -> np.ndarray:
+        """How many n-grams each set of the block shares with a set of these segments."""
+        flat, size = _lists(own.field("grams"))
+        return sum(self.overlaps(f, flat[end - k:end]) for f, end, k in zip(
+            np.asarray(own.field("fragment")).tolist(), np.cumsum(size).tolist(), size.tolist(), strict=True))
+
 
 def _most_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, block = None, None
@@ -302,10 +381,7 @@ def _most_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, (large, part, sid, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
             if (large, part) != at:
                 at, block = (large, part), _Block(batch.column(5)[i].values)
-            own = batch.column(4)[i].values
-            mine, (flat, size) = np.asarray(own.field("fragment")), _lists(own.field("grams"))
-            both = sum(block.overlaps(f, flat[end - k:end]) for f, end, k in zip(
-                mine.tolist(), np.cumsum(size).tolist(), size.tolist(), strict=True))
+            both = block.shared_with(batch.column(4)[i].values)
             union = block.sizes + n - both
             linked = both * HIGH >= union * LOW
             if linked.any():
@@ -330,8 +406,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
     scan = scanned(docs, shingle)
     segments, prefixes = ordered(docs, sliced_out(scan), shingle)
-    nodes = connected_components(links(prefixes, segments))
-    named = scan.select("doc", "sid", "n").join(nodes, F.col("sid") == F.col("node"), "left").select(
+    named = scan.select("doc", "sid", "n").join(components(prefixes, segments), "sid", "left").select(
         "doc", "n", "sid", F.coalesce("root", "sid").alias("root"))
     firsts = checkpointed(named.groupBy("root").agg(F.min("doc").alias("first")))
     return named.join(firsts, "root").select(

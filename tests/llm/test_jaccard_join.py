@@ -96,6 +96,28 @@ def test_one_large_family(spark):
     check(spark, list(enumerate(docs)))
 
 
+@pytest.mark.parametrize("block", [J.BLOCK_GRAMS, 2_000])
+def test_crowd_of_texts_that_hardly_link(spark, monkeypatch, block):
+    """Near copies of one text, most of them too far from each other to link: their pairs do not become rows."""
+    monkeypatch.setattr(J, "BLOCK_GRAMS", block)
+    rng = random.Random(8)
+    base = text(rng, 90)
+    docs = [" ".join(edited(rng, base, rng.randrange(1, 5))) for _ in range(300)] + [" ".join(edited(rng, base, 1) + text(rng, 5)) for _ in range(60)]
+    docs += [" ".join(text(rng, 30)) for _ in range(50)]
+    most, met = [], J._met
+
+    def counted(rows):
+        found = met(rows)
+        most.append((found.count(), rows.count()))
+        return found
+
+    monkeypatch.setattr(J, "_met", counted)
+    crowds, apart = [], J._in_crowds
+    monkeypatch.setattr(J, "_in_crowds", lambda *parts: crowds.append(1) or apart(*parts))
+    check(spark, list(enumerate(docs)))
+    assert crowds and all(pairs <= J.CROWD * rows for pairs, rows in most)
+
+
 def test_lines_of_boilerplate(spark):
     """Texts put together from few frequent lines: hardly any n-gram is rare."""
     rng = random.Random(6)
