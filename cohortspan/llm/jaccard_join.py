@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RollingHash, _arrow_schema, _slices, bit_table, checkpointed, connected_components, flatten, map_batches, mixed, passes
@@ -25,6 +25,7 @@ from .common import RollingHash, _arrow_schema, _slices, bit_table, checkpointed
 SHINGLE = 5
 LOW, HIGH = 80, 100  # linked if HIGH * intersection >= LOW * union
 SLICE = 4  # one in so many n-grams, by hash, is looked at first
+SHORT = np.uint64(24)  # low bits that hashes lose there: two n-grams that then look alike count as shared, never as alone
 FRAGMENTS = 4  # of the order that are counted separately
 CENTRES = 2  # a set is first compared with so many others that it shares most rare n-grams with
 SETTLED = 0.9  # sets are thinned out until a round keeps this share of them
@@ -71,7 +72,7 @@ def may_link(n: Column, other_n: Column, shared: Column, other_shared: Column) -
 
 
 def scanned(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, key, sid, n, part) of every row (doc, key, text): name and size of the set, and a slice of its hashes."""
+    """(doc, key, sid, n, part) of every row (doc, key, text): name and size of the set, and a slice of its shortened hashes."""
     schema = _arrow_schema(docs.sparkSession, "doc long, key long, sid long, n long, part array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +83,7 @@ def scanned(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 here = batch.slice(rows[0], len(rows))
                 yield pa.RecordBatch.from_arrays([
                     here.column(0), here.column(1), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
-                    pa.array([g[g % np.uint64(SLICE) == 0].view(np.int64) for g in sets], pa.list_(pa.int64()))], schema=schema)
+                    pa.array([(g[g % np.uint64(SLICE) == 0] >> SHORT << SHORT).view(np.int64) for g in sets], pa.list_(pa.int64()))], schema=schema)
 
     return checkpointed(map_batches(docs.select("doc", "key", "text"), run, "doc long, key long, sid long, n long, part array<bigint>"))
 
@@ -99,7 +100,7 @@ def sliced_out(scan: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(sid, n, grams) of the wanted sets (sid, n, doc, key), hashed again from one document each."""
+    """(sid, n, grams) of the wanted sets (sid, n, doc, key), hashed again from one document each. Not written: for one use."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("doc", "key").alias("h"))))
 
     def some(batches):
@@ -124,26 +125,35 @@ def _hashed(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     if not wanted.filter("times > 1").isEmpty():
         rows = met.filter("times = 1").select("sid", "n", "text").unionAll(
             met.filter("times > 1").select("sid", "n", "text").dropDuplicates(["sid"]))
-    return checkpointed(map_batches(rows, run, "sid long, n long, grams array<bigint>"))
+    return map_batches(rows, run, "sid long, n long, grams array<bigint>")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(sid, h, df): the n-grams that several of the sets (sid, grams) hold, and how many do. Each occurrence is dealt out once."""
+    grams = sets.select("sid", F.explode("grams").alias("h"))
+    return grams.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+
+
+def _enough(held: DataFrame, sizes: DataFrame, item: Column) -> DataFrame:
+    """(sid, n, shared, at) of the sets (sid, n) that hold n-grams enough for a link, and ``item`` of these in order."""
+    found = held.groupBy("sid").agg(F.sort_array(F.collect_list(item)).alias("at"))
+    return checkpointed(sizes.select("sid", "n").join(found, "sid").withColumn("shared", F.size("at").cast("long")).filter(
+        F.col("shared") >= least_overlap(F.col("n"))).select("sid", "n", "shared", "at"))
 
 
 def ordered(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Segments (sid, n, shared, fragment, grams) of the sets that may still have links, and their prefixes (h, sid, n, shared).
 
     The order is by frequency among these sets, then by hash; n-grams of one set only come first and are left out.
+    The first round, over all n-grams, only thins out and carries no frequencies; n-grams of one set only are never written.
     """
-    sets = _hashed(docs, wanted, shingle)
+    sets = _enough(_shared(_hashed(docs, wanted, shingle)), wanted, F.col("h")).withColumnRenamed("at", "grams")
     while True:
-        grams = sets.select("sid", F.explode("grams").alias("h"))
-        counted = grams.groupBy("h").agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
-        several = checkpointed(counted.filter("df > 1").select("h", "df"))
-        ranked = grams.join(several, "h").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("at"))
-        kept = checkpointed(sets.select("sid", "n").join(ranked, "sid").withColumn("shared", F.size("at").cast("long")).filter(
-            F.col("shared") >= least_overlap(F.col("n"))))
+        kept = _enough(_shared(sets), sets, F.struct("df", "h"))
         if kept.count() >= SETTLED * sets.count():  # fewer sets make n-grams rarer, so the rest is looked at again
             break
-        sets = checkpointed(kept.select("sid", "n", F.transform("at", lambda a: a["h"]).alias("grams")))
-    cuts = _cuts(several)
+        sets = kept.select("sid", "n", F.col("at.h").alias("grams"))
+    cuts = _cuts(kept.select(F.explode("at.df").alias("df")))
     fragment = sum((F.struct(F.col("a.df").alias("df"), F.col("a.h").alias("h")) >= F.struct(F.lit(df).alias("df"), F.lit(h).alias("h"))).cast("int")
                    for df, h in cuts) if cuts else F.lit(0)
     segments = checkpointed(kept.select("sid", "n", "shared", F.explode("at").alias("a")).groupBy(
@@ -154,9 +164,9 @@ def ordered(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> tuple
     return segments, checkpointed(prefixes)
 
 
-def _cuts(grams: DataFrame) -> list[tuple[int, int]]:
+def _cuts(occurrences: DataFrame) -> list[tuple[int, int]]:
     """Where the order is cut so that the fragments hold about as many occurrences each: ends of whole classes of frequency."""
-    levels = grams.groupBy("df").agg(F.sum("df").alias("n")).groupBy(F.floor(F.log2("df") * 8).alias("level")).agg(
+    levels = occurrences.groupBy("df").agg(F.count("*").alias("n")).groupBy(F.floor(F.log2("df") * 8).alias("level")).agg(
         F.min("df").alias("df"), F.sum("n").alias("n")).orderBy("level").collect()
     total, so_far, cuts = sum(r["n"] for r in levels), 0, []
     for r in levels:

@@ -118,6 +118,31 @@ def test_crowd_of_texts_that_hardly_link(spark, monkeypatch, block):
     assert crowds and all(pairs <= J.CROWD * rows for pairs, rows in most)
 
 
+def test_n_grams_of_one_set_are_not_written(spark, monkeypatch):
+    """Texts of which half is copied: past the first look, written tables hold at most the n-grams that several sets have."""
+    rng = random.Random(9)
+    docs = []
+    for _ in range(60):
+        half = text(rng, 60, 50_000)
+        docs += [" ".join(half + text(rng, 60, 50_000)) for _ in range(2)] + [" ".join(edited(rng, half, 1)) for _ in range(2)]
+    held = defaultdict(int)
+    for d in docs:
+        for g in shingles(d):
+            held[g] += 1
+    written, write = [], J.checkpointed
+
+    def kept(df):
+        out = write(df)
+        for column in {"grams", "at"} & set(out.columns):
+            if out.schema[column].dataType.typeName() == "array":
+                written.append(out.selectExpr(f"sum(size({column}))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(J, "checkpointed", kept)
+    check(spark, list(enumerate(docs)))
+    assert written[0] and max(written) <= sum(n for n in held.values() if n > 1)
+
+
 def test_lines_of_boilerplate(spark):
     """Texts put together from few frequent lines: hardly any n-gram is rare."""
     rng = random.Random(6)
