@@ -28,7 +28,8 @@ SLICE = 4  # one in so many n-grams, by hash, is looked at first
 SHORT = np.uint64(24)  # low bits that hashes lose there: two n-grams that then look alike count as shared, never as alone
 FRAGMENTS = 4  # of the order that are counted separately
 CENTRES = 2  # a set is first compared with so many others that it shares most rare n-grams with
-SETTLED = 0.9  # sets are thinned out until a round keeps this share of them
+SETTLED = 0.9  # sets are thinned out until this share of their n-grams is shared among those left
+PROBE = 16  # one in so many n-grams, by hash, is looked at for that
 CROWD = 30  # centres of sets that link among themselves; an n-gram with more is compared block by block
 BLOCK_GRAMS = 100_000  # n-grams of the sets that travel together
 NEAR = 1e-9  # slack of distances
@@ -134,25 +135,29 @@ def _shared(sets: DataFrame) -> DataFrame:
     return grams.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
 
 
-def _enough(held: DataFrame, sizes: DataFrame, item: Column) -> DataFrame:
-    """(sid, n, shared, at) of the sets (sid, n) that hold n-grams enough for a link, and ``item`` of these in order."""
-    found = held.groupBy("sid").agg(F.sort_array(F.collect_list(item)).alias("at"))
+def _enough(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sid, n, shared, at) of the sets (sid, n) that hold n-grams enough for a link, and these by frequency and hash."""
+    found = held.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("at"))
     return checkpointed(sizes.select("sid", "n").join(found, "sid").withColumn("shared", F.size("at").cast("long")).filter(
         F.col("shared") >= least_overlap(F.col("n"))).select("sid", "n", "shared", "at"))
 
 
+def _settled(kept: DataFrame) -> bool:
+    """Whether the n-grams of the sets left are still shared among these, as far as one in ``PROBE`` of them, by hash, shows."""
+    grams = kept.select(F.explode(F.filter("at.h", lambda h: F.pmod(h, F.lit(PROBE)) == 0)).alias("h"))
+    held = grams.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("shared")).first()
+    return (held["shared"] or 0) >= SETTLED * (held["all"] or 0)
+
+
 def ordered(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Segments (sid, n, shared, fragment, grams) of the sets that may still have links, and their prefixes (h, sid, n, shared).
 
-    The order is by frequency among these sets, then by hash; n-grams of one set only come first and are left out.
-    The first round, over all n-grams, only thins out and carries no frequencies; n-grams of one set only are never written.
+    The order is by frequency among the sets of the last round, then by hash; n-grams of one set only come first and are
+    left out, and never written. Any order that all sets have in common serves, so another round is made only if it thins out.
     """
-    sets = _enough(_shared(_hashed(docs, wanted, shingle)), wanted, F.col("h")).withColumnRenamed("at", "grams")
-    while True:
-        kept = _enough(_shared(sets), sets, F.struct("df", "h"))
-        if kept.count() >= SETTLED * sets.count():  # fewer sets make n-grams rarer, so the rest is looked at again
-            break
-        sets = kept.select("sid", "n", F.col("at.h").alias("grams"))
+    kept = _enough(_shared(_hashed(docs, wanted, shingle)), wanted)
+    while not _settled(kept):  # fewer sets make n-grams rarer, so the rest is looked at again
+        kept = _enough(_shared(kept.select("sid", F.col("at.h").alias("grams"))), kept)
     cuts = _cuts(kept.select(F.explode("at.df").alias("df")))
     fragment = sum((F.struct(F.col("a.df").alias("df"), F.col("a.h").alias("h")) >= F.struct(F.lit(df).alias("df"), F.lit(h).alias("h"))).cast("int")
                    for df, h in cuts) if cuts else F.lit(0)
@@ -278,27 +283,49 @@ def components(prefixes: DataFrame, segments: DataFrame) -> DataFrame:
 def _in_crowds(held: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b): links between sets of different components that hold the same n-gram (h, sid), enough to connect these.
 
-    The sets of an n-gram are dealt to blocks of bounded size, and every two blocks meet in a group of their own,
-    where overlaps are counted fragment by fragment and summed. No pair becomes a row unless it joins components.
+    Each set has one home, the n-gram of these that most sets hold; so sets that share many of them meet once and not
+    at each. The sets of a home are dealt to blocks of bounded size, and every two blocks of one home, or of two whose
+    sets hold an n-gram in common, meet in a group of their own, where overlaps are counted fragment by fragment and
+    summed. No pair becomes a row unless it joins components.
     """
-    sets = segments.join(held.select("sid"), "sid", "left_semi").groupBy("sid", "n").agg(
+    held = checkpointed(held)
+    homes = held.join(held.groupBy("h").agg(F.count("*").alias("sets")), "h").groupBy("sid").agg(
+        F.max(F.struct("sets", "h")).alias("most")).select("sid", F.col("most.h").alias("home"))
+    sets = _segments_of(held, segments).groupBy("sid", "n").agg(
         F.sum(F.size("grams")).alias("load"), F.collect_list(F.struct("fragment", "grams")).alias("own"))
-    sets = checkpointed(sets.join(roots, "sid"))
-    sized = held.join(sets.select("sid", "load"), "sid")
-    parts = sized.groupBy("h").agg(F.ceil(F.sum("load") / BLOCK_GRAMS).cast("int").alias("parts"))
-    dealt = checkpointed(sized.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("sid", "h"), F.col("parts")).cast("int")))
-
-    def side(others: Column, first: str, second: str) -> DataFrame:
-        placed = dealt.withColumn("other", F.explode(others)).select("h", F.col(first).alias("one"), F.col(second).alias("two"), "sid")
+    sets = checkpointed(sets.join(homes, "sid").join(roots, "sid"))
+    parts = checkpointed(sets.groupBy("home").agg(F.ceil(F.sum("load") / BLOCK_GRAMS).cast("int").alias("parts")))
+    dealt = sets.select("sid", "home").join(parts, "home").withColumn("part", F.pmod(F.xxhash64("sid", "home"), F.col("parts")).cast("int"))
+    at = held.join(dealt.select("sid", "home", "part"), "sid")
+    # Each set, and the homes of all that hold one of its n-grams, its own among them.
+    met = at.join(at.select("h", F.col("home").alias("other")).distinct(), "h").select("sid", "home", "part", "other").distinct()
+    met = checkpointed(met.join(parts.withColumnRenamed("home", "other"), "other"))
+    own = F.col("home") == F.col("other")
+
+    def side(rows: DataFrame, first: Column, last: Column, names: tuple[str, ...]) -> DataFrame:
+        placed = rows.withColumn("to", F.explode(F.sequence(first, last))).select(
+            "sid", *[F.col(c).alias(name) for c, name in zip(names, ("x", "y", "one", "two"), strict=True)])
         # Fresh column identities, so that both sides can be told apart.
-        return placed.join(sets.drop("load"), "sid").select(*[
-            F.col(c).alias(c) for c in ("h", "one", "two", "sid", "n", "root", "own")]).groupBy("h", "one", "two")
+        return placed.join(sets.select("sid", "n", "root", "own"), "sid").select(*[
+            F.col(c).alias(c) for c in ("x", "y", "one", "two", "sid", "n", "root", "own")]).groupBy("x", "y", "one", "two")
 
-    ahead = side(F.sequence(F.col("part"), F.col("parts") - 1), "part", "other")
-    behind = side(F.sequence(F.lit(0), F.col("part")), "other", "part")
+    none, last = F.lit(0), F.col("parts") - 1
+    ahead = side(met.filter("home <= other"), F.when(own, F.col("part")).otherwise(none), last, ("home", "other", "part", "to"))
+    behind = side(met.filter("home >= other"), none, F.when(own, F.col("part")).otherwise(last), ("other", "home", "to", "part"))
     return ahead.cogroup(behind).applyInArrow(_joining, "a long, b long")
 
 
+def _segments_of(sets: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments of the sets (sid), and few others: most of those are dropped where they are read, and never dealt out."""
+    table = sets.sparkSession.sparkContext.broadcast(bit_table(sets.select(F.col("sid").alias("h"))))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(np.asarray(batch.column(0)).view(np.uint64), table.value)))
+
+    return segments.select("sid", "n", "fragment", "grams").mapInArrow(some, "sid long, n long, fragment int, grams array<bigint>")
+
+
 def _joining(one: pa.Table, two: pa.Table) -> pa.Table:
     """Links (a, b) across two blocks that join components: at most one less than there are components."""
     a, b = [], []
@@ -342,12 +369,13 @@ def _crossing(centres: DataFrame, placed: DataFrame, segments: DataFrame) -> Dat
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("small"), "distance",
         F.when(first, F.col("radius_a")).otherwise(F.col("radius_b")).alias("radius"),
         F.when(first, F.col("parts_a")).otherwise(F.col("parts_b")).alias("parts")))
-    dealt = members.join(sides.select(F.col("large").alias("centre"), "parts").distinct(), "centre").select(
-        "sid", F.col("centre").alias("large"), F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"))
+    dealt = checkpointed(members.join(sides.select(F.col("large").alias("centre"), "parts").distinct(), "centre").select(
+        "sid", F.col("centre").alias("large"), F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")))
+    asked = checkpointed(sides.join(members.select(F.col("centre").alias("small"), "sid", "away"), "small").filter(
+        F.col("away") + F.col("radius") + 1 - LOW / HIGH + NEAR >= F.col("distance")).select("large", "parts", "sid").distinct())
+    segments = _segments_of(dealt.select("sid").unionAll(asked.select("sid")), segments)
     blocks = dealt.join(segments, "sid").groupBy("large", "part").agg(
         F.collect_list(F.struct("sid", "n", "fragment", "grams")).alias("held"))
-    asked = sides.join(members.select(F.col("centre").alias("small"), "sid", "away"), "small").filter(
-        F.col("away") + F.col("radius") + 1 - LOW / HIGH + NEAR >= F.col("distance")).select("large", "parts", "sid").distinct()
     own = segments.join(asked.select("sid").distinct(), "sid").groupBy("sid", "n").agg(
         F.collect_list(F.struct("fragment", "grams")).alias("own"))
     rows = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(own, "sid").join(blocks, ["large", "part"])

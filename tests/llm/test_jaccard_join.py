@@ -118,6 +118,40 @@ def test_crowd_of_texts_that_hardly_link(spark, monkeypatch, block):
     assert crowds and all(pairs <= J.CROWD * rows for pairs, rows in most)
 
 
+def test_sets_of_a_crowd_meet_once(spark, monkeypatch):
+    """Near copies that share dozens of crowded n-grams: their links are found at one of these, not at each."""
+    rng = random.Random(10)
+    base = text(rng, 200)
+    docs = [" ".join(edited(rng, base, rng.randrange(1, 8))) for _ in range(250)]
+    docs += [" ".join(text(rng, 30)) for _ in range(50)]
+    seen, apart = [], J._in_crowds
+
+    def counted(held, *parts):
+        found = J.checkpointed(apart(held, *parts))
+        seen.append((held.select("h").distinct().count(), held.select("sid").distinct().count(), found.count()))
+        return found
+
+    monkeypatch.setattr(J, "CROWD", 5)
+    monkeypatch.setattr(J, "_in_crowds", counted)
+    check(spark, list(enumerate(docs)))
+    assert seen and all(grams > 5 and links < 3 * sets for grams, sets, links in seen), seen
+
+
+def test_rounds_end_when_n_grams_stay_shared(spark, monkeypatch):
+    """Many sets drop out of the first round, but those left share their n-grams among themselves: no second round."""
+    rng = random.Random(11)
+    docs = []
+    for _ in range(40):
+        base = text(rng, 60, 50_000)
+        docs += [" ".join(base), " ".join(edited(rng, base, 1))]
+        shared = text(rng, 45, 50_000)
+        docs += [" ".join(shared + text(rng, 30, 50_000)) for _ in range(2)]
+    rounds, enough = [], J._enough
+    monkeypatch.setattr(J, "_enough", lambda *parts: rounds.append(enough(*parts)) or rounds[-1])
+    check(spark, list(enumerate(docs)))
+    assert [r.count() for r in rounds] == [80]
+
+
 def test_n_grams_of_one_set_are_not_written(spark, monkeypatch):
     """Texts of which half is copied: past the first look, written tables hold at most the n-grams that several sets have."""
     rng = random.Random(9)
